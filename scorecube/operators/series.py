@@ -39,14 +39,15 @@ def gap(a: DataFrame, b: DataFrame, keys, value: str = C.PCT, a_name: str = "a",
             .withColumn(out, F.col(a_name) - F.col(b_name)))
 
 
-def change(df: DataFrame, keys, order: str, value: str = C.PCT, out: str = "change") -> DataFrame:
+def change(df: DataFrame, keys, order: str, value: str = C.PCT, out: str = "change",
+           drop_first: bool = True) -> DataFrame:
     """W1/W2 – value − previous value within each partition, ordered by ``order``; first/undefined rows dropped.
 
     On a completed spine (``on_spine``) a missing year also removes the following year's change (W1); on the
     present rows only, missing years are bridged (W2)."""
     w = Window.partitionBy(*keys).orderBy(order)
-    return (df.withColumn(out, F.col(value) - F.lag(value).over(w))
-            .filter(F.col(out).isNotNull()))
+    out_df = df.withColumn(out, F.col(value) - F.lag(value).over(w))
+    return out_df.filter(F.col(out).isNotNull()) if drop_first else out_df
 
 
 def index_to_base(df: DataFrame, keys, value: str = C.PCT, axis: str = "year", base=C.YEARS[0],
