@@ -1,0 +1,137 @@
+"""Test fixture: render cells as the three raw yearly layouts (FIXTURES.md §1) so ingestion can be checked by
+round trip. Lines are formatted by Spark; each archive is zipped by one task (one group per archive, the
+archive format being a single stream).
+
+Layouts (fixed values of the published releases):
+  A  2015–2019 style: comma, "Subgroup ID", "Test Id", "Students Tested"; names + "Type Id" in the entity member
+  B  2021–2023 style: caret, "Student Group ID", "Test ID"; names + "Type ID" in the entity member
+  C  2024–2025 style: caret, "Total Students Tested", inline "District Name", "School Name", "Type ID";
+     county names only in the entity member
+"""
+
+from __future__ import annotations
+
+import csv
+import io
+import os
+import zipfile
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.cells import STUDENT_GROUPS, TESTS
+
+LAYOUTS = {
+    "A": {"sep": ",", "data": [("County Code", "county_code"), ("District Code", "district_code"),
+                               ("School Code", "school_code"), ("Test Year", "year"),
+                               ("Subgroup ID", "student_group_id"), ("Test Type", "test_type"),
+                               ("Test Id", "test_id"), ("Grade", "grade"), ("Students Tested", "students_tested"),
+                               ("Percentage Standard Met and Above", "pct")],
+          "entities": [("County Code", "county_code"), ("District Code", "district_code"),
+                       ("School Code", "school_code"), ("County Name", "county_name"),
+                       ("District Name", "district_name"), ("School Name", "school_name"), ("Type Id", "type_id")]},
+    "B": {"sep": "^", "data": [("County Code", "county_code"), ("District Code", "district_code"),
+                               ("School Code", "school_code"), ("Test Year", "year"),
+                               ("Student Group ID", "student_group_id"), ("Test Type", "test_type"),
+                               ("Test ID", "test_id"), ("Grade", "grade"), ("Students Tested", "students_tested"),
+                               ("Percentage Standard Met and Above", "pct")],
+          "entities": [("County Code", "county_code"), ("District Code", "district_code"),
+                       ("School Code", "school_code"), ("County Name", "county_name"),
+                       ("District Name", "district_name"), ("School Name", "school_name"), ("Type ID", "type_id")]},
+    "C": {"sep": "^", "data": [("County Code", "county_code"), ("District Code", "district_code"),
+                               ("School Code", "school_code"), ("District Name", "district_name"),
+                               ("School Name", "school_name"), ("Type ID", "type_id"), ("Test Year", "year"),
+                               ("Student Group ID", "student_group_id"), ("Test Type", "test_type"),
+                               ("Test ID", "test_id"), ("Grade", "grade"),
+                               ("Total Students Tested", "students_tested"),
+                               ("Percentage Standard Met and Above", "pct")],
+          "entities": [("County Code", "county_code"), ("District Code", "district_code"),
+                       ("School Code", "school_code"), ("County Name", "county_name")]},
+}
+DEFAULT_PLAN = {2015: "A", 2016: "A", 2017: "A", 2018: "B", 2019: "B", 2021: "C"}
+NO_TYPE_YEAR = 2017  # the entity member of this year lacks the type column -> levels inferred from codes
+
+
+def _quoted(v, sep: str):
+    """CSV quoting: fields holding the separator or a quote are quoted, inner quotes doubled."""
+    return F.when(v.contains(sep) | v.contains('"'),
+                  F.concat(F.lit('"'), F.regexp_replace(v, '"', '""'), F.lit('"'))).otherwise(v)
+
+
+def _csv_line(values, sep: str = ",") -> str:
+    out = io.StringIO()
+    csv.writer(out, delimiter=sep, quotechar='"', doublequote=True, lineterminator="").writerow(values)
+    return out.getvalue()
+
+
+def _lines(df: DataFrame, fields, sep: str, member: str, year: int, drop=()) -> DataFrame:
+    fields = [f for f in fields if f[1] not in drop]
+    header = sep.join(h for h, _ in fields)
+    vals = [_quoted(F.coalesce(F.col(c).cast("string"), F.lit("*" if c == "pct" else "")), sep) for _, c in fields]
+    body = df.select(F.concat_ws(sep, *vals).alias("line"))
+    head = df.sparkSession.range(1).select(F.lit(header).alias("line"))
+    return (head.withColumn("o", F.lit(0)).unionByName(body.withColumn("o", F.lit(1)))
+            .select(F.lit(year).alias("year"), F.lit(member).alias("member"), "o", "line"))
+
+
+def _zip_group(out_root: str):
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        year = int(pdf["year"].iloc[0])
+        name = pdf["archive"].iloc[0]
+        path = os.path.join(out_root, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        pdf = pdf.sort_values(["member", "o", "k"], kind="stable")
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+            for member, g in pdf.groupby("member", sort=True):
+                zf.writestr(member, ("\n".join(g["line"]) + "\n").encode("latin-1"))
+        with open(path, "wb") as f:
+            f.write(buf.getvalue())
+        return pd.DataFrame({"year": [year], "archive": [name], "bytes": [len(buf.getvalue())]})
+    return write
+
+
+def render_archives(cells: DataFrame, out_root: str, plan=DEFAULT_PLAN) -> DataFrame:
+    """Write ``all-student-groups/sb_ca{year}_all_csv_v1.zip`` per planned year (plus a stale v0 for the first
+    year) and ``file_formats/{year}/StudentGroups.zip|Tests.zip``; returns (year, archive, bytes)."""
+    parts = []
+    for year, lay in plan.items():
+        spec = LAYOUTS[lay]
+        yr = cells.filter(F.col("year") == year).withColumn("test_type", F.lit("B"))
+        yr = yr.withColumnRenamed("pct_met_and_above", "pct")
+        noise = (yr.limit(3).withColumn("test_type", F.lit("A"))
+                 .unionByName(yr.limit(3).withColumn("test_id", F.lit(3)))
+                 .unionByName(yr.limit(3).withColumn("grade", F.lit(13))))
+        data = _lines(yr.unionByName(noise), spec["data"], spec["sep"], f"sb_ca{year}_all_csv_v1.txt", year)
+        ent_cols = list(dict.fromkeys(c for _, c in spec["entities"]))
+        ents = cells.filter(F.col("year") == year).select(*ent_cols).distinct()
+        drop = ("type_id",) if year == NO_TYPE_YEAR else ()
+        ent = _lines(ents, spec["entities"], spec["sep"], f"sb_ca{year}entities_csv.txt", year, drop)
+        name = f"all-student-groups/sb_ca{year}_all_csv_v1.zip"
+        parts.append(data.unionByName(ent).withColumn("archive", F.lit(name)))
+    first = min(plan)
+    stale = _lines(cells.filter(F.col("year") == first).withColumn("test_type", F.lit("B"))
+                   .withColumn("pct", F.lit(None).cast("double")),
+                   LAYOUTS[plan[first]]["data"], LAYOUTS[plan[first]]["sep"], f"sb_ca{first}_all_csv_v0.txt", first)
+    parts.append(stale.withColumn("archive", F.lit(f"all-student-groups/sb_ca{first}_all_csv_v0.zip")))
+
+    spark = cells.sparkSession
+    newest = max(plan)
+    groups_rows = [(f"D{i}", str(i), n, c) for i, n, c in STUDENT_GROUPS]
+    stale_rows = [(f"D{i}", str(i), "stale " + n, c) for i, n, c in STUDENT_GROUPS[:3]]
+    look = []
+    for year, rows in ((newest, groups_rows), (min(plan), stale_rows)):
+        txt = ["Demographic ID,Demographic ID Num,Demographic Name,Student Group"] + [_csv_line(r) for r in rows]
+        look += [(year, "StudentGroups.txt", 0 if j == 0 else 1, line, f"file_formats/{year}/StudentGroups.zip")
+                 for j, line in enumerate(txt)]
+    txt = ["Test ID Num^Test Name"] + [_csv_line((str(i), n), "^") for i, n in TESTS]
+    look += [(newest, "Tests.txt", 0 if j == 0 else 1, line, f"file_formats/{newest}/Tests.zip")
+             for j, line in enumerate(txt)]
+    parts.append(spark.createDataFrame(look, "year int, member string, o int, line string, archive string"))
+
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    u = u.withColumn("k", F.monotonically_increasing_id())
+    return u.groupBy("archive").applyInPandas(_zip_group(out_root), "year int, archive string, bytes long")
