@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.exprs import col_, label_part_after, label_part_before
+from .joins import join_bounded
 
 
 def level_pred(type_ids) -> Column:
@@ -56,12 +57,15 @@ def nonblank(df: DataFrame, col: str) -> DataFrame:
     return df.filter(F.col(col).isNotNull() & (F.trim(F.col(col)) != ""))
 
 
-def tag_sides(df: DataFrame, sides: dict, tag: str = "entity") -> DataFrame:
+def tag_sides(df: DataFrame, sides: dict, tag: str = "entity", prefilter: Column | None = None) -> DataFrame:
     """Label rows with every named side whose predicate they satisfy, in ONE scan.
 
     A row matching several sides (e.g. the state selected as the focus) is emitted once per side by
-    ``explode`` – never a self join.
+    ``explode`` – never a self join. ``prefilter`` is a pushable superset of the sides (e.g. the levels
+    involved) so the Parquet scan can skip row groups the side predicates (regex, OR) cannot.
     """
+    if prefilter is not None:
+        df = df.filter(prefilter)
     preds = list(sides.values())
     tags = F.array_compact(F.array(*[F.when(p, F.lit(name)) for name, p in sides.items()]))
     return df.filter(reduce(lambda a, b: a | b, preds)).withColumn(tag, F.explode(tags))
@@ -99,15 +103,14 @@ def select_by_label(df: DataFrame, labels: DataFrame, entity_type: str) -> DataF
             F.regexp_replace(label_part_after("label", r" \("), r"\)+$", "").alias("k_county"))
         cond = ((df.district_name == keys.k_district)
                 & (keys.k_county.isNull() | (df.county_name == keys.k_county)))
-        return df.filter(level_pred(C.TYPE_DISTRICT)).join(F.broadcast(keys), cond, "left_semi")
+        return join_bounded(df.filter(level_pred(C.TYPE_DISTRICT)), keys, cond, "left_semi")
     if entity_type == "School":
         keys = labels.select(
             label_part_before("label", " — ").alias("k_school"),
             label_part_before(label_part_after("label", " — "), r" \(").alias("k_district"))
         cond = ((df.school_name == keys.k_school)
                 & (keys.k_district.isNull() | (df.district_name == keys.k_district)))
-        return df.filter(level_pred(C.TYPE_SCHOOL)).join(F.broadcast(keys), cond, "left_semi")
+        return join_bounded(df.filter(level_pred(C.TYPE_SCHOOL)), keys, cond, "left_semi")
     return empty_like(df)
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["col_"]

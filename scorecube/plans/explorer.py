@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.exprs import district_label, school_label, subject_id
 from ..operators import aggregate as A
-from ..operators.select import level_pred, nonblank, select_by_label, tag_sides
+from ..operators.joins import join_bounded
+from ..operators.select import level_pred, nonblank, select_by_label
 from ..sources.cells import cells
 from .registry import register, with_cells
 
@@ -136,9 +137,8 @@ def _state_and_selected(spark, sf_dir) -> DataFrame:
         F.regexp_replace(F.split("label", r" \(", 2).getItem(1), r"\)+$", "").alias("k_c"))
     sg = _subject_group(c)
     # the selected district by label -> a (name, county) predicate; labels are few (one per matching entity)
-    sel = sg.filter(level_pred(C.TYPE_DISTRICT)).join(
-        F.broadcast(sel_keys), (F.col("district_name") == F.col("k_d")) & (F.col("county_name") == F.col("k_c")),
-        "left_semi")
+    sel = join_bounded(sg.filter(level_pred(C.TYPE_DISTRICT)), sel_keys,
+                       (F.col("district_name") == F.col("k_d")) & (F.col("county_name") == F.col("k_c")), "left_semi")
     return (sg.filter(level_pred(C.TYPE_STATE)).withColumn("side", F.lit("state"))
             .unionByName(sel.withColumn("side", F.lit("selected"))))
 

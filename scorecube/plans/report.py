@@ -38,7 +38,8 @@ class Report:
         self.spark, self.spec = spark, spec
         subj = cells(spark, sf_dir).filter(subject_pred(spec.test_id))
         focus = name_contains_pred(spec.focus_name_col, spec.focus_pattern, spec.focus_level)
-        self.sides = (tag_sides(subj, {"focus": focus, "bench": level_pred(C.TYPE_STATE)})
+        levels = level_pred(tuple(sorted({spec.focus_level, C.TYPE_STATE})))
+        self.sides = (tag_sides(subj, {"focus": focus, "bench": level_pred(C.TYPE_STATE)}, prefilter=levels)
                       .withColumnRenamed("student_group_name", "student_group"))
 
     def rows(self, groups, entity: str | None = None) -> DataFrame:
@@ -185,7 +186,8 @@ def q06_12_grade_trends(spark, sf_dir):
 
 
 def _with_bounds(df: DataFrame, value: str, pad: float, lo=0.0, hi=100.0, empty=None) -> DataFrame:
-    """Attach padded shared bounds (A7), one row per subject – a side bounded by the subject domain."""
+    """Attach padded shared bounds (A7). The bounds frame is grouped by ``test_id`` after a one-subject filter,
+    so it has at most one row: a broadcast with a structural size bound."""
     kw = dict(empty_lo=-empty, empty_hi=empty) if empty else {}
     b = A.bounds(df, ["test_id"], value, pad, lo, hi, **kw)
     return df.join(F.broadcast(b), ["test_id"], "left")

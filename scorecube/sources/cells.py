@@ -8,8 +8,8 @@ Plan at scale:
   orders ⋈ customer            (orders-sized shuffle on custkey)
   lineitem ⋈ (orders+customer) (the one lineitem-sized shuffle, on orderkey)
   partial aggregate to (supplier, year, grade, test, segment, priority class)
-  ⋈ supplier ⋈ nation ⋈ region (nation/region: 25/5 rows by definition -> broadcast; supplier is left to
-                                Catalyst/AQE size statistics: broadcast when small, sort-merge beyond)
+  ⋈ supplier ⋈ nation ⋈ region (nation ⋈ region broadcast after a row-count check; supplier likewise, else a
+                                sort-merge join on suppkey)
   explode overlapping student groups (≤ 6 per row, no non-equi join)
   GROUPING SETS aggregate (Expand + partial/final aggregation; algebraic sums only)
 The materialised table is written once per (session, sf_dir) under the shared checkpoint folder, range
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..operators.joins import join_bounded
 from ..session import new_table_path
 from .tables import read_table, table_path
 
@@ -95,9 +96,10 @@ def derive_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.sum(F.when(F.col("l_quantity") > MET_QUANTITY, 1).otherwise(0)).alias("k")))
     nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
     region = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
-    geo_small = F.broadcast(nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey))
+    geo_small = join_bounded(nation, region, nation.n_regionkey == region.r_regionkey)
     supplier = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
-    geo = (supplier.join(geo_small, supplier.s_nationkey == geo_small.n_nationkey)
+    # the geography side is broadcast only after its row count is checked; supplier is left to Catalyst/AQE
+    geo = (join_bounded(supplier, geo_small, supplier.s_nationkey == geo_small.n_nationkey)
            .select("s_suppkey",
                    F.lpad((F.col("n_regionkey") + 1).cast("string"), 2, "0").alias("county_code"),
                    F.col("r_name").alias("county_name"),
