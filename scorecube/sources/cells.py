@@ -7,11 +7,11 @@ GROUPING SETS (state ⊂ county ⊂ district ⊂ school), so the state-level "ho
 Plan at scale:
   orders ⋈ customer            (orders-sized shuffle on custkey)
   lineitem ⋈ (orders+customer) (the one lineitem-sized shuffle, on orderkey)
-  partial aggregate to (supplier, year, grade, test, segment, priority class)
-  ⋈ supplier ⋈ nation ⋈ region (nation ⋈ region broadcast after a row-count check; supplier likewise, else a
-                                sort-merge join on suppkey)
+  supplier ⋈ nation ⋈ region   (nation ⋈ region broadcast after a row-count check)
   explode overlapping student groups (≤ 6 per row, no non-equi join)
-  GROUPING SETS aggregate (Expand + partial/final aggregation; algebraic sums only)
+  aggregate at the finest level on narrow keys (supplier key) – partial aggregation before the shuffle
+  ⋈ geography onto that aggregate, then GROUPING SETS over the school-level sums (district, county, state;
+  the hot state keys combine map-side)
 The materialised table is written once per (session, sf_dir) under the shared checkpoint folder, range
 partitioned and sorted like the published fact file so Parquet min/max statistics skip row groups.
 """
@@ -87,18 +87,11 @@ def derive_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
                   (F.col("o_orderpriority") < F.lit("4")).alias("prio_lt4")))
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity",
                     "l_linestatus")
-    pre = (li.join(oc, li.l_orderkey == oc.o_orderkey)
-           .groupBy("l_suppkey", "year",
-                    F.when(F.col("l_linenumber") <= 6, F.col("l_linenumber") + 2).otherwise(F.lit(11)).alias("grade"),
-                    F.when(F.col("l_linestatus") == "O", F.lit(1)).otherwise(F.lit(2)).alias("test_id"),
-                    "seg", "prio_lt4")
-           .agg(F.count(F.lit(1)).alias("n"),
-                F.sum(F.when(F.col("l_quantity") > MET_QUANTITY, 1).otherwise(0)).alias("k")))
     nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
     region = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
     geo_small = join_bounded(nation, region, nation.n_regionkey == region.r_regionkey)
     supplier = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
-    # the geography side is broadcast only after its row count is checked; supplier is left to Catalyst/AQE
+    # the geography side is broadcast only after its row count is checked; supplier likewise, else sort-merge
     geo = (join_bounded(supplier, geo_small, supplier.s_nationkey == geo_small.n_nationkey)
            .select("s_suppkey",
                    F.lpad((F.col("n_regionkey") + 1).cast("string"), 2, "0").alias("county_code"),
@@ -108,16 +101,24 @@ def derive_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.lpad(F.col("s_suppkey").cast("string"), 7, "0").alias("school_code"),
                    F.col("s_name").alias("school_name"),
                    (F.col("s_suppkey") % 10 == 9).alias("charter")))
-    rows = (pre.join(geo, pre.l_suppkey == geo.s_suppkey)
-            .withColumn("school_type",
-                        F.when(F.col("charter") & (F.col("year") >= 2018), F.lit(9)).otherwise(F.lit(7)))
-            .withColumn("student_group_id", F.explode(_group_ids(F.col("seg"), F.col("prio_lt4")))))
     fixed = ["year", "grade", "test_id", "student_group_id"]
     county = ["county_code", "county_name"]
     district = county + ["district_code", "district_name"]
     school = district + ["school_code", "school_name", "school_type"]
-    agg = (rows.groupingSets([fixed, fixed + county, fixed + district, fixed + school],
-                             *(fixed + school))
+    # 1) the finest level on narrow numeric keys (supplier key, not its name strings), map-side combined
+    rows = (li.join(oc, li.l_orderkey == oc.o_orderkey)
+            .select("year", "l_suppkey",
+                    F.when(F.col("l_linenumber") <= 6, F.col("l_linenumber") + 2).otherwise(F.lit(11)).alias("grade"),
+                    F.when(F.col("l_linestatus") == "O", F.lit(1)).otherwise(F.lit(2)).alias("test_id"),
+                    F.explode(_group_ids(F.col("seg"), F.col("prio_lt4"))).alias("student_group_id"),
+                    F.when(F.col("l_quantity") > MET_QUANTITY, 1).otherwise(0).alias("met")))
+    finest = rows.groupBy(*fixed, "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("met").alias("k"))
+    # 2) names and the school type attached to the (much smaller) aggregate
+    finest = (join_bounded(finest, geo, F.col("l_suppkey") == F.col("s_suppkey"))
+              .withColumn("school_type",
+                          F.when(F.col("charter") & (F.col("year") >= 2018), F.lit(9)).otherwise(F.lit(7))))
+    # 3) roll up to district, county and state with GROUPING SETS over the school-level sums
+    agg = (finest.groupingSets([fixed, fixed + county, fixed + district, fixed + school], *(fixed + school))
            .agg(F.sum("n").alias("n"), F.sum("k").alias("k"),
                 F.grouping("county_code").alias("g_c"), F.grouping("district_code").alias("g_d"),
                 F.grouping("school_code").alias("g_s")))
