@@ -5,7 +5,7 @@ def load_all():
     from . import report  # noqa: F401
     from .registry import ORACLES, QUERIES
 
-    for mod in ("explorer", "adhoc", "questions", "operators_at_scale", "outputs", "ingestion"):
+    for mod in ("explorer", "adhoc", "questions", "at_scale", "outputs", "ingestion"):
         try:
             __import__(f"{__name__}.{mod}")
         except ModuleNotFoundError as e:
