@@ -125,3 +125,14 @@ def test_full_roundtrip_small(spark, tmp_dir):
     assert sorted(map(tuple, ing.fact.collect()), key=key) == sorted(map(tuple, src.select(*cols).collect()), key=key)
     status = {r["year"]: (r["rows"], r["error"]) for r in ing.status.collect()}
     assert status[2019] == (0, "archive not found") and status[2015][1] is None
+
+
+def test_type_from_entities_with_inline_names(spark, tmp_dir):
+    hdr = ("County Code^District Code^School Code^District Name^School Name^Test Year^Student Group ID^Test Type"
+           "^Test ID^Grade^Total Students Tested^Percentage Standard Met and Above\n")
+    data = hdr + "01^00001^0000009^Dist^Sch^2024^1^B^2^3^30^40\n01^00001^0000000^Dist^^2024^1^B^2^3^90^41\n"
+    ents = ("County Code^District Code^School Code^County Name^Type ID\n"
+            "01^00001^0000009^Alpha^9\n01^00001^0000000^Alpha^6\n")
+    ok, _ = _conform(spark, tmp_dir, data, ents)
+    got = sorted((r["school_code"], r["type_id"], r["county_name"], r["school_name"]) for r in ok.collect())
+    assert got == [("0000000", 6, "Alpha", ""), ("0000009", 9, "Alpha", "Sch")]

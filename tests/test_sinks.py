@@ -70,3 +70,11 @@ def test_sorted_fact_layout(spark, tmp_dir):
 def test_named_series(spark, tmp_dir):
     paths = D.write_named_series({"overall": _fact(spark).limit(2)}, tmp_dir)
     assert paths[0].endswith("01_overall") and spark.read.parquet(paths[0]).count() == 2
+
+
+def test_sidecar_written_in_order(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "entities")
+    D.write_sidecar(D.entity_list(_fact(spark), 2018), path, ["type_id", "county_name", "district_name", "school_name"])
+    files = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+    rows = [json.loads(line) for f in files for line in open(os.path.join(path, f))]
+    assert [r["type_id"] for r in rows] == [4, 5, 9]
