@@ -7,6 +7,9 @@ is partitioned by entity, so the same plans run for all entities at once (see ``
 
 from __future__ import annotations
 
+import os
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,10 @@ class Report:
         levels = level_pred(tuple(sorted({spec.focus_level, C.TYPE_STATE})))
         self.sides = (tag_sides(subj, {"focus": focus, "bench": level_pred(C.TYPE_STATE)}, prefilter=levels)
                       .withColumnRenamed("student_group_name", "student_group"))
+        if os.environ.get("SCORECUBE_PERSIST_SIDES", "1") == "1":
+            # one subject at two levels: bounded by the entity's key domain, shared by every report query;
+            # MEMORY_AND_DISK, recomputed from the fact table if an executor is lost
+            self.sides = self.sides.persist(StorageLevel.MEMORY_AND_DISK)
 
     def rows(self, groups, entity: str | None = None) -> DataFrame:
         groups = (groups,) if isinstance(groups, str) else tuple(groups)
