@@ -109,5 +109,11 @@ def unpack(spark: SparkSession, archives: DataFrame, out_path: str) -> DataFrame
     content = spark.read.format("binaryFile").load(paths).select("path", "content")
     per_task = archives.join(content, "path").repartition(len(paths), "path")
     lines = per_task.select("tag", "year", "content").mapInPandas(_unpack, LINES_SCHEMA)
-    lines.write.mode("overwrite").parquet(out_path)
-    return spark.read.parquet(out_path)
+    # partitioned by member so each member's parse reads only its own files (partition pruning)
+    lines.write.mode("overwrite").partitionBy("tag", "year", "kind").parquet(out_path)
+    return read_lines(spark, out_path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The unpacked lines table with typed partition columns."""
+    return spark.read.schema(LINES_SCHEMA).parquet(path)
