@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 ARCHIVE_GLOB = "sb_ca*_all_csv_v*.zip"
 ARCHIVE_RE = r"sb_ca(\d{4})_all_csv_v(\d+)\.zip$"
 LINES_SCHEMA = ("tag string, year int, kind string, member string, caret boolean, line_no long, line string, "
@@ -103,6 +105,7 @@ def unpack(spark: SparkSession, archives: DataFrame, out_path: str) -> DataFrame
     """S2 – unpack ``archives`` (columns tag, year, path) into a lines table at ``out_path``; returns it.
 
     The archive list is metadata (one row per yearly file); the bytes never reach the driver."""
+    ship_package(spark)
     paths = [r["path"] for r in archives.select("path").collect()]
     if not paths:
         return spark.createDataFrame([], LINES_SCHEMA)

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from ..sources.cells import STUDENT_GROUPS, TESTS
 
 LAYOUTS = {
@@ -95,6 +96,7 @@ def _zip_group(out_root: str):
 def render_archives(cells: DataFrame, out_root: str, plan=DEFAULT_PLAN) -> DataFrame:
     """Write ``all-student-groups/sb_ca{year}_all_csv_v1.zip`` per planned year (plus a stale v0 for the first
     year) and ``file_formats/{year}/StudentGroups.zip|Tests.zip``; returns (year, archive, bytes)."""
+    ship_package(cells.sparkSession)
     parts = []
     for year, lay in plan.items():
         spec = LAYOUTS[lay]
