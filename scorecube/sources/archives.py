@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_bounded
 from ..session import ship_package
 
 ARCHIVE_GLOB = "sb_ca*_all_csv_v*.zip"
@@ -109,8 +110,10 @@ def unpack(spark: SparkSession, archives: DataFrame, out_path: str) -> DataFrame
     paths = [r["path"] for r in archives.select("path").collect()]
     if not paths:
         return spark.createDataFrame([], LINES_SCHEMA)
+    # each archive is one unsplittable scan partition; the (tiny) archive metadata is joined onto the scan with a
+    # size-checked broadcast, so the archive bytes are never shuffled
     content = spark.read.format("binaryFile").load(paths).select("path", "content")
-    per_task = archives.join(content, "path").repartition(len(paths), "path")
+    per_task = join_bounded(content, archives.select("path", "tag", "year"), ["path"])
     lines = per_task.select("tag", "year", "content").mapInPandas(_unpack, LINES_SCHEMA)
     # partitioned by member so each member's parse reads only its own files (partition pruning)
     lines.write.mode("overwrite").partitionBy("tag", "year", "kind").parquet(out_path)

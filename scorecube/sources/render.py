@@ -1,6 +1,6 @@
 """Test fixture: render cells as the three raw yearly layouts (FIXTURES.md §1) so ingestion can be checked by
-round trip. Lines are formatted by Spark; each archive is zipped by one task (one group per archive, the
-archive format being a single stream).
+round trip. Lines are formatted by Spark, sorted within partitions by archive and member, and streamed into the
+zip files line by line (a zip is a single stream, so one task writes each archive; memory stays bounded).
 
 Layouts (fixed values of the published releases):
   A  2015–2019 style: comma, "Subgroup ID", "Test Id", "Students Tested"; names + "Type Id" in the entity member
@@ -14,6 +14,7 @@ from __future__ import annotations
 import csv
 import io
 import os
+import uuid
 import zipfile
 
 import pandas as pd
@@ -76,21 +77,53 @@ def _lines(df: DataFrame, fields, sep: str, member: str, year: int, drop=()) ->
             .select(F.lit(year).alias("year"), F.lit(member).alias("member"), "o", "line"))
 
 
-def _zip_group(out_root: str):
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        year = int(pdf["year"].iloc[0])
-        name = pdf["archive"].iloc[0]
-        path = os.path.join(out_root, name)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        pdf = pdf.sort_values(["member", "o", "k"], kind="stable")
-        buf = io.BytesIO()
-        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
-            for member, g in pdf.groupby("member", sort=True):
-                zf.writestr(member, ("\n".join(g["line"]) + "\n").encode("latin-1"))
-        with open(path, "wb") as f:
-            f.write(buf.getvalue())
-        return pd.DataFrame({"year": [year], "archive": [name], "bytes": [len(buf.getvalue())]})
-    return write
+class _ArchiveStream:
+    """Writes sorted (archive, member, line) rows into zip files one line at a time (bounded memory)."""
+
+    def __init__(self, out_root: str):
+        self.out_root, self.archive, self.member = out_root, None, None
+        self.zf = self.fh = self.tmp = None
+        self.done = []
+
+    def _close_member(self):
+        if self.fh is not None:
+            self.fh.close()
+            self.fh, self.member = None, None
+
+    def _close_archive(self):
+        self._close_member()
+        if self.zf is not None:
+            self.zf.close()
+            os.replace(self.tmp, os.path.join(self.out_root, self.archive))  # atomic: a retried task rewrites it
+            self.done.append((self.year, self.archive, os.path.getsize(os.path.join(self.out_root, self.archive))))
+            self.zf, self.archive = None, None
+
+    def write(self, archive: str, year: int, member: str, line: str):
+        if archive != self.archive:
+            self._close_archive()
+            path = os.path.join(self.out_root, archive)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            self.tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+            self.zf, self.archive, self.year = zipfile.ZipFile(self.tmp, "w", zipfile.ZIP_DEFLATED), archive, year
+        if member != self.member:
+            self._close_member()
+            self.fh, self.member = self.zf.open(member, "w"), member
+        self.fh.write((line + "\n").encode("latin-1"))
+
+    def close(self):
+        self._close_archive()
+        return self.done
+
+
+def _zip_stream(out_root: str):
+    def run(batches):
+        w = _ArchiveStream(out_root)
+        for pdf in batches:
+            for a, y, m, line in zip(pdf["archive"], pdf["year"], pdf["member"], pdf["line"]):
+                w.write(a, int(y), m, line)
+        done = w.close()
+        yield pd.DataFrame(done, columns=["year", "archive", "bytes"])
+    return run
 
 
 def render_archives(cells: DataFrame, out_root: str, plan=DEFAULT_PLAN) -> DataFrame:
@@ -136,5 +169,8 @@ def render_archives(cells: DataFrame, out_root: str, plan=DEFAULT_PLAN) -> DataF
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
+    # one writer per archive (a zip is a single stream); rows arrive sorted, so each task streams its archives
     u = u.withColumn("k", F.monotonically_increasing_id())
-    return u.groupBy("archive").applyInPandas(_zip_group(out_root), "year int, archive string, bytes long")
+    ordered = u.repartition("archive").sortWithinPartitions("archive", "member", "o", "k")
+    return ordered.select("archive", "year", "member", "line").mapInPandas(
+        _zip_stream(out_root), "year int, archive string, bytes long")
