@@ -31,7 +31,8 @@ def with_cells(*ctes: str) -> str:
 def rounded_sql(body: str, doubles=()) -> str:
     if not doubles:
         return body
-    rep = ", ".join(f"round({c}, 6) AS {c}" for c in doubles)
+    # "+ 0.0" turns a rounded -0.0 into 0.0 (Spark's round already yields 0.0 there)
+    rep = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM (\n{body}\n) AS q"
 
 

@@ -30,7 +30,7 @@ def _rows(pdf):
             return None
         if hasattr(v, "item"):
             v = v.item()
-        return round(v, 6) if isinstance(v, float) else v
+        return repr(round(v, 6)) if isinstance(v, float) else v
     rows = [tuple(norm(x) for x in r) for r in pdf[cols].itertuples(index=False, name=None)]
     return cols, sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
 
