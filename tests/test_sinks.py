@@ -78,3 +78,12 @@ def test_sidecar_written_in_order(spark, tmp_dir):
     files = sorted(f for f in os.listdir(path) if f.startswith("part-"))
     rows = [json.loads(line) for f in files for line in open(os.path.join(path, f))]
     assert [r["type_id"] for r in rows] == [4, 5, 9]
+
+
+def test_export_documents_size_guard(spark, tmp_dir):
+    import pytest
+
+    D.export_documents(_fact(spark), os.path.join(tmp_dir, "ok"))
+    assert os.path.isdir(os.path.join(tmp_dir, "ok", "doc=state"))
+    with pytest.raises(ValueError):
+        D.export_documents(_fact(spark), os.path.join(tmp_dir, "no"), max_records=1)
