@@ -22,7 +22,7 @@ class ExplorerSpec:
     entity_type: str = "District"
     district_name: str = "NATION_1"      # picks the label(s) offered for this name from the choices
     school_name: str = "Supplier#000000001"
-    test_name: str = "Smarter Balanced Mathematics"
+    test_name: str = "Mathematics"
     student_group_id: int = 1
     min_state_years: int = 2
 

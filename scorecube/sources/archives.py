@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import join_bounded
 from ..session import ship_package
 
+# The yearly release archive naming (year, version) and the sniffed prefix length
 ARCHIVE_GLOB = "sb_ca*_all_csv_v*.zip"
 ARCHIVE_RE = r"sb_ca(\d{4})_all_csv_v(\d+)\.zip$"
 LINES_SCHEMA = ("tag string, year int, kind string, member string, caret boolean, line_no long, line string, "

@@ -47,7 +47,7 @@ STUDENT_GROUPS = (
     (10, C.SG_EL_12, "English Learner Enrollment"),
     (11, C.SG_EL_L12, "English Learner Enrollment"),
 )
-TESTS = ((1, "Smarter Balanced English Language Arts/Literacy"), (2, "Smarter Balanced Mathematics"))
+TESTS = ((1, "English Language Arts/Literacy"), (2, "Mathematics"))
 
 CELL_COLUMNS = (
     "year", "type_id", "county_code", "county_name", "district_code", "district_name", "school_code",
