@@ -700,3 +700,30 @@ def q66_story(spark, sf_dir):
     bench = (r.annual(C.SG_ALL, "bench").join(mix.select("year"), ["year"], "left_semi")
              .select(F.lit("overall_perf").alias("panel"), "entity", "year", F.col(PCT).alias("value")))
     return focus.select("panel", "entity", "year", "value").unionByName(bench)
+
+
+# ---------------------------------------------------------------------------------------------------------
+# F6 contains semantics at district level: the pattern matches several districts (NATION_1, NATION_10 … 19),
+# whose cells are pooled into one weighted average – as a substring selection does.
+# ---------------------------------------------------------------------------------------------------------
+DISTRICT_SPEC = C.ReportSpec(focus_level=C.TYPE_DISTRICT, focus_name_col="district_name", focus_pattern="NATION_1")
+
+
+@register("q01_district_focus_contains", with_cells(SUBJ, f"""
+sides_d AS (
+  SELECT 'focus' AS entity, * FROM subj
+  WHERE type_id = {C.TYPE_DISTRICT} AND coalesce(regexp_matches(district_name, {_q('(?i)' + DISTRICT_SPEC.focus_pattern)}), false)
+  UNION ALL
+  SELECT 'bench' AS entity, * FROM subj WHERE type_id = {C.TYPE_STATE})""") + f"""
+SELECT entity, year, sum(pct_met_and_above * students_tested) / sum(students_tested) AS pct_met_and_above,
+       CAST(sum(students_tested) AS DOUBLE) AS students_tested,
+       CAST(count(DISTINCT district_code) AS BIGINT) AS entities
+FROM sides_d WHERE student_group_name = {ALL} AND {'pct_met_and_above IS NOT NULL AND NOT isnan(pct_met_and_above) AND students_tested > 0'}
+GROUP BY entity, year""", doubles=(PCT, N))
+def q01_district_focus_contains(spark, sf_dir):
+    """Q01 with a district focus chosen by substring: every matching district is pooled (and counted)."""
+    rows = Report.of(spark, sf_dir, DISTRICT_SPEC).rows(C.SG_ALL)
+    v, n = F.col(PCT), F.col(N)
+    ok = rows.filter(v.isNotNull() & ~F.isnan(v) & n.isNotNull() & (n > 0))
+    return ok.groupBy("entity", "year").agg((F.sum(v * n) / F.sum(n)).alias(PCT), F.sum(n).cast("double").alias(N),
+                                            F.countDistinct("district_code").alias("entities"))
