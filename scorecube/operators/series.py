@@ -50,6 +50,19 @@ def change(df: DataFrame, keys, order: str, value: str = C.PCT, out: str = "chan
     return out_df.filter(F.col(out).isNotNull()) if drop_first else out_df
 
 
+def change_on_domain(df: DataFrame, keys, axis: str = "year", domain=C.YEARS, value: str = C.PCT,
+                     out: str = "change") -> DataFrame:
+    """W1 without materialising the spine: value − previous value only when the previous present row is the
+    immediately preceding position of the domain (so 2021 follows 2019, and a missing year also voids the next
+    year's change). One window per partition; no distinct, no join."""
+    pos = F.array_position(F.array(*[F.lit(v) for v in domain]), F.col(axis))
+    w = Window.partitionBy(*keys).orderBy("_pos")
+    d = df.withColumn("_pos", pos).filter(F.col("_pos") > 0)
+    adjacent = F.lag("_pos").over(w) == F.col("_pos") - 1
+    d = d.withColumn(out, F.when(adjacent, F.col(value) - F.lag(value).over(w)))
+    return d.filter(F.col(out).isNotNull()).drop("_pos")
+
+
 def index_to_base(df: DataFrame, keys, value: str = C.PCT, axis: str = "year", base=C.YEARS[0],
                   out: str = "index") -> DataFrame:
     """W5 – value / value(base) × 100 per partition; a missing base makes the whole partition null."""

@@ -163,9 +163,8 @@ SELECT * FROM (SELECT {ENT_SQL}, test_id, year,
 WHERE change IS NOT NULL""", doubles=("change",))
 def w01_yoy_spine(spark, sf_dir):
     """W1 – year-over-year change on the complete year domain for every entity and subject (All Students)."""
-    s = SE.on_spine(_annual_all(spark, sf_dir).select(*ENT, "test_id", "year", PCT), ENT + ["test_id"], "year",
-                    C.YEARS, ord_col="ord")
-    return SE.change(s, ENT + ["test_id"], "ord").select(*ENT, "test_id", "year", "change")
+    ch = SE.change_on_domain(_annual_all(spark, sf_dir), ENT + ["test_id"], "year", C.YEARS)
+    return ch.select(*ENT, "test_id", "year", "change")
 
 
 @register("w02_change_present_years", with_cells(ANN_ALL) + f"""

@@ -157,10 +157,8 @@ def q03_overall_gap(spark, sf_dir):
 def q04_overall_yoy_change(spark, sf_dir):
     """Year-over-year change of the focus on the complete year domain (2021 follows 2019)."""
     r = _r(spark, sf_dir)
-    s = SE.on_spine(r.annual(C.SG_ALL, "focus").select("entity", "year", PCT), ["entity"], "year", S.years,
-                    ord_col="ord")
-    return (SE.change(s, ["entity"], "ord").select("year", "change")
-            .withColumn("sign", sign_class("change")))
+    ch = SE.change_on_domain(r.annual(C.SG_ALL, "focus"), ["entity"], "year", S.years)
+    return ch.select("year", "change").withColumn("sign", sign_class("change"))
 
 
 @register("q05_overall_indexed", sql(

@@ -112,3 +112,13 @@ def test_top_k_deterministic(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "w"), ("a", 2, "v"), ("b", 0, "u")], "p string, v int, code string")
     got = [(r["p"], r["code"]) for r in top_k(df, ["p"], [F.col("v"), F.col("code")], 2).orderBy("p", "rank").collect()]
     assert got == [("a", "w"), ("a", "x"), ("b", "u")]
+
+
+def test_change_on_domain_equals_spine_change(spark):
+    rows = [("e", 2015, 10.0), ("e", 2016, 12.0), ("e", 2018, 15.0), ("e", 2019, 16.0), ("e", 2021, 20.0),
+            ("f", 2019, 1.0), ("f", 2021, 3.0), ("f", 2023, 4.0)]
+    df = spark.createDataFrame(rows, "entity string, year int, pct_met_and_above double")
+    spine = SE.on_spine(df, ["entity"], "year", C.YEARS, ord_col="ord")
+    a = sorted((r["entity"], r["year"], r["change"]) for r in SE.change(spine, ["entity"], "ord").collect())
+    b = sorted((r["entity"], r["year"], r["change"]) for r in SE.change_on_domain(df, ["entity"]).collect())
+    assert a == b == [("e", 2016, 2.0), ("e", 2019, 1.0), ("e", 2021, 4.0), ("f", 2021, 2.0)]
