@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..session import ship_package
 from ..sources.cells import STUDENT_GROUPS, TESTS
 
@@ -67,14 +68,19 @@ def _csv_line(values, sep: str = ",") -> str:
     return out.getvalue()
 
 
-def _lines(df: DataFrame, fields, sep: str, member: str, year: int, drop=()) -> DataFrame:
-    fields = [f for f in fields if f[1] not in drop]
-    header = sep.join(h for h, _ in fields)
+def _line(fields, sep: str):
+    """One delimited text line from the named columns (null percentage written as ``*``)."""
     vals = [_quoted(F.coalesce(F.col(c).cast("string"), F.lit("*" if c == "pct" else "")), sep) for _, c in fields]
-    body = df.select(F.concat_ws(sep, *vals).alias("line"))
-    head = df.sparkSession.range(1).select(F.lit(header).alias("line"))
-    return (head.withColumn("o", F.lit(0)).unionByName(body.withColumn("o", F.lit(1)))
-            .select(F.lit(year).alias("year"), F.lit(member).alias("member"), "o", "line"))
+    return F.concat_ws(sep, *vals)
+
+
+def _by_year(variants):
+    """A line expression chosen by year: ``variants`` is a list of (years, fields, sep)."""
+    expr = None
+    for years, fields, sep in variants:
+        cond = F.col("year").isin(*years)
+        expr = F.when(cond, _line(fields, sep)) if expr is None else expr.when(cond, _line(fields, sep))
+    return expr
 
 
 class _ArchiveStream:
@@ -128,47 +134,66 @@ def _zip_stream(out_root: str):
 
 def render_archives(cells: DataFrame, out_root: str, plan=DEFAULT_PLAN) -> DataFrame:
     """Write ``all-student-groups/sb_ca{year}_all_csv_v1.zip`` per planned year (plus a stale v0 for the first
-    year) and ``file_formats/{year}/StudentGroups.zip|Tests.zip``; returns (year, archive, bytes)."""
-    ship_package(cells.sparkSession)
-    parts = []
-    for year, lay in plan.items():
-        spec = LAYOUTS[lay]
-        yr = cells.filter(F.col("year") == year).withColumn("test_type", F.lit("B"))
-        yr = yr.withColumnRenamed("pct_met_and_above", "pct")
-        # every row gets three twins the ingest must drop: another test type, test id 3, grade 13
-        noise = (yr.withColumn("test_type", F.lit("A"))
-                 .unionByName(yr.withColumn("test_id", F.lit(3)))
-                 .unionByName(yr.withColumn("grade", F.lit(13))))
-        data = _lines(yr.unionByName(noise), spec["data"], spec["sep"], f"sb_ca{year}_all_csv_v1.txt", year)
-        ent_cols = list(dict.fromkeys(c for _, c in spec["entities"]))
-        ents = cells.filter(F.col("year") == year).select(*ent_cols).distinct()
-        drop = ("type_id",) if year == NO_TYPE_YEAR else ()
-        ent = _lines(ents, spec["entities"], spec["sep"], f"sb_ca{year}entities_csv.txt", year, drop)
-        name = f"all-student-groups/sb_ca{year}_all_csv_v1.zip"
-        parts.append(data.unionByName(ent).withColumn("archive", F.lit(name)))
-    first = min(plan)
-    stale = _lines(cells.filter(F.col("year") == first).withColumn("test_type", F.lit("B"))
-                   .withColumn("pct", F.lit(None).cast("double")),
-                   LAYOUTS[plan[first]]["data"], LAYOUTS[plan[first]]["sep"], f"sb_ca{first}_all_csv_v0.txt", first)
-    parts.append(stale.withColumn("archive", F.lit(f"all-student-groups/sb_ca{first}_all_csv_v0.zip")))
+    year) and ``file_formats/{year}/StudentGroups.zip|Tests.zip``; returns (year, archive, bytes).
 
+    One pass over the cells per member kind: the layout of each row's year picks the line expression."""
     spark = cells.sparkSession
-    newest = max(plan)
+    ship_package(spark)
+    years = sorted(plan)
+    first, newest = years[0], years[-1]
+    src = cells.filter(F.col("year").isin(*years)).withColumnRenamed("pct_met_and_above", "pct")
+
+    def ent_fields(year):
+        f = LAYOUTS[plan[year]]["entities"]
+        return [x for x in f if x[1] != "type_id"] if year == NO_TYPE_YEAR else f
+
+    data_variants = [([y for y in years if plan[y] == lay], LAYOUTS[lay]["data"], LAYOUTS[lay]["sep"])
+                     for lay in sorted(set(plan.values()))]
+    ent_variants = [([y], ent_fields(y), LAYOUTS[plan[y]]["sep"]) for y in years]
+
+    # every row plus three twins the ingest must drop: another test type, test id 3, grade 13
+    v = F.col("v")
+    noisy = src.withColumn("v", F.explode(F.array(*[F.lit(i) for i in range(4)]))).select(
+        "year", "county_code", "district_code", "school_code", "district_name", "school_name", "type_id",
+        "student_group_id", "students_tested", "pct",
+        F.when(v == 1, F.lit("A")).otherwise(F.lit("B")).alias("test_type"),
+        F.when(v == 2, F.lit(3)).otherwise(F.col("test_id")).alias("test_id"),
+        F.when(v == 3, F.lit(13)).otherwise(F.col("grade")).alias("grade"))
+    data = noisy.select("year", F.format_string("sb_ca%d_all_csv_v1.txt", "year").alias("member"),
+                        F.lit(1).alias("o"), _by_year(data_variants).alias("line"),
+                        F.format_string("all-student-groups/sb_ca%d_all_csv_v1.zip", "year").alias("archive"))
+    ents = src.select("year", *C.ENTITY_COLS).distinct()
+    ent = ents.select("year", F.format_string("sb_ca%dentities_csv.txt", "year").alias("member"),
+                      F.lit(1).alias("o"), _by_year(ent_variants).alias("line"),
+                      F.format_string("all-student-groups/sb_ca%d_all_csv_v1.zip", "year").alias("archive"))
+    lay0 = LAYOUTS[plan[first]]
+    stale = (src.filter(F.col("year") == first).withColumn("pct", F.lit(None).cast("double"))
+             .withColumn("test_type", F.lit("B"))
+             .select("year", F.lit(f"sb_ca{first}_all_csv_v0.txt").alias("member"), F.lit(1).alias("o"),
+                     _line(lay0["data"], lay0["sep"]).alias("line"),
+                     F.lit(f"all-student-groups/sb_ca{first}_all_csv_v0.zip").alias("archive")))
+
+    # header lines and the lookup archives: fixed text, one small local table
+    fixed = []
+    for y in years:
+        lay = LAYOUTS[plan[y]]
+        arch = f"all-student-groups/sb_ca{y}_all_csv_v1.zip"
+        fixed.append((y, f"sb_ca{y}_all_csv_v1.txt", 0, lay["sep"].join(h for h, _ in lay["data"]), arch))
+        fixed.append((y, f"sb_ca{y}entities_csv.txt", 0, lay["sep"].join(h for h, _ in ent_fields(y)), arch))
+    fixed.append((first, f"sb_ca{first}_all_csv_v0.txt", 0, lay0["sep"].join(h for h, _ in lay0["data"]),
+                  f"all-student-groups/sb_ca{first}_all_csv_v0.zip"))
     groups_rows = [(f"D{i}", str(i), n, c) for i, n, c in STUDENT_GROUPS]
     stale_rows = [(f"D{i}", str(i), "stale " + n, c) for i, n, c in STUDENT_GROUPS[:3]]
-    look = []
-    for year, rows in ((newest, groups_rows), (min(plan), stale_rows)):
+    for year, rows in ((newest, groups_rows), (first, stale_rows)):
         txt = ["Demographic ID,Demographic ID Num,Demographic Name,Student Group"] + [_csv_line(r) for r in rows]
-        look += [(year, "StudentGroups.txt", 0 if j == 0 else 1, line, f"file_formats/{year}/StudentGroups.zip")
-                 for j, line in enumerate(txt)]
+        fixed += [(year, "StudentGroups.txt", 0 if j == 0 else 1, line, f"file_formats/{year}/StudentGroups.zip")
+                  for j, line in enumerate(txt)]
     txt = ["Test ID Num^Test Name"] + [_csv_line((str(i), n), "^") for i, n in TESTS]
-    look += [(newest, "Tests.txt", 0 if j == 0 else 1, line, f"file_formats/{newest}/Tests.zip")
-             for j, line in enumerate(txt)]
-    parts.append(spark.createDataFrame(look, "year int, member string, o int, line string, archive string"))
+    fixed += [(newest, "Tests.txt", 0 if j == 0 else 1, line, f"file_formats/{newest}/Tests.zip")
+              for j, line in enumerate(txt)]
+    fixed_df = spark.createDataFrame(fixed, "year int, member string, o int, line string, archive string")
 
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    u = data.unionByName(ent).unionByName(stale).unionByName(fixed_df)
     # one writer per archive (a zip is a single stream); rows arrive sorted, so each task streams its archives
     u = u.withColumn("k", F.monotonically_increasing_id())
     ordered = u.repartition("archive").sortWithinPartitions("archive", "member", "o", "k")
