@@ -43,7 +43,8 @@ class Report:
         focus = name_contains_pred(spec.focus_name_col, spec.focus_pattern, spec.focus_level)
         levels = level_pred(tuple(sorted({spec.focus_level, C.TYPE_STATE})))
         self.sides = (tag_sides(subj, {"focus": focus, "bench": level_pred(C.TYPE_STATE)}, prefilter=levels)
-                      .withColumnRenamed("student_group_name", "student_group"))
+                      .select("entity", F.col("student_group_name").alias("student_group"), "test_id", "grade",
+                              "year", "cohort_year", "district_code", PCT, N))
         if os.environ.get("SCORECUBE_PERSIST_SIDES", "1") == "1":
             # one subject at two levels: bounded by the entity's key domain, shared by every report query;
             # MEMORY_AND_DISK, recomputed from the fact table if an executor is lost
