@@ -21,8 +21,8 @@ def sorted_for_fact(df: DataFrame, keys=C.FACT_SORT_KEYS, partitions: int | None
 
 
 def write_sorted_fact(df: DataFrame, path: str, keys=C.FACT_SORT_KEYS, partitions: int | None = None,
-                      mode: str = "errorifexists") -> None:
+                      mode: str = "errorifexists", row_group_rows: int = ROW_GROUP_ROWS) -> None:
     (sorted_for_fact(df, keys, partitions).write.mode(mode)
      .option("compression", "zstd")
-     .option("parquet.block.row.count.limit", ROW_GROUP_ROWS)
+     .option("parquet.block.row.count.limit", row_group_rows)
      .parquet(path))

@@ -87,3 +87,33 @@ def test_export_documents_size_guard(spark, tmp_dir):
     assert os.path.isdir(os.path.join(tmp_dir, "ok", "doc=state"))
     with pytest.raises(ValueError):
         D.export_documents(_fact(spark), os.path.join(tmp_dir, "no"), max_records=1)
+
+
+def test_sorted_fact_row_groups_are_skippable(spark, tmp_dir):
+    """Row groups hold ordered, non-overlapping (year, grade) ranges, so min/max statistics prune them."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from conftest import SF_SMALL
+    from scorecube.sources.cells import derive_cells
+
+    path = os.path.join(tmp_dir, "fact")
+    write_sorted_fact(derive_cells(spark, SF_SMALL), path, partitions=4, row_group_rows=1000)
+    files = sorted(glob.glob(os.path.join(path, "*.parquet")))
+    groups = []
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        assert meta.row_group(0).column(0).compression == "ZSTD"
+        for i in range(meta.num_row_groups):
+            rg = meta.row_group(i)
+            assert rg.num_rows <= 1000
+            names = [rg.column(j).path_in_schema for j in range(rg.num_columns)]
+            st = rg.column(names.index("year")).statistics
+            groups.append((st.min, st.max))
+    assert len(groups) >= 10
+    # ranges never go backwards across the globally sorted row groups
+    assert all(a[1] <= b[0] for a, b in zip(groups, groups[1:]))
+    # a single-year predicate touches only the row groups whose range contains that year
+    hit = [g for g in groups if g[0] <= 2016 <= g[1]]
+    assert 0 < len(hit) < len(groups)
