@@ -47,17 +47,22 @@ r AS (SELECT {DOC_KEY_SQL} AS doc, * FROM cells
       WHERE type_id IN (4, 5, 6, 7, 9) AND pct_met_and_above IS NOT NULL)""", """
 w AS (SELECT *, max(type_id) OVER (PARTITION BY doc) AS keep_type FROM r)""") + """
 SELECT doc, CAST(max(type_id) AS INTEGER) AS type_id, count(*) AS records,
-       min(test_id * 1000000 + grade * 10000 + year) AS first_key
-FROM w WHERE type_id = keep_type GROUP BY doc""")
+       min(test_id * 1000000 + grade * 10000 + year) AS first_key, sum(pct_met_and_above) AS pct_sum,
+       CAST(sum(students_tested) AS BIGINT) AS students_sum
+FROM w WHERE type_id = keep_type GROUP BY doc""", doubles=("pct_sum",))
 def k4_entity_documents(spark, sf_dir):
-    """Per-entity documents; the check covers document set, kept type, record count and the first record key
-    (the JSON text itself is verified by reading it back in the tests)."""
+    """Per-entity documents; the check covers document set, kept type, record count, the first record key (sort
+    order) and sums of the values parsed back out of the JSON text."""
     docs = D.entity_documents(cells(spark, sf_dir))
     first = F.get_json_object("json", "$[0]")
     key = (F.get_json_object(first, "$.test_id").cast("int") * 1000000
            + F.get_json_object(first, "$.grade").cast("int") * 10000
            + F.get_json_object(first, "$.year").cast("int"))
-    return docs.select("doc", "type_id", "records", key.alias("first_key"))
+    recs = F.from_json("json", "array<struct<pct_met_and_above: double, students_tested: int>>")
+    pct_sum = F.aggregate(recs, F.lit(0.0), lambda acc, r: acc + r["pct_met_and_above"])
+    n_sum = F.aggregate(recs, F.lit(0).cast("long"), lambda acc, r: acc + r["students_tested"])
+    return docs.select("doc", "type_id", "records", key.alias("first_key"), pct_sum.alias("pct_sum"),
+                       n_sum.alias("students_sum"))
 
 
 @register("q80_export_manifest", with_cells(f"""
