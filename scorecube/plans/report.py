@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import DEFAULT_SPEC as S
-from ..functions.exprs import clipped_size, sign_class
+from ..functions.exprs import clipped_size, grade_label, pct_label, sign_class, signed_label
 from ..operators import aggregate as A
 from ..operators import cohort as CO
 from ..operators import mix as M
@@ -111,15 +111,31 @@ def sql(*ctes_and_select: str) -> str:
 ALL, EL, FL = _q(C.SG_ALL), _q(C.SG_EL), _q(C.SG_FLUENT)
 
 
+def _tenths_sql(v: str) -> str:
+    return f"CAST(floor(abs({v}) * 10 + 0.5) AS BIGINT)"
+
+
+def pct_label_sql(v: str) -> str:
+    t = _tenths_sql(v)
+    return (f"CASE WHEN {v} IS NOT NULL THEN (CASE WHEN {v} < 0 AND {t} > 0 THEN '-' ELSE '' END) || "
+            f"CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || '%' END")
+
+
+def signed_label_sql(v: str) -> str:
+    t = _tenths_sql(v)
+    return (f"CASE WHEN {v} IS NOT NULL THEN (CASE WHEN {v} < 0 THEN '-' ELSE '+' END) || "
+            f"CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) END")
+
+
 # ---------------------------------------------------------------------------------------------------------
 # Section 1 – overall trends
 # ---------------------------------------------------------------------------------------------------------
 @register("q01_overall_trend", sql(f"""
-SELECT entity, year, pct_met_and_above, students_tested FROM annual WHERE student_group = {ALL}"""),
-          doubles=(PCT, N))
+SELECT entity, year, pct_met_and_above, students_tested, {pct_label_sql(PCT)} AS label
+FROM annual WHERE student_group = {ALL}"""), doubles=(PCT, N))
 def q01_overall_trend(spark, sf_dir):
-    """Weighted average across grades by year, focus vs bench."""
-    return _r(spark, sf_dir).annual(C.SG_ALL).select("entity", "year", PCT, N)
+    """Weighted average across grades by year, focus vs bench, with the point annotation (``12.3%``)."""
+    return _r(spark, sf_dir).annual(C.SG_ALL).select("entity", "year", PCT, N, pct_label(PCT).alias("label"))
 
 
 @register("q02_overall_year_domain", sql(f"""
@@ -137,7 +153,8 @@ def q02_overall_year_domain(spark, sf_dir):
 @register("q03_overall_gap", sql(f"""
 SELECT f.year, f.pct_met_and_above AS focus_pct, b.pct_met_and_above AS bench_pct,
        f.pct_met_and_above - b.pct_met_and_above AS gap,
-       CASE WHEN f.pct_met_and_above - b.pct_met_and_above >= 0 THEN 'above' ELSE 'below' END AS sign
+       CASE WHEN f.pct_met_and_above - b.pct_met_and_above >= 0 THEN 'above' ELSE 'below' END AS sign,
+       {signed_label_sql('f.pct_met_and_above - b.pct_met_and_above')} AS gap_label
 FROM annual f JOIN annual b ON f.year = b.year
 WHERE f.entity = 'focus' AND b.entity = 'bench' AND f.student_group = {ALL} AND b.student_group = {ALL}"""),
           doubles=("focus_pct", "bench_pct", "gap"))
@@ -145,7 +162,7 @@ def q03_overall_gap(spark, sf_dir):
     r = _r(spark, sf_dir)
     g = SE.gap(r.annual(C.SG_ALL, "focus"), r.annual(C.SG_ALL, "bench"), ["year"], a_name="focus_pct",
                b_name="bench_pct")
-    return g.withColumn("sign", sign_class("gap"))
+    return g.withColumn("sign", sign_class("gap")).withColumn("gap_label", signed_label("gap"))
 
 
 @register("q04_overall_yoy_change", sql(
@@ -569,10 +586,11 @@ def q52_dashboard(spark, sf_dir):
 
 
 @register("q53_grade_profile", sql(f"""
-SELECT year, grade, pct_met_and_above FROM bygrade WHERE entity = 'focus' AND student_group = {ALL}"""),
-          doubles=(PCT,))
+SELECT year, grade, 'Grade ' || CAST(grade AS VARCHAR) AS grade_label, pct_met_and_above
+FROM bygrade WHERE entity = 'focus' AND student_group = {ALL}"""), doubles=(PCT,))
 def q53_grade_profile(spark, sf_dir):
-    return _r(spark, sf_dir).by_grade(C.SG_ALL, "focus").select("year", "grade", PCT)
+    return _r(spark, sf_dir).by_grade(C.SG_ALL, "focus").select("year", "grade", grade_label().alias("grade_label"),
+                                                                 PCT)
 
 
 @register("q56_everel_neverel", sql(f"""

@@ -48,7 +48,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert df.columns == ["entity", "year", "pct_met_and_above", "students_tested"]
+    assert df.columns == ["entity", "year", "pct_met_and_above", "students_tested", "label"]
     assert df.count() > 0
 
 
