@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import config as C
+from ..sinks.fact import sorted_for_fact
 from ..sources.archives import ARCHIVE_GLOB, ARCHIVE_RE
 from ..sources.conform import ingest_archives, lookup_archives
 
@@ -30,7 +31,8 @@ def _batch_writer(spark: SparkSession, formats_root: str, fact_path: str, years)
         if arch.isEmpty():
             return
         fact = ingest_archives(spark, arch, lookup_archives(spark, formats_root, years), years).fact
-        (fact.repartition("year").sortWithinPartitions(*C.FACT_SORT_KEYS)
+        # range partitions on the six fact keys: a year spans many tasks/files, each sorted (row-group skipping)
+        (sorted_for_fact(fact)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .option("compression", "zstd").partitionBy("year").parquet(fact_path))
     return write
