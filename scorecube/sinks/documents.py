@@ -116,3 +116,13 @@ def write_named_series(results: dict, out_dir: str) -> list[str]:
         df.write.mode("overwrite").parquet(p)
         paths.append(p)
     return paths
+
+
+def write_report(spark, sf_dir: str, out_dir: str, prefix: str = "q") -> list[str]:
+    """K6 for the whole report: every registered report series (keys starting with ``prefix``), numbered in
+    registration order, one Parquet directory each – each written by executors, nothing collected."""
+    from ..plans import load_all
+
+    queries, _ = load_all()
+    results = {name: fn(spark, sf_dir) for name, fn in queries.items() if name.startswith(prefix)}
+    return write_named_series(results, out_dir)

@@ -136,3 +136,13 @@ def test_type_from_entities_with_inline_names(spark, tmp_dir):
     ok, _ = _conform(spark, tmp_dir, data, ents)
     got = sorted((r["school_code"], r["type_id"], r["county_name"], r["school_name"]) for r in ok.collect())
     assert got == [("0000000", 6, "Alpha", ""), ("0000009", 9, "Alpha", "Sch")]
+
+
+def test_empty_lookups_are_typed(spark):
+    from scorecube.sources.conform import load_student_groups, load_tests
+
+    lines = spark.createDataFrame([], "tag string, year int, kind string, member string, caret boolean, line_no long, line string, error string")
+    g = load_student_groups(spark, lines, [])
+    t = load_tests(spark, lines, [])
+    assert g.count() == 0 and g.columns == ["student_group_id", "student_group_name", "student_group_category"]
+    assert t.count() == 0 and t.columns == ["test_id", "test_name"]

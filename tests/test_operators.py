@@ -122,3 +122,11 @@ def test_change_on_domain_equals_spine_change(spark):
     a = sorted((r["entity"], r["year"], r["change"]) for r in SE.change(spine, ["entity"], "ord").collect())
     b = sorted((r["entity"], r["year"], r["change"]) for r in SE.change_on_domain(df, ["entity"]).collect())
     assert a == b == [("e", 2016, 2.0), ("e", 2019, 1.0), ("e", 2021, 4.0), ("f", 2021, 2.0)]
+
+
+def test_selection_status_and_distinct_union(spark):
+    df = spark.createDataFrame([("s", 2019), ("s", 2015), ("s", 2019), ("t", 2021)], "side string, year int")
+    got = {r["side"]: (r["rows"], r["years"]) for r in A.selection_status(df, ["side"]).collect()}
+    assert got == {"s": (3, [2015, 2019]), "t": (1, [2021])}
+    u = SE.distinct_union(df.select("year"), spark.createDataFrame([(2015,), (2023,)], "year int"))
+    assert sorted(r["year"] for r in u.collect()) == [2015, 2019, 2021, 2023]

@@ -117,3 +117,11 @@ def test_sorted_fact_row_groups_are_skippable(spark, tmp_dir):
     # a single-year predicate touches only the row groups whose range contains that year
     hit = [g for g in groups if g[0] <= 2016 <= g[1]]
     assert 0 < len(hit) < len(groups)
+
+
+def test_write_report(spark, tmp_dir):
+    from conftest import SF_SMALL
+
+    paths = D.write_report(spark, SF_SMALL, tmp_dir, prefix="q0")
+    assert len(paths) >= 5 and os.path.basename(paths[0]) == "01_q01_overall_trend"
+    assert spark.read.parquet(paths[0]).count() > 0
