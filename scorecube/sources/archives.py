@@ -1,7 +1,7 @@
 """S1/S2 – yearly archive discovery and the parallel unpack job.
 
-Zip is not a Hadoop codec, so each archive is one task: ``binaryFile`` hands the archive bytes to a
-``mapInPandas`` function that streams each member's lines (Latin-1) in bounded batches. The lines are written
+Zip is not a Hadoop codec, so each archive is one task: a ``mapInPandas`` task opens its archive by path as a
+seekable stream (``pyarrow.fs``) and streams each member's lines (Latin-1) in bounded batches. The lines are written
 once as Parquet (year, kind, member, caret, line_no, line) under the shared folder; everything after that is a
 splittable, columnar Spark scan.
 """
@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import join_bounded
 from ..session import ship_package
 
 # The yearly release archive naming (year, version) and the sniffed prefix length
@@ -52,12 +51,24 @@ def _members(names: list[str], tag: str) -> list[tuple[str, str]]:
     return out
 
 
+def _open_archive(uri: str):
+    """A seekable stream over an archive by its Hadoop-style URI (zip needs random access to its directory)."""
+    import pyarrow.fs as pafs
+
+    if "://" in uri:
+        fs, path = pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    else:
+        fs, path = pafs.LocalFileSystem(), (uri[len("file:"):] if uri.startswith("file:") else uri)
+    return fs.open_input_file(path)
+
+
 def _unpack(batches):
     cols = ["tag", "year", "kind", "member", "caret", "line_no", "line", "error"]
     for pdf in batches:
-        for tag, year, content in zip(pdf["tag"], pdf["year"], pdf["content"]):
+        for tag, year, uri in zip(pdf["tag"], pdf["year"], pdf["path"]):
             try:
-                zf = zipfile.ZipFile(io.BytesIO(content))
+                raw = _open_archive(uri)
+                zf = zipfile.ZipFile(raw)
                 members = _members(zf.namelist(), tag)
                 if tag == "data" and not any(k == "data" for k, _ in members):
                     raise FileNotFoundError("no main data file in archive")
@@ -65,22 +76,26 @@ def _unpack(batches):
                 yield pd.DataFrame([[tag, year, "error", None, None, None, None, f"{type(e).__name__}: {e}"]],
                                    columns=cols)
                 continue
-            for kind, name in members:
-                with zf.open(name) as f:
-                    head = f.read(SNIFF_BYTES)
-                    caret = b"^" in head
-                    text = io.TextIOWrapper(io.BufferedReader(_Prefixed(head, f)), encoding="latin-1", newline="")
-                    buf, n = [], 0
-                    for line in text:
-                        buf.append(line.rstrip("\r\n"))
-                        if len(buf) >= BATCH_LINES:
-                            yield pd.DataFrame({"tag": tag, "year": year, "kind": kind, "member": name, "caret": caret,
-                                                "line_no": range(n, n + len(buf)), "line": buf, "error": None})[cols]
-                            n += len(buf)
-                            buf = []
-                    if buf:
-                        yield pd.DataFrame({"tag": tag, "year": year, "kind": kind, "member": name, "caret": caret,
-                                            "line_no": range(n, n + len(buf)), "line": buf, "error": None})[cols]
+            with raw, zf:
+                for kind, name in members:
+                    with zf.open(name) as f:
+                        head = f.read(SNIFF_BYTES)
+                        caret = b"^" in head
+                        text = io.TextIOWrapper(io.BufferedReader(_Prefixed(head, f)), encoding="latin-1",
+                                                newline="")
+                        buf, n = [], 0
+                        for line in text:
+                            buf.append(line.rstrip("\r\n"))
+                            if len(buf) >= BATCH_LINES:
+                                yield pd.DataFrame({"tag": tag, "year": year, "kind": kind, "member": name,
+                                                    "caret": caret, "line_no": range(n, n + len(buf)), "line": buf,
+                                                    "error": None})[cols]
+                                n += len(buf)
+                                buf = []
+                        if buf:
+                            yield pd.DataFrame({"tag": tag, "year": year, "kind": kind, "member": name,
+                                                "caret": caret, "line_no": range(n, n + len(buf)), "line": buf,
+                                                "error": None})[cols]
 
 
 class _Prefixed(io.RawIOBase):
@@ -106,16 +121,14 @@ class _Prefixed(io.RawIOBase):
 def unpack(spark: SparkSession, archives: DataFrame, out_path: str) -> DataFrame:
     """S2 – unpack ``archives`` (columns tag, year, path) into a lines table at ``out_path``; returns it.
 
-    The archive list is metadata (one row per yearly file); the bytes never reach the driver."""
+    Only paths travel through Spark: one archive per range partition, each task opens its archive as a seekable
+    stream and streams the member lines out – no archive bytes in rows, shuffles or the driver."""
     ship_package(spark)
-    paths = [r["path"] for r in archives.select("path").collect()]
-    if not paths:
+    n = archives.count()  # metadata: one row per yearly file
+    if n == 0:
         return spark.createDataFrame([], LINES_SCHEMA)
-    # each archive is one unsplittable scan partition; the (tiny) archive metadata is joined onto the scan with a
-    # size-checked broadcast, so the archive bytes are never shuffled
-    content = spark.read.format("binaryFile").load(paths).select("path", "content")
-    per_task = join_bounded(content, archives.select("path", "tag", "year"), ["path"])
-    lines = per_task.select("tag", "year", "content").mapInPandas(_unpack, LINES_SCHEMA)
+    per_task = archives.select("tag", "year", "path").repartitionByRange(n, "path")
+    lines = per_task.mapInPandas(_unpack, LINES_SCHEMA)
     # partitioned by member so each member's parse reads only its own files (partition pruning)
     lines.write.mode("overwrite").partitionBy("tag", "year", "kind").parquet(out_path)
     return read_lines(spark, out_path)
