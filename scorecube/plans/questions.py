@@ -151,30 +151,47 @@ def n05_group_vs_state(spark, sf_dir):
 
 
 # N6 -------------------------------------------------------------------------------------------------------
-@register("n06_smallest_school_gaps", with_cells(f"""
-p AS (SELECT type_id, school_code, school_name, test_id, year,
+def _gaps_sql(type_ids: str, code: str, name: str) -> str:
+    return with_cells(f"""
+p AS (SELECT type_id, {code}, {name}, test_id, year,
          sum(CASE WHEN student_group_id = 2 THEN pct_met_and_above * students_tested END) / sum(CASE WHEN student_group_id = 2 THEN students_tested END) AS el_pct,
          sum(CASE WHEN student_group_id = 3 THEN pct_met_and_above * students_tested END) / sum(CASE WHEN student_group_id = 3 THEN students_tested END) AS fluent_pct
-      FROM cells WHERE type_id IN (7, 9) AND student_group_id IN (2, 3) AND {OK_SQL}
-      GROUP BY type_id, school_code, school_name, test_id, year)""", """
+      FROM cells WHERE type_id IN ({type_ids}) AND student_group_id IN (2, 3) AND {OK_SQL}
+      GROUP BY type_id, {code}, {name}, test_id, year)""", f"""
 r AS (SELECT *, fluent_pct - el_pct AS gap,
-             CAST(row_number() OVER (PARTITION BY test_id, year ORDER BY abs(fluent_pct - el_pct), school_code, type_id) AS INTEGER) AS rank
+             CAST(row_number() OVER (PARTITION BY test_id, year ORDER BY abs(fluent_pct - el_pct), {code}, type_id) AS INTEGER) AS rank
       FROM p WHERE el_pct IS NOT NULL AND fluent_pct IS NOT NULL)""") + f"""
-SELECT test_id, year, rank, type_id, school_code, school_name, el_pct, fluent_pct, gap FROM r WHERE rank <= {TOP_K}""",
-    doubles=("el_pct", "fluent_pct", "gap"))
-def n06_smallest_school_gaps(spark, sf_dir):
-    """Schools with the smallest Fluent − EL gap per subject and year (top-k by |gap|)."""
+SELECT test_id, year, rank, type_id, {code}, {name}, el_pct, fluent_pct, gap FROM r WHERE rank <= {TOP_K}"""
+
+
+def _smallest_gaps(spark, sf_dir, type_ids, code: str, name: str):
+    """Entities with the smallest Fluent − EL gap per subject and year (top-k by |gap|, ties by code)."""
     v, n, g = F.col(PCT), F.col(N), F.col("student_group_id")
-    c = cells(spark, sf_dir).filter(F.col("type_id").isin(*C.TYPE_SCHOOL) & g.isin(2, 3)
+    c = cells(spark, sf_dir).filter(F.col("type_id").isin(*type_ids) & g.isin(2, 3)
                                     & v.isNotNull() & ~F.isnan(v) & (n > 0))
 
     def wavg(gid):
         return F.sum(F.when(g == gid, v * n)) / F.sum(F.when(g == gid, n))
-    p = (c.groupBy("type_id", "school_code", "school_name", "test_id", "year")
+    p = (c.groupBy("type_id", code, name, "test_id", "year")
          .agg(wavg(2).alias("el_pct"), wavg(3).alias("fluent_pct"))
          .dropna(subset=["el_pct", "fluent_pct"]).withColumn("gap", F.col("fluent_pct") - F.col("el_pct")))
-    r = top_k(p, ["test_id", "year"], [F.abs("gap"), F.col("school_code"), F.col("type_id")], TOP_K)
-    return r.select("test_id", "year", "rank", "type_id", "school_code", "school_name", "el_pct", "fluent_pct", "gap")
+    r = top_k(p, ["test_id", "year"], [F.abs("gap"), F.col(code), F.col("type_id")], TOP_K)
+    return r.select("test_id", "year", "rank", "type_id", code, name, "el_pct", "fluent_pct", "gap")
+
+
+@register("n06_smallest_school_gaps", _gaps_sql("7, 9", "school_code", "school_name"),
+          doubles=("el_pct", "fluent_pct", "gap"))
+def n06_smallest_school_gaps(spark, sf_dir):
+    """Schools with the smallest Fluent − EL gap per subject and year (empty when every school EL cell is
+    suppressed, as in the small test tables)."""
+    return _smallest_gaps(spark, sf_dir, C.TYPE_SCHOOL, "school_code", "school_name")
+
+
+@register("n06_smallest_district_gaps", _gaps_sql("6", "district_code", "district_name"),
+          doubles=("el_pct", "fluent_pct", "gap"))
+def n06_smallest_district_gaps(spark, sf_dir):
+    """The same ranking one level up (districts), where the test tables leave EL cells unsuppressed."""
+    return _smallest_gaps(spark, sf_dir, (C.TYPE_DISTRICT,), "district_code", "district_name")
 
 
 # N7 -------------------------------------------------------------------------------------------------------
