@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.exprs import col_, label_part_after, label_part_before
+from ..functions.exprs import label_part_after, label_part_before
 from .joins import join_bounded
 
 

@@ -1,7 +1,6 @@
 """Ingestion edge cases: archive members, sniffing, quoting, Latin-1, quarantine, first-row-wins, null keys,
 and the incremental (streaming) path."""
 
-import io
 import os
 import zipfile
 
