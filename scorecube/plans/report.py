@@ -65,8 +65,16 @@ class Report:
             "entity", "student_group", "test_id", "grade", "year", "cohort_year", PCT, N)
 
 
+_SPEC = [S]  # the report parameters in effect (jobs may select another focus)
+
+
+def set_report_spec(spec: C.ReportSpec) -> None:
+    """Choose the focus / subject of the registered report queries (their SQL oracles use the default spec)."""
+    _SPEC[0] = spec
+
+
 def _r(spark, sf_dir) -> Report:
-    return Report.of(spark, sf_dir)
+    return Report.of(spark, sf_dir, _SPEC[0])
 
 
 def _q(s: str) -> str:

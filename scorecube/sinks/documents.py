@@ -118,11 +118,18 @@ def write_named_series(results: dict, out_dir: str) -> list[str]:
     return paths
 
 
-def write_report(spark, sf_dir: str, out_dir: str, prefix: str = "q") -> list[str]:
-    """K6 for the whole report: every registered report series (keys starting with ``prefix``), numbered in
-    registration order, one Parquet directory each – each written by executors, nothing collected."""
+def _is_report_series(name: str) -> bool:
+    return name.startswith("q") and name[1:3].isdigit() and int(name[1:3]) <= 66
+
+
+def write_report(spark, sf_dir: str, out_dir: str, select=_is_report_series) -> list[str]:
+    """K6 for the whole report: every registered report series (Q01–Q66 by default), numbered in registration
+    order, one Parquet directory each – each written by executors, nothing collected."""
     from ..plans import load_all
 
     queries, _ = load_all()
-    results = {name: fn(spark, sf_dir) for name, fn in queries.items() if name.startswith(prefix)}
+    if isinstance(select, str):
+        prefix = select
+        select = lambda n: n.startswith(prefix)
+    results = {name: fn(spark, sf_dir) for name, fn in queries.items() if select(name)}
     return write_named_series(results, out_dir)

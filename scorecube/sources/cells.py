@@ -150,10 +150,21 @@ def derive_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CACHE: dict = {}
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The materialised, sorted cells table for ``sf_dir`` (built once per session)."""
+    """The fact table every query reads.
+
+    ``sf_dir`` is either a folder of the provided star-schema tables – the cells are then derived and materialised
+    (sorted) once per session – or the path of an ingested fact table (the output of ``ingest``), read as is."""
     from ..sinks.fact import write_sorted_fact
 
+    if not _exists(spark, table_path(sf_dir, "lineitem")):
+        return spark.read.parquet(sf_dir)
     key = (spark.sparkContext.applicationId, table_path(sf_dir, "lineitem"))
     path = _CACHE.get(key)
     if path is None:

@@ -122,6 +122,6 @@ def test_sorted_fact_row_groups_are_skippable(spark, tmp_dir):
 def test_write_report(spark, tmp_dir):
     from conftest import SF_SMALL
 
-    paths = D.write_report(spark, SF_SMALL, tmp_dir, prefix="q0")
+    paths = D.write_report(spark, SF_SMALL, tmp_dir, select="q0")
     assert len(paths) >= 5 and os.path.basename(paths[0]) == "01_q01_overall_trend"
     assert spark.read.parquet(paths[0]).count() > 0
