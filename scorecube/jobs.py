@@ -3,6 +3,7 @@
     python -m scorecube.jobs ingest    ARCHIVES FORMATS OUT [--sidecar-year 2024]
     python -m scorecube.jobs documents FACT OUT
     python -m scorecube.jobs report    FACT OUT [--level 6 --name-col district_name --pattern "..." --test 2]
+    python -m scorecube.jobs explore   FACT OUT [--entity-type District --label "name (county)" --test-name ...]
     python -m scorecube.jobs sql       FACT "SELECT ... FROM cells ..." OUT
 
 ``FACT`` is the fact written by ``ingest`` (or a folder of the provided star-schema tables). Outputs are
@@ -53,6 +54,20 @@ def run_report(spark: SparkSession, fact: str, out: str, spec: C.ReportSpec = C.
         R.set_report_spec(previous)
 
 
+def run_explore(spark: SparkSession, fact: str, out: str, spec) -> None:
+    """The comparison app's analysis for one selection: cohort grid, grade grid, status (Q72–Q74)."""
+    from .plans import explorer as X
+
+    previous = X._XS[0]
+    X.set_explorer_spec(spec)
+    try:
+        X.q72_cohort_grid(spark, fact).write.mode("overwrite").parquet(f"{out}/cohort_grid")
+        X.q73_grade_grid(spark, fact).write.mode("overwrite").parquet(f"{out}/grade_grid")
+        X.q74_run_status(spark, fact).write.mode("overwrite").parquet(f"{out}/status")
+    finally:
+        X.set_explorer_spec(previous)
+
+
 def run_sql(spark: SparkSession, fact: str, query: str, out: str) -> None:
     """Ad-hoc SQL over the fact registered as the view ``cells`` (predicates reach the Parquet scan)."""
     from .sources.cells import cells
@@ -75,6 +90,12 @@ def main(argv=None) -> None:
     r.add_argument("--name-col", default=C.DEFAULT_SPEC.focus_name_col)
     r.add_argument("--pattern", default=C.DEFAULT_SPEC.focus_pattern)
     r.add_argument("--test", type=int, default=C.DEFAULT_SPEC.test_id)
+    x = sub.add_parser("explore")
+    x.add_argument("fact"), x.add_argument("out")
+    x.add_argument("--entity-type", default="District", choices=["State", "District", "School"])
+    x.add_argument("--label", default=None)
+    x.add_argument("--test-name", default="Mathematics")
+    x.add_argument("--group", type=int, default=1)
     q = sub.add_parser("sql")
     q.add_argument("fact"), q.add_argument("query"), q.add_argument("out")
     args = ap.parse_args(argv)
@@ -88,6 +109,11 @@ def main(argv=None) -> None:
         spec = C.ReportSpec(focus_level=args.level, focus_name_col=args.name_col, focus_pattern=args.pattern,
                             test_id=args.test)
         run_report(spark, args.fact, args.out, spec)
+    elif args.cmd == "explore":
+        from .plans.explorer import ExplorerSpec
+
+        run_explore(spark, args.fact, args.out, ExplorerSpec(entity_type=args.entity_type, label=args.label,
+                                                            test_name=args.test_name, student_group_id=args.group))
     else:
         run_sql(spark, args.fact, args.query, args.out)
 

@@ -3,7 +3,7 @@ selected entity against the state, run status. The selected entity, subject and
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.exprs import district_label, school_label, subject_id
 from ..operators import aggregate as A
-from ..operators.joins import join_bounded
 from ..operators.select import level_pred, nonblank, select_by_label
 from ..sources.cells import cells
 from .registry import register, with_cells
@@ -19,15 +18,21 @@ from .registry import register, with_cells
 
 @dataclass(frozen=True)
 class ExplorerSpec:
-    entity_type: str = "District"
-    district_name: str = "NATION_1"      # picks the label(s) offered for this name from the choices
+    entity_type: str = "District"        # State | District | School
+    label: str | None = None             # an explicit selector label; else the choices offered for the name below
+    district_name: str = "NATION_1"
     school_name: str = "Supplier#000000001"
     test_name: str = "Mathematics"
     student_group_id: int = 1
     min_state_years: int = 2
 
 
-X = ExplorerSpec()
+X = ExplorerSpec()       # the default selection (the SQL oracles are written for it)
+_XS = [X]                # the selection in effect
+
+
+def set_explorer_spec(spec: ExplorerSpec) -> None:
+    _XS[0] = spec
 
 
 def _q(s: str) -> str:
@@ -95,16 +100,26 @@ def q70_test_choices(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------------------
 # Selection by label and comparison grids
 # ---------------------------------------------------------------------------------------------------------
-def _labels(df: DataFrame, entity_type: str) -> DataFrame:
-    if entity_type == "District":
-        return district_choices(df.filter(F.col("district_name") == X.district_name))
-    return school_choices(df.filter(F.col("school_name") == X.school_name))
+def _labels(spark, df: DataFrame, spec: ExplorerSpec) -> DataFrame:
+    """The selected label(s): explicit, or the choices offered for the configured name (data-derived)."""
+    if spec.label is not None:
+        return spark.createDataFrame([(spec.label,)], "label string")
+    if spec.entity_type == "District":
+        return district_choices(df.filter(F.col("district_name") == spec.district_name))
+    return school_choices(df.filter(F.col("school_name") == spec.school_name))
 
 
-def _subject_group(df: DataFrame) -> DataFrame:
+def _subject_group(df: DataFrame, spec: ExplorerSpec) -> DataFrame:
     # Subject resolved from the test name, as the explorer does
-    tid = 1 if ("English" in X.test_name or "ELA" in X.test_name) else 2
-    return df.filter((F.col("test_id") == tid) & (F.col("student_group_id") == X.student_group_id))
+    tid = 1 if ("English" in spec.test_name or "ELA" in spec.test_name) else 2
+    return df.filter((F.col("test_id") == tid) & (F.col("student_group_id") == spec.student_group_id))
+
+
+def _selected(spark, c: DataFrame, spec: ExplorerSpec) -> DataFrame:
+    sg = _subject_group(c, spec)
+    if spec.entity_type == "State":
+        return sg.filter(level_pred(C.TYPE_STATE))
+    return select_by_label(sg, _labels(spark, c, spec), spec.entity_type)
 
 
 SUBJ_X = f"""sg AS (SELECT * FROM cells WHERE test_id = {1 if ('English' in X.test_name or 'ELA' in X.test_name) else 2}
@@ -119,8 +134,7 @@ def _register_selection(key: str, entity_type: str, sel_sql: str):
 SELECT type_id, county_code, district_code, school_code, year, grade, pct_met_and_above, students_tested FROM sel""",
               doubles=(C.PCT,))
     def selection(spark, sf_dir):
-        c = cells(spark, sf_dir)
-        rows = select_by_label(_subject_group(c), _labels(c, entity_type), entity_type)
+        rows = _selected(spark, cells(spark, sf_dir), replace(_XS[0], entity_type=entity_type))
         return rows.select("type_id", "county_code", "district_code", "school_code", "year", "grade", C.PCT, C.N)
 
 
@@ -130,17 +144,12 @@ _register_selection("q71_select_school_by_label", "School", SEL_SCHOOL)
 
 
 def _state_and_selected(spark, sf_dir) -> DataFrame:
-    """State rows and selected-entity rows from one scan, tagged by side."""
+    """State rows and the selected entity's rows, tagged by side (State selected: both sides are the state)."""
+    spec = _XS[0]
     c = cells(spark, sf_dir)
-    sel_keys = _labels(c, X.entity_type).select(
-        F.trim(F.split("label", r" \(", 2).getItem(0)).alias("k_d"),
-        F.regexp_replace(F.split("label", r" \(", 2).getItem(1), r"\)+$", "").alias("k_c"))
-    sg = _subject_group(c)
-    # the selected district by label -> a (name, county) predicate; labels are few (one per matching entity)
-    sel = join_bounded(sg.filter(level_pred(C.TYPE_DISTRICT)), sel_keys,
-                       (F.col("district_name") == F.col("k_d")) & (F.col("county_name") == F.col("k_c")), "left_semi")
-    return (sg.filter(level_pred(C.TYPE_STATE)).withColumn("side", F.lit("state"))
-            .unionByName(sel.withColumn("side", F.lit("selected"))))
+    state = _subject_group(c, spec).filter(level_pred(C.TYPE_STATE))
+    sel = _selected(spark, c, spec)
+    return state.withColumn("side", F.lit("state")).unionByName(sel.withColumn("side", F.lit("selected")))
 
 
 @register("q72_cohort_grid", with_cells(SUBJ_X, SEL_DISTRICT, STATE_X, f"""
@@ -157,7 +166,7 @@ def q72_cohort_grid(spark, sf_dir):
     """Per cohort with ≥ 2 state years: unweighted mean by year, state vs selected (full outer on years)."""
     rows = _state_and_selected(spark, sf_dir).dropna(subset=["cohort_year", "year"])
     st = rows.filter(F.col("side") == "state")
-    ok = A.distinct_count(st, ["cohort_year"], "year", "n_years").filter(F.col("n_years") >= X.min_state_years)
+    ok = A.distinct_count(st, ["cohort_year"], "year", "n_years").filter(F.col("n_years") >= _XS[0].min_state_years)
     means = rows.groupBy("cohort_year", "year").agg(
         F.avg(F.when(F.col("side") == "state", F.col(C.PCT))).alias("state_value"),
         F.avg(F.when(F.col("side") == "selected", F.col(C.PCT))).alias("selected_value"))

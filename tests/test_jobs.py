@@ -53,3 +53,21 @@ def test_cli_report_with_district_focus(spark, tmp_dir):
     assert _rows(QUERIES["q01_overall_trend"](spark, SF_SMALL)) == _rows(QUERIES["q01_overall_trend"](spark, SF_SMALL))
     from scorecube.plans import report as R
     assert R._SPEC[0] == R.S
+
+
+def test_explore_state_district_school(spark, tmp_dir):
+    from scorecube.plans.explorer import ExplorerSpec
+
+    base = os.path.join(tmp_dir, "x")
+    jobs.run_explore(spark, SF_SMALL, os.path.join(base, "state"), ExplorerSpec(entity_type="State"))
+    st = spark.read.parquet(os.path.join(base, "state", "cohort_grid")).collect()
+    assert st and all(r["state_value"] == r["selected_value"] for r in st)  # state selected: both sides equal
+    label = QUERIES["q67_district_choices"](spark, SF_SMALL).orderBy("label").first()["label"]
+    jobs.main(["explore", SF_SMALL, os.path.join(base, "district"), "--label", label, "--test-name", "English"])
+    status = spark.read.parquet(os.path.join(base, "district", "status")).first()
+    assert status["selected_rows"] > 0 and status["state_rows"] > 0
+    school = QUERIES["q68_school_choices"](spark, SF_SMALL).orderBy("label").first()["label"]
+    jobs.run_explore(spark, SF_SMALL, os.path.join(base, "school"), ExplorerSpec(entity_type="School", label=school))
+    assert spark.read.parquet(os.path.join(base, "school", "grade_grid")).count() > 0
+    from scorecube.plans import explorer as X
+    assert X._XS[0] == X.X
