@@ -145,3 +145,17 @@ def test_empty_lookups_are_typed(spark):
     t = load_tests(spark, lines, [])
     assert g.count() == 0 and g.columns == ["student_group_id", "student_group_name", "student_group_category"]
     assert t.count() == 0 and t.columns == ["test_id", "test_name"]
+
+
+def test_keep_extra_columns(spark, tmp_dir):
+    from scorecube.sources.cells import cells
+    from scorecube.sources.render import render_archives
+
+    src = cells(spark, "/root/testdata/sf0.001").filter((F.col("type_id") == 4) & F.col("year").isin(2015, 2021))
+    root = os.path.join(tmp_dir, "raw")
+    render_archives(src, root, {2015: "A", 2021: "C"}).collect()
+    ing = ingest(spark, os.path.join(root, "all-student-groups"), os.path.join(root, "file_formats"),
+                 out_path=os.path.join(tmp_dir, "fact"), keep_extra=True)
+    assert "test_type" in ing.fact.columns
+    assert {r["test_type"] for r in ing.fact.select("test_type").distinct().collect()} == {"B"}
+    assert ing.fact.count() == src.count()
