@@ -100,6 +100,7 @@ def derive_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.col("n_name").alias("district_name"),
                    F.lpad(F.col("s_suppkey").cast("string"), 7, "0").alias("school_code"),
                    F.col("s_name").alias("school_name"),
+                   # fixture rule (FIXTURES §3): every tenth school is type 9 from 2018 on – a label, no row dropped
                    (F.col("s_suppkey") % 10 == 9).alias("charter")))
     fixed = ["year", "grade", "test_id", "student_group_id"]
     county = ["county_code", "county_name"]
