@@ -59,15 +59,15 @@ def entity_documents(fact: DataFrame, on_conflict: str = "last_type") -> DataFra
             .withColumn("doc", _doc_key()))
     rec = F.struct(*[F.col(c) for c in C.DOC_COLS])  # struct order = sort order (test, grade, year, group)
     opts = {"ignoreNullFields": "false"}
+    # ONE aggregation per document: records tagged with their type, the kept type chosen inside the group
+    per_doc = rows.groupBy("doc").agg(F.max("type_id").alias("type_id"),
+                                      F.collect_list(F.struct(F.col("type_id").alias("t"), rec.alias("r"))).alias("_all"))
     if on_conflict == "merge":
-        per_doc = rows.groupBy("doc").agg(F.max("type_id").alias("type_id"), F.count(F.lit(1)).alias("records"),
-                                          F.array_sort(F.collect_list(rec)).alias("r"))
+        kept = F.transform("_all", lambda x: x["r"])
     else:
-        per_type = rows.groupBy("doc", "type_id").agg(F.count(F.lit(1)).alias("records"),
-                                                      F.array_sort(F.collect_list(rec)).alias("r"))
-        per_doc = (per_type.groupBy("doc")
-                   .agg(F.max_by(F.struct("type_id", "records", "r"), "type_id").alias("w"))
-                   .select("doc", "w.type_id", "w.records", "w.r"))
+        kept = F.transform(F.filter("_all", lambda x: x["t"] == F.col("type_id")), lambda x: x["r"])
+    per_doc = (per_doc.select("doc", "type_id", F.array_sort(kept).alias("r"))
+               .withColumn("records", F.size("r").cast("long")))
     return per_doc.select("doc", "type_id", "records", F.to_json("r", opts).alias("json"))
 
 
