@@ -2,13 +2,7 @@
 
 
 def load_all():
-    from . import report  # noqa: F401
+    from . import adhoc, at_scale, explorer, ingestion, outputs, questions, report  # noqa: F401
     from .registry import ORACLES, QUERIES
 
-    for mod in ("explorer", "adhoc", "questions", "at_scale", "outputs", "ingestion"):
-        try:
-            __import__(f"{__name__}.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__name__}.{mod}":
-                raise
     return QUERIES, ORACLES
