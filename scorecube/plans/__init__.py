@@ -2,7 +2,8 @@
 
 
 def load_all():
-    from . import adhoc, at_scale, explorer, ingestion, outputs, questions, report  # noqa: F401
+    from . import report  # noqa: F401  (first: registration order = report order)
+    from . import adhoc, at_scale, explorer, ingestion, outputs, questions  # noqa: F401
     from .registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES
