@@ -61,7 +61,9 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``scorecube`` importable by Python workers (what ``--py-files`` does for a submitted job).
 
-    Needed only by the stages that run Python on executors (archive unpack, fixture archive writer)."""
+    The package is zipped in memory, written through the Hadoop FileSystem API into the shared folder and added
+    from there. Needed only by the stages that run Python on executors (archive unpack, fixture writer)."""
+    import io
     import zipfile
 
     sc = spark.sparkContext
@@ -69,12 +71,20 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    zpath = os.path.join(tempfile.mkdtemp(prefix="scorecube-pyfiles-"), "scorecube.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for dirpath, _, files in os.walk(pkg_dir):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(zpath)
+    target = f"{new_table_path(spark, 'pyfiles')}/scorecube.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
