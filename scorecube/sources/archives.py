@@ -51,14 +51,18 @@ def _members(names: list[str], tag: str) -> list[tuple[str, str]]:
     return out
 
 
-def _open_archive(uri: str):
-    """A seekable stream over an archive by its Hadoop-style URI (zip needs random access to its directory)."""
+def fs_path(uri: str):
+    """(pyarrow filesystem, path) for a Hadoop-style URI (``file:/…``, ``hdfs://…``, ``s3a://…``) or a local path."""
     import pyarrow.fs as pafs
 
     if "://" in uri:
-        fs, path = pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-    else:
-        fs, path = pafs.LocalFileSystem(), (uri[len("file:"):] if uri.startswith("file:") else uri)
+        return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    return pafs.LocalFileSystem(), (uri[len("file:"):] if uri.startswith("file:") else uri)
+
+
+def _open_archive(uri: str):
+    """A seekable stream over an archive (zip needs random access to its directory)."""
+    fs, path = fs_path(uri)
     return fs.open_input_file(path)
 
 

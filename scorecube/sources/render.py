@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import csv
 import io
-import os
 import uuid
 import zipfile
 
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..session import ship_package
+from .archives import fs_path
 from ..sources.cells import STUDENT_GROUPS, TESTS
 
 LAYOUTS = {
@@ -84,11 +84,12 @@ def _by_year(variants):
 
 
 class _ArchiveStream:
-    """Writes sorted (archive, member, line) rows into zip files one line at a time (bounded memory)."""
+    """Writes sorted (archive, member, line) rows into zip files one line at a time (bounded memory), through
+    ``pyarrow.fs`` so the target may be any shared filesystem; each archive appears atomically (temp + move)."""
 
     def __init__(self, out_root: str):
-        self.out_root, self.archive, self.member = out_root, None, None
-        self.zf = self.fh = self.tmp = None
+        self.fs, self.base = fs_path(out_root)
+        self.archive = self.member = self.zf = self.fh = self.raw = self.tmp = None
         self.done = []
 
     def _close_member(self):
@@ -100,17 +101,21 @@ class _ArchiveStream:
         self._close_member()
         if self.zf is not None:
             self.zf.close()
-            os.replace(self.tmp, os.path.join(self.out_root, self.archive))  # atomic: a retried task rewrites it
-            self.done.append((self.year, self.archive, os.path.getsize(os.path.join(self.out_root, self.archive))))
-            self.zf, self.archive = None, None
+            self.raw.close()
+            target = f"{self.base}/{self.archive}"
+            self.fs.move(self.tmp, target)  # a retried task simply rewrites the archive
+            self.done.append((self.year, self.archive, self.fs.get_file_info(target).size))
+            self.zf, self.raw, self.archive = None, None, None
 
     def write(self, archive: str, year: int, member: str, line: str):
         if archive != self.archive:
             self._close_archive()
-            path = os.path.join(self.out_root, archive)
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            self.tmp = f"{path}.{uuid.uuid4().hex}.tmp"
-            self.zf, self.archive, self.year = zipfile.ZipFile(self.tmp, "w", zipfile.ZIP_DEFLATED), archive, year
+            target = f"{self.base}/{archive}"
+            self.fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            self.tmp = f"{target}.{uuid.uuid4().hex}.tmp"
+            self.raw = self.fs.open_output_stream(self.tmp)
+            self.zf = zipfile.ZipFile(self.raw, "w", zipfile.ZIP_DEFLATED)  # zip streams need no seek
+            self.archive, self.year = archive, year
         if member != self.member:
             self._close_member()
             self.fh, self.member = self.zf.open(member, "w"), member
