@@ -159,3 +159,15 @@ def test_keep_extra_columns(spark, tmp_dir):
     assert "test_type" in ing.fact.columns
     assert {r["test_type"] for r in ing.fact.select("test_type").distinct().collect()} == {"B"}
     assert ing.fact.count() == src.count()
+
+
+def test_inline_type_without_inline_names(spark, tmp_dir):
+    hdr = ("County Code^District Code^School Code^Type ID^Test Year^Student Group ID^Test Type^Test ID^Grade"
+           "^Students Tested^Percentage Standard Met and Above\n")
+    data = hdr + "01^00001^0000009^9^2019^1^B^2^3^30^40\n01^00001^0000008^^2019^1^B^2^3^30^41\n"
+    ents = ("County Code^District Code^School Code^County Name^District Name^School Name^Type Id\n"
+            "01^00001^0000009^Alpha^Dist^S9^7\n01^00001^0000008^Alpha^Dist^S8^7\n")
+    ok, _ = _conform(spark, tmp_dir, data, ents)
+    got = sorted((r["school_code"], r["type_id"], r["school_name"]) for r in ok.collect())
+    # inline type first, then the entity member's, then inference
+    assert got == [("0000008", 7, "S8"), ("0000009", 9, "S9")]
