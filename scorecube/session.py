@@ -50,6 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence of a Hadoop-FS path (any scheme the cluster knows)."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location under the shared folder."""
     return f"{shared_dir(spark)}/scorecube/{name}-{uuid.uuid4().hex[:12]}"

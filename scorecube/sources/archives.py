@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import path_exists, ship_package
 
 # The yearly release archive naming (year, version) and the sniffed prefix length
 ARCHIVE_GLOB = "sb_ca*_all_csv_v*.zip"
@@ -28,6 +28,8 @@ BATCH_LINES = 50_000
 
 def discover_archives(spark: SparkSession, root: str) -> DataFrame:
     """S1 – newest version per year of ``sb_ca{year}_all_csv_v*.zip`` (deterministic, unlike a glob's order)."""
+    if not path_exists(spark, root):  # every year then reports a missing archive
+        return spark.createDataFrame([], "year int, path string")
     files = (spark.read.format("binaryFile").option("pathGlobFilter", ARCHIVE_GLOB)
              .option("recursiveFileLookup", "true").load(root).select("path"))
     parsed = files.select("path", F.regexp_extract("path", ARCHIVE_RE, 1).cast("int").alias("year"),

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators.joins import join_bounded
-from ..session import new_table_path
+from ..session import new_table_path, path_exists
 from .tables import read_table, table_path
 
 # ---------------------------------------------------------------------------------------------
@@ -151,12 +151,6 @@ def derive_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CACHE: dict = {}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table every query reads.
 
@@ -164,7 +158,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     (sorted) once per session – or the path of an ingested fact table (the output of ``ingest``), read as is."""
     from ..sinks.fact import write_sorted_fact
 
-    if not _exists(spark, table_path(sf_dir, "lineitem")):
+    if not path_exists(spark, table_path(sf_dir, "lineitem")):
         return spark.read.parquet(sf_dir)
     key = (spark.sparkContext.applicationId, table_path(sf_dir, "lineitem"))
     path = _CACHE.get(key)

@@ -171,3 +171,29 @@ def test_inline_type_without_inline_names(spark, tmp_dir):
     got = sorted((r["school_code"], r["type_id"], r["school_name"]) for r in ok.collect())
     # inline type first, then the entity member's, then inference
     assert got == [("0000008", 7, "S8"), ("0000009", 9, "S9")]
+
+
+def test_no_entity_member_and_header_only_member(spark, tmp_dir):
+    data = HDR + "00^00000^0000000^2019^1^B^2^3^30^40\n01^00000^0000000^2019^1^B^2^3^20^41\n"
+    ok, _ = _conform(spark, tmp_dir, data, None)
+    got = sorted((r["county_code"], r["type_id"], r["county_name"], r["district_name"]) for r in ok.collect())
+    assert got == [("00", 4, "", ""), ("01", 5, "", "")]
+    empty, bad = _conform(spark, os.path.join(tmp_dir, "e"), HDR, None)
+    assert empty.count() == 0 and bad.count() == 0
+
+
+def test_ingest_year_without_entity_member(spark, tmp_dir):
+    a = os.path.join(tmp_dir, "arch")
+    _zip(os.path.join(a, "sb_ca2016_all_csv_v1.zip"),
+         {"sb_ca2016_all_csv_v1.txt": (HDR + "00^00000^0000000^2016^1^B^2^3^30^40\n").encode("latin-1")})
+    ing = ingest(spark, a, os.path.join(tmp_dir, "no-formats-here"))
+    rows = ing.fact.collect()
+    assert len(rows) == 1 and rows[0]["type_id"] == 4 and rows[0]["student_group_name"] is None
+    status = {r["year"]: (r["rows"], r["error"]) for r in ing.status.collect()}
+    assert status[2016] == (1, None) and status[2015] == (0, "archive not found")
+
+
+def test_ingest_nothing_found(spark, tmp_dir):
+    ing = ingest(spark, os.path.join(tmp_dir, "none-a"), os.path.join(tmp_dir, "none-f"))
+    assert ing.fact.count() == 0
+    assert {r["error"] for r in ing.status.collect()} == {"archive not found"}
