@@ -64,3 +64,18 @@ def test_fact_build_shape_at_scale(spark):
     assert tree.count("SortMergeJoin") == 2  # orders ⋈ customer, lineitem ⋈ orders
     # the Expand of GROUPING SETS sits above the finest-level aggregate, not on the raw line items
     assert tree.index("Expand") < tree.index("Generate")
+
+
+def test_no_cross_products_when_nothing_is_small(spark):
+    """With static size-based broadcasts disabled (every table beyond the threshold, as at 100 TB), no plan
+    degrades into a Cartesian product or nested-loop join; the checked state series still broadcasts."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, fn in QUERIES.items():
+            if name in INGEST:
+                continue
+            p = plan(fn(spark, SF_SMALL))
+            assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+        assert "BroadcastHashJoin" in plan(QUERIES["n09_vs_state_every_cell"](spark, SF_SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
