@@ -197,3 +197,22 @@ def test_ingest_nothing_found(spark, tmp_dir):
     ing = ingest(spark, os.path.join(tmp_dir, "none-a"), os.path.join(tmp_dir, "none-f"))
     assert ing.fact.count() == 0
     assert {r["error"] for r in ing.status.collect()} == {"archive not found"}
+
+
+def test_incremental_new_version_replaces_year(spark, tmp_dir):
+    import shutil
+
+    from scorecube.sources.cells import cells
+    from scorecube.sources.render import render_archives
+
+    src = cells(spark, "/root/testdata/sf0.001").filter(F.col("type_id") == 4)
+    root = os.path.join(tmp_dir, "raw")
+    render_archives(src, root, {2015: "A", 2016: "A"}).collect()
+    archives, formats = os.path.join(root, "all-student-groups"), os.path.join(root, "file_formats")
+    fact, ckpt = os.path.join(tmp_dir, "fact"), os.path.join(tmp_dir, "ckpt")
+    start_incremental_ingest(spark, archives, formats, fact, ckpt).awaitTermination(300)
+    before = {r["year"]: r["count"] for r in read_incremental_fact(spark, fact).groupBy("year").count().collect()}
+    shutil.copy(os.path.join(archives, "sb_ca2016_all_csv_v1.zip"), os.path.join(archives, "sb_ca2016_all_csv_v2.zip"))
+    start_incremental_ingest(spark, archives, formats, fact, ckpt).awaitTermination(300)
+    after = {r["year"]: r["count"] for r in read_incremental_fact(spark, fact).groupBy("year").count().collect()}
+    assert after == before  # 2016 replaced by its new version, not appended
