@@ -53,6 +53,7 @@ def run_report(spark: SparkSession, fact: str, out: str, spec: C.ReportSpec = C.
         return write_report(spark, fact, out)
     finally:
         R.set_report_spec(previous)
+        R.Report.clear(spark)
 
 
 def run_explore(spark: SparkSession, fact: str, out: str, spec) -> None:

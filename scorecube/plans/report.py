@@ -50,6 +50,13 @@ class Report:
             # MEMORY_AND_DISK, recomputed from the fact table if an executor is lost
             self.sides = self.sides.persist(StorageLevel.MEMORY_AND_DISK)
 
+    @classmethod
+    def clear(cls, spark: SparkSession) -> None:
+        """Release the cached report slices of this session."""
+        app = spark.sparkContext.applicationId
+        for key in [k for k in cls._cache if k[0] == app]:
+            cls._cache.pop(key).sides.unpersist()
+
     def rows(self, groups, entity: str | None = None) -> DataFrame:
         groups = (groups,) if isinstance(groups, str) else tuple(groups)
         df = self.sides.filter(F.col("student_group").isin(*groups))
