@@ -409,19 +409,30 @@ def q23_el_share(spark, sf_dir):
 
 
 @register("q24_headcounts", sql(f"""
-SELECT year,
-  CAST(coalesce(sum(CASE WHEN student_group_name = {EL} THEN students_tested END), 0) AS BIGINT) AS el_students,
-  CAST(coalesce(sum(CASE WHEN student_group_name = {FL} THEN students_tested END), 0) AS BIGINT) AS fluent_students,
-  CAST(coalesce(sum(CASE WHEN student_group_name = {ALL} THEN students_tested END), 0) AS BIGINT) AS all_students
-FROM sides WHERE entity = 'focus' AND student_group_name IN ({EL}, {FL}, {ALL}) GROUP BY year"""))
+h AS (SELECT year,
+        CAST(coalesce(sum(CASE WHEN student_group_name = {EL} THEN students_tested END), 0) AS BIGINT) AS el_n,
+        CAST(coalesce(sum(CASE WHEN student_group_name = {FL} THEN students_tested END), 0) AS BIGINT) AS fl_n,
+        CAST(coalesce(sum(CASE WHEN student_group_name = {ALL} THEN students_tested END), 0) AS BIGINT) AS all_n,
+        count(CASE WHEN student_group_name IN ({EL}, {FL}) THEN 1 END) > 0 AS has_mix,
+        count(CASE WHEN student_group_name = {ALL} THEN 1 END) > 0 AS has_all
+      FROM sides WHERE entity = 'focus' AND student_group_name IN ({EL}, {FL}, {ALL}) GROUP BY year)""", """
+SELECT 'el' AS series, year, el_n AS students FROM h WHERE has_mix
+UNION ALL SELECT 'fluent', year, fl_n FROM h WHERE has_mix
+UNION ALL SELECT 'all', year, all_n FROM h WHERE has_all"""))
 def q24_headcounts(spark, sf_dir):
-    """EL / Fluent / All students tested by year (absent = 0)."""
+    """Students tested by year: EL and Fluent over the years either has (absent = 0), All over its own years
+    (suppressed cells counted). One aggregation, then an unpivot."""
     rows = _r(spark, sf_dir).rows([C.SG_EL, C.SG_FLUENT, C.SG_ALL], "focus")
+    g = F.col("student_group")
 
     def hc(name):
-        return F.coalesce(F.sum(F.when(F.col("student_group") == name, F.col(N))), F.lit(0)).cast("long")
-    return rows.groupBy("year").agg(hc(C.SG_EL).alias("el_students"), hc(C.SG_FLUENT).alias("fluent_students"),
-                                    hc(C.SG_ALL).alias("all_students"))
+        return F.coalesce(F.sum(F.when(g == name, F.col(N))), F.lit(0)).cast("long")
+    h = rows.groupBy("year").agg(hc(C.SG_EL).alias("el"), hc(C.SG_FLUENT).alias("fluent"), hc(C.SG_ALL).alias("all"),
+                                 (F.count(F.when(g.isin(C.SG_EL, C.SG_FLUENT), 1)) > 0).alias("has_mix"),
+                                 (F.count(F.when(g == C.SG_ALL, 1)) > 0).alias("has_all"))
+    long = h.unpivot(["year", "has_mix", "has_all"], ["el", "fluent", "all"], "series", "students")
+    keep = F.when(F.col("series") == "all", F.col("has_all")).otherwise(F.col("has_mix"))
+    return long.filter(keep).select("series", "year", "students")
 
 
 # ---------------------------------------------------------------------------------------------------------
