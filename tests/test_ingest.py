@@ -216,3 +216,12 @@ def test_incremental_new_version_replaces_year(spark, tmp_dir):
     start_incremental_ingest(spark, archives, formats, fact, ckpt).awaitTermination(300)
     after = {r["year"]: r["count"] for r in read_incremental_fact(spark, fact).groupBy("year").count().collect()}
     assert after == before  # 2016 replaced by its new version, not appended
+
+
+def test_inline_type_kept_without_entities(spark, tmp_dir):
+    hdr = ("County Code^District Code^School Code^Type ID^Test Year^Student Group ID^Test Type^Test ID^Grade"
+           "^Students Tested^Percentage Standard Met and Above\n")
+    data = hdr + "01^00001^0000009^9^2019^1^B^2^3^30^40\n01^00001^0000008^^2019^1^B^2^3^30^41\n"
+    ok, _ = _conform(spark, tmp_dir, data, None)
+    got = sorted((r["school_code"], r["type_id"]) for r in ok.collect())
+    assert got == [("0000008", 7), ("0000009", 9)]  # inline 9 kept; missing inline type inferred (7)
