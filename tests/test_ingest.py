@@ -225,3 +225,15 @@ def test_inline_type_kept_without_entities(spark, tmp_dir):
     ok, _ = _conform(spark, tmp_dir, data, None)
     got = sorted((r["school_code"], r["type_id"]) for r in ok.collect())
     assert got == [("0000008", 7), ("0000009", 9)]  # inline 9 kept; missing inline type inferred (7)
+
+
+def test_partial_inline_names(spark, tmp_dir):
+    hdr = ("County Code^District Code^School Code^District Name^Test Year^Student Group ID^Test Type^Test ID^Grade"
+           "^Students Tested^Percentage Standard Met and Above\n")
+    data = hdr + "01^00001^0000009^Inline District^2019^1^B^2^3^30^40\n01^00001^0000008^^2019^1^B^2^3^30^41\n"
+    ents = ("County Code^District Code^School Code^County Name^District Name^School Name^Type Id\n"
+            "01^00001^0000009^Alpha^Entity District^S9^7\n01^00001^0000008^Alpha^Entity District^S8^7\n")
+    ok, _ = _conform(spark, tmp_dir, data, ents)
+    got = sorted((r["school_code"], r["district_name"], r["school_name"], r["county_name"], r["type_id"])
+                 for r in ok.collect())
+    assert got == [("0000008", "Entity District", "S8", "Alpha", 7), ("0000009", "Inline District", "S9", "Alpha", 7)]
