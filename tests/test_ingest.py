@@ -237,3 +237,12 @@ def test_partial_inline_names(spark, tmp_dir):
     got = sorted((r["school_code"], r["district_name"], r["school_name"], r["county_name"], r["type_id"])
                  for r in ok.collect())
     assert got == [("0000008", "Entity District", "S8", "Alpha", 7), ("0000009", "Inline District", "S9", "Alpha", 7)]
+
+
+def test_repeated_header_names(spark, tmp_dir):
+    from scorecube.sources.layouts import parse_header
+
+    assert parse_header(" Grade ,Grade,Note,Grade", ",") == ["Grade", "Grade.1", "Note", "Grade.2"]
+    hdr = HDR.rstrip("\n") + "^Note^Note\n"
+    ok, _ = _conform(spark, tmp_dir, hdr + "00^00000^0000000^2019^1^B^2^3^30^40^a^b\n", None)
+    assert ok.count() == 1
