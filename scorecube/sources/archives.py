@@ -102,6 +102,9 @@ def _unpack(batches):
                             yield pd.DataFrame({"tag": tag, "year": year, "kind": kind, "member": name,
                                                 "caret": caret, "line_no": range(n, n + len(buf)), "line": buf,
                                                 "error": None})[cols]
+                        elif n == 0 and kind == "data":
+                            yield pd.DataFrame([[tag, year, "error", name, None, None, None,
+                                                 "EmptyDataError: empty data member"]], columns=cols)
 
 
 class _Prefixed(io.RawIOBase):

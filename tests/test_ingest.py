@@ -246,3 +246,11 @@ def test_repeated_header_names(spark, tmp_dir):
     hdr = HDR.rstrip("\n") + "^Note^Note\n"
     ok, _ = _conform(spark, tmp_dir, hdr + "00^00000^0000000^2019^1^B^2^3^30^40^a^b\n", None)
     assert ok.count() == 1
+
+
+def test_empty_data_member_reported(spark, tmp_dir):
+    a = os.path.join(tmp_dir, "arch")
+    _zip(os.path.join(a, "sb_ca2016_all_csv_v1.zip"), {"sb_ca2016_all_csv_v1.txt": b""})
+    ing = ingest(spark, a, os.path.join(tmp_dir, "none"))
+    status = {r["year"]: (r["rows"], r["error"]) for r in ing.status.collect()}
+    assert status[2016] == (0, "EmptyDataError: empty data member")
