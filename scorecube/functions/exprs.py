@@ -88,8 +88,9 @@ def label_part_before(label, sep: str) -> Column:
 
 
 def label_part_after(label, sep: str) -> Column:
-    """P12 – text after the first ``sep``; null when ``sep`` is absent."""
-    parts = F.split(col_(label), sep, 2)
+    """P12 – the piece between the first and the second ``sep`` (a plain split's second element); null when
+    ``sep`` is absent."""
+    parts = F.split(col_(label), sep)
     return F.when(F.size(parts) > 1, parts.getItem(1))
 
 

@@ -98,7 +98,8 @@ def test_label_with_two_parentheses(spark):
                                "type_id int, district_name string, county_name string, school_name string")
     labels = spark.createDataFrame([("A (B) (C)",)], "label string")
     got = select_by_label(df, labels, "District").collect()
-    assert [r["county_name"] for r in got] == ["B) (C"]
+    # district = text before the first " (", county = the piece before the second " (" without trailing ")"
+    assert [r["county_name"] for r in got] == ["B"]
 
 
 def test_join_bounded_falls_back(spark):
