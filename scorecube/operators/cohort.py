@@ -36,14 +36,17 @@ def paired(focus_traj: DataFrame, other: DataFrame, keys=()) -> DataFrame:
     return cohort_points(other).join(qualifying_cohorts(focus_traj, keys), list(keys) + ["cohort_year"], "left_semi")
 
 
-def start_end(df: DataFrame, keys=(), g_from: int = 3, g_to: int = 8, value: str = C.PCT) -> DataFrame:
+def start_end(df: DataFrame, keys=(), g_from: int = 3, g_to: int = 8, value: str = C.PCT,
+              order=("year", "district_code", "school_code")) -> DataFrame:
     """J13/W7 – per cohort, the value at ``g_from`` and at ``g_to`` (both required) by conditional aggregation.
 
-    ``min_by(value, year)`` picks a deterministic first value if a grade repeats."""
+    When a grade repeats within a cohort (a focus matching several entities), the first row in the fact's sort
+    order wins: ``min_by`` on (year, district, school) – those of the columns present."""
     part = list(keys) + ["cohort_year"]
     g = F.col("grade")
-    s = F.min_by(F.when(g == g_from, F.col(value)), F.when(g == g_from, F.col("year")))
-    e = F.min_by(F.when(g == g_to, F.col(value)), F.when(g == g_to, F.col("year")))
+    ordk = F.struct(*[F.col(c) for c in order if c in df.columns])
+    s = F.min_by(F.when(g == g_from, F.col(value)), F.when(g == g_from, ordk))
+    e = F.min_by(F.when(g == g_to, F.col(value)), F.when(g == g_to, ordk))
     ok = F.col(value).isNotNull() & ~F.isnan(value)
     return (df.dropna(subset=["cohort_year"]).filter(ok & g.isin(g_from, g_to)).groupBy(*part)
             .agg(s.alias("start_pct"), e.alias("end_pct"))
