@@ -91,9 +91,10 @@ def q69_group_choices(spark, sf_dir):
 @register("q70_test_choices", with_cells() + """
 SELECT DISTINCT test_id, test_name,
        CASE WHEN contains(test_name, 'English') OR contains(test_name, 'ELA') THEN 1 ELSE 2 END AS resolved_test_id
-FROM cells WHERE test_id IN (1, 2)""")
+FROM cells WHERE test_id IN (1, 2) AND test_name IS NOT NULL""")
 def q70_test_choices(spark, sf_dir):
-    t = cells(spark, sf_dir).filter(F.col("test_id").isin(*C.TEST_IDS_KEPT)).select("test_id", "test_name").distinct()
+    t = (cells(spark, sf_dir).filter(F.col("test_id").isin(*C.TEST_IDS_KEPT) & F.col("test_name").isNotNull())
+         .select("test_id", "test_name").distinct())
     return t.withColumn("resolved_test_id", subject_id("test_name"))
 
 
