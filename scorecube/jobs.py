@@ -1,6 +1,6 @@
 """Batch entry points (``spark-submit -m``-style): the reference's scripts as Spark jobs.
 
-    python -m scorecube.jobs ingest    ARCHIVES FORMATS OUT [--sidecar-year 2024] [--keep-extra]
+    python -m scorecube.jobs ingest    ARCHIVES FORMATS OUT [--sidecar-year 2024] [--keep-extra] [--partition-by-year]
     python -m scorecube.jobs documents FACT OUT
     python -m scorecube.jobs report    FACT OUT [--level 6 --name-col district_name --pattern "..." --test 2]
     python -m scorecube.jobs explore   FACT OUT [--entity-type District --label "name (county)" --test-name ...]
@@ -21,11 +21,12 @@ from . import config as C
 
 
 def run_ingest(spark: SparkSession, archives: str, formats: str, out: str, sidecar_year: int = 2024,
-               keep_extra: bool = False) -> None:
+               keep_extra: bool = False, partition_by_year: bool = False) -> None:
     from .sinks.documents import entity_list, subgroup_list, write_sidecar
     from .sources.conform import ingest
 
-    ing = ingest(spark, archives, formats, out_path=f"{out}/fact", keep_extra=keep_extra)
+    ing = ingest(spark, archives, formats, out_path=f"{out}/fact", keep_extra=keep_extra,
+                 partition_by=("year",) if partition_by_year else ())
     ing.quarantine.write.mode("overwrite").parquet(f"{out}/quarantine")
     ing.status.write.mode("overwrite").parquet(f"{out}/status")
     write_sidecar(entity_list(ing.fact, sidecar_year), f"{out}/entities",
@@ -85,6 +86,7 @@ def main(argv=None) -> None:
     a.add_argument("archives"), a.add_argument("formats"), a.add_argument("out")
     a.add_argument("--sidecar-year", type=int, default=2024)
     a.add_argument("--keep-extra", action="store_true", help="keep raw columns outside the canonical schema")
+    a.add_argument("--partition-by-year", action="store_true", help="year directories (pruned by year predicates)")
     d = sub.add_parser("documents")
     d.add_argument("fact"), d.add_argument("out")
     r = sub.add_parser("report")
@@ -105,7 +107,8 @@ def main(argv=None) -> None:
 
     spark = SparkSession.builder.appName(f"scorecube-{args.cmd}").getOrCreate()
     if args.cmd == "ingest":
-        run_ingest(spark, args.archives, args.formats, args.out, args.sidecar_year, args.keep_extra)
+        run_ingest(spark, args.archives, args.formats, args.out, args.sidecar_year, args.keep_extra,
+                   args.partition_by_year)
     elif args.cmd == "documents":
         run_documents(spark, args.fact, args.out)
     elif args.cmd == "report":

@@ -21,8 +21,13 @@ def sorted_for_fact(df: DataFrame, keys=C.FACT_SORT_KEYS, partitions: int | None
 
 
 def write_sorted_fact(df: DataFrame, path: str, keys=C.FACT_SORT_KEYS, partitions: int | None = None,
-                      mode: str = "errorifexists", row_group_rows: int = ROW_GROUP_ROWS) -> None:
-    (sorted_for_fact(df, keys, partitions).write.mode(mode)
-     .option("compression", "zstd")
-     .option("parquet.block.row.count.limit", row_group_rows)
-     .parquet(path))
+                      mode: str = "errorifexists", row_group_rows: int = ROW_GROUP_ROWS,
+                      partition_by: tuple = ()) -> None:
+    """``partition_by=("year",)`` adds directory pruning for year predicates; the range partitioning on the sort
+    keys (year first) means each task writes into one or two year directories."""
+    w = (sorted_for_fact(df, keys, partitions).write.mode(mode)
+         .option("compression", "zstd")
+         .option("parquet.block.row.count.limit", row_group_rows))
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)

@@ -159,7 +159,10 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sinks.fact import write_sorted_fact
 
     if not path_exists(spark, table_path(sf_dir, "lineitem")):
-        return spark.read.parquet(sf_dir)
+        fact = spark.read.parquet(sf_dir)
+        if dict(fact.dtypes).get("year") == "string":  # a year-partitioned fact read without type inference
+            fact = fact.withColumn("year", F.col("year").cast("int"))
+        return fact
     key = (spark.sparkContext.applicationId, table_path(sf_dir, "lineitem"))
     path = _CACHE.get(key)
     if path is None:

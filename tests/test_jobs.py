@@ -71,3 +71,29 @@ def test_explore_state_district_school(spark, tmp_dir):
     assert spark.read.parquet(os.path.join(base, "school", "grade_grid")).count() > 0
     from scorecube.plans import explorer as X
     assert X._XS[0] == X.X
+
+
+def test_year_partitioned_fact(spark, tmp_dir):
+    src = cells(spark, SF_SMALL).filter(F.col("type_id").isin(4, 5))
+    raw = os.path.join(tmp_dir, "raw")
+    render_archives(src, raw).collect()
+    out = os.path.join(tmp_dir, "out")
+    jobs.main(["ingest", os.path.join(raw, "all-student-groups"), os.path.join(raw, "file_formats"), out,
+               "--partition-by-year"])
+    fact = os.path.join(out, "fact")
+    assert sorted(d for d in os.listdir(fact) if d.startswith("year=")) == [f"year={y}" for y in (2015, 2016, 2017, 2018, 2019, 2021)]
+    assert dict(cells(spark, fact).dtypes)["year"] == "int"
+    p = io_plan(QUERIES["q78_district_weighted_average"](spark, fact))  # year = 2019 prunes directories
+    assert "PartitionFilters" in p
+    for name in ("q01_overall_trend", "q76_state_grade_trend"):
+        assert _rows(QUERIES[name](spark, fact)) == _rows(QUERIES[name](spark, SF_SMALL)), name
+
+
+def io_plan(df) -> str:
+    import io
+    from contextlib import redirect_stdout
+
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
