@@ -61,14 +61,9 @@ def run_explore(spark: SparkSession, fact: str, out: str, spec) -> None:
     """The comparison app's analysis for one selection: cohort grid, grade grid, status (Q72–Q74)."""
     from .plans import explorer as X
 
-    previous = X._XS[0]
-    X.set_explorer_spec(spec)
-    try:
-        X.q72_cohort_grid(spark, fact).write.mode("overwrite").parquet(f"{out}/cohort_grid")
-        X.q73_grade_grid(spark, fact).write.mode("overwrite").parquet(f"{out}/grade_grid")
-        X.q74_run_status(spark, fact).write.mode("overwrite").parquet(f"{out}/status")
-    finally:
-        X.set_explorer_spec(previous)
+    X.cohort_grid(spark, fact, spec).write.mode("overwrite").parquet(f"{out}/cohort_grid")
+    X.grade_grid(spark, fact, spec).write.mode("overwrite").parquet(f"{out}/grade_grid")
+    X.run_status(spark, fact, spec).write.mode("overwrite").parquet(f"{out}/status")
 
 
 def run_sql(spark: SparkSession, fact: str, query: str, out: str) -> None:

@@ -144,49 +144,30 @@ _register_selection("q71_select_district_by_label", "District", SEL_DISTRICT)
 _register_selection("q71_select_school_by_label", "School", SEL_SCHOOL)
 
 
-def _state_and_selected(spark, sf_dir) -> DataFrame:
+def _state_and_selected(spark, sf_dir, spec: ExplorerSpec | None = None) -> DataFrame:
     """State rows and the selected entity's rows, tagged by side (State selected: both sides are the state)."""
-    spec = _XS[0]
+    spec = spec or _XS[0]
     c = cells(spark, sf_dir)
     state = _subject_group(c, spec).filter(level_pred(C.TYPE_STATE))
     sel = _selected(spark, c, spec)
     return state.withColumn("side", F.lit("state")).unionByName(sel.withColumn("side", F.lit("selected")))
 
 
-@register("q72_cohort_grid", with_cells(SUBJ_X, SEL_DISTRICT, STATE_X, f"""
-ok AS (SELECT cohort_year FROM st WHERE cohort_year IS NOT NULL GROUP BY cohort_year
-       HAVING count(DISTINCT year) >= {X.min_state_years})""", """
-sv AS (SELECT cohort_year, year, avg(pct_met_and_above) AS state_value FROM st GROUP BY cohort_year, year)""", """
-lv AS (SELECT cohort_year, year, avg(pct_met_and_above) AS selected_value FROM sel GROUP BY cohort_year, year)""") + """
-SELECT coalesce(sv.cohort_year, lv.cohort_year) AS cohort_year, coalesce(sv.year, lv.year) AS year,
-       sv.state_value, lv.selected_value
-FROM sv FULL OUTER JOIN lv ON sv.cohort_year = lv.cohort_year AND sv.year = lv.year
-WHERE coalesce(sv.cohort_year, lv.cohort_year) IN (SELECT cohort_year FROM ok)""",
-    doubles=("state_value", "selected_value"))
-def q72_cohort_grid(spark, sf_dir):
-    """Per cohort with ≥ 2 state years: unweighted mean by year, state vs selected (full outer on years)."""
-    rows = _state_and_selected(spark, sf_dir).dropna(subset=["cohort_year", "year"])
+def cohort_grid(spark, sf_dir, spec: ExplorerSpec | None = None) -> DataFrame:
+    """Q72 – per cohort with ≥ 2 state years: unweighted mean by year, state vs selected (full outer on years)."""
+    spec = spec or _XS[0]
+    rows = _state_and_selected(spark, sf_dir, spec).dropna(subset=["cohort_year", "year"])
     st = rows.filter(F.col("side") == "state")
-    ok = A.distinct_count(st, ["cohort_year"], "year", "n_years").filter(F.col("n_years") >= _XS[0].min_state_years)
+    ok = A.distinct_count(st, ["cohort_year"], "year", "n_years").filter(F.col("n_years") >= spec.min_state_years)
     means = rows.groupBy("cohort_year", "year").agg(
         F.avg(F.when(F.col("side") == "state", F.col(C.PCT))).alias("state_value"),
         F.avg(F.when(F.col("side") == "selected", F.col(C.PCT))).alias("selected_value"))
     return means.join(ok.select("cohort_year"), ["cohort_year"], "left_semi")
 
 
-@register("q73_grade_grid", with_cells(SUBJ_X, SEL_DISTRICT, STATE_X, """
-gr AS (SELECT grade FROM st UNION SELECT grade FROM sel)""",
-    "yv(year) AS (VALUES " + ", ".join(f"({y})" for y in C.YEARS) + ")", """
-sv AS (SELECT grade, year, avg(pct_met_and_above) AS state_value FROM st GROUP BY grade, year)""", """
-lv AS (SELECT grade, year, avg(pct_met_and_above) AS selected_value FROM sel GROUP BY grade, year)""") + """
-SELECT g.grade, y.year, sv.state_value, lv.selected_value
-FROM gr g CROSS JOIN yv y
-LEFT JOIN sv ON sv.grade = g.grade AND sv.year = y.year
-LEFT JOIN lv ON lv.grade = g.grade AND lv.year = y.year
-WHERE g.grade IS NOT NULL""", doubles=("state_value", "selected_value"))
-def q73_grade_grid(spark, sf_dir):
-    """Per grade on the year domain: unweighted mean, state vs selected."""
-    rows = _state_and_selected(spark, sf_dir).dropna(subset=["grade"])
+def grade_grid(spark, sf_dir, spec: ExplorerSpec | None = None) -> DataFrame:
+    """Q73 – per grade on the year domain: unweighted mean, state vs selected."""
+    rows = _state_and_selected(spark, sf_dir, spec).dropna(subset=["grade"])
     means = rows.groupBy("grade", "year").agg(
         F.avg(F.when(F.col("side") == "state", F.col(C.PCT))).alias("state_value"),
         F.avg(F.when(F.col("side") == "selected", F.col(C.PCT))).alias("selected_value"))
@@ -194,13 +175,61 @@ def q73_grade_grid(spark, sf_dir):
     return grid.join(means, ["grade", "year"], "left")
 
 
-@register("q74_run_status", with_cells(SUBJ_X, SEL_DISTRICT, STATE_X) + """
-SELECT (SELECT count(*) FROM st) AS state_rows, (SELECT count(*) FROM sel) AS selected_rows,
-       (SELECT string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) FROM (SELECT DISTINCT year FROM st WHERE year IS NOT NULL)) AS years""")
-def q74_run_status(spark, sf_dir):
-    rows = _state_and_selected(spark, sf_dir)
+def run_status(spark, sf_dir, spec: ExplorerSpec | None = None) -> DataFrame:
+    """Q74 – state rows, selected rows, sorted state years."""
+    rows = _state_and_selected(spark, sf_dir, spec)
     yrs = F.array_sort(F.collect_set(F.when(F.col("side") == "state", F.col("year"))))
     return rows.groupBy().agg(
         F.count(F.when(F.col("side") == "state", 1)).alias("state_rows"),
         F.count(F.when(F.col("side") == "selected", 1)).alias("selected_rows"),
         F.concat_ws(",", F.transform(yrs, lambda y: y.cast("string"))).alias("years"))
+
+
+def _grid_sql(sel_sql: str) -> dict:
+    q72 = with_cells(SUBJ_X, sel_sql, STATE_X, f"""
+ok AS (SELECT cohort_year FROM st WHERE cohort_year IS NOT NULL GROUP BY cohort_year
+       HAVING count(DISTINCT year) >= {X.min_state_years})""", """
+sv AS (SELECT cohort_year, year, avg(pct_met_and_above) AS state_value FROM st GROUP BY cohort_year, year)""", """
+lv AS (SELECT cohort_year, year, avg(pct_met_and_above) AS selected_value FROM sel GROUP BY cohort_year, year)""") + """
+SELECT coalesce(sv.cohort_year, lv.cohort_year) AS cohort_year, coalesce(sv.year, lv.year) AS year,
+       sv.state_value, lv.selected_value
+FROM sv FULL OUTER JOIN lv ON sv.cohort_year = lv.cohort_year AND sv.year = lv.year
+WHERE coalesce(sv.cohort_year, lv.cohort_year) IN (SELECT cohort_year FROM ok)"""
+    q73 = with_cells(SUBJ_X, sel_sql, STATE_X, """
+gr AS (SELECT grade FROM st UNION SELECT grade FROM sel)""",
+                     "yv(year) AS (VALUES " + ", ".join(f"({y})" for y in C.YEARS) + ")", """
+sv AS (SELECT grade, year, avg(pct_met_and_above) AS state_value FROM st GROUP BY grade, year)""", """
+lv AS (SELECT grade, year, avg(pct_met_and_above) AS selected_value FROM sel GROUP BY grade, year)""") + """
+SELECT g.grade, y.year, sv.state_value, lv.selected_value
+FROM gr g CROSS JOIN yv y
+LEFT JOIN sv ON sv.grade = g.grade AND sv.year = y.year
+LEFT JOIN lv ON lv.grade = g.grade AND lv.year = y.year
+WHERE g.grade IS NOT NULL"""
+    q74 = with_cells(SUBJ_X, sel_sql, STATE_X) + """
+SELECT (SELECT count(*) FROM st) AS state_rows, (SELECT count(*) FROM sel) AS selected_rows,
+       (SELECT string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) FROM (SELECT DISTINCT year FROM st WHERE year IS NOT NULL)) AS years"""
+    return {"q72": q72, "q73": q73, "q74": q74}
+
+
+SEL_STATE = "sel AS (SELECT * FROM sg WHERE type_id = 4)"
+
+
+def _register_grids(suffix: str, spec: ExplorerSpec | None, sel_sql: str):
+    sqls = _grid_sql(sel_sql)
+
+    @register(f"q72_cohort_grid{suffix}", sqls["q72"], doubles=("state_value", "selected_value"))
+    def q72(spark, sf_dir):
+        return cohort_grid(spark, sf_dir, spec)
+
+    @register(f"q73_grade_grid{suffix}", sqls["q73"], doubles=("state_value", "selected_value"))
+    def q73(spark, sf_dir):
+        return grade_grid(spark, sf_dir, spec)
+
+    @register(f"q74_run_status{suffix}", sqls["q74"])
+    def q74(spark, sf_dir):
+        return run_status(spark, sf_dir, spec)
+
+
+_register_grids("", None, SEL_DISTRICT)                                      # the selection in effect (District)
+_register_grids("_state", ExplorerSpec(entity_type="State"), SEL_STATE)      # State selected: both sides state
+_register_grids("_school", ExplorerSpec(entity_type="School"), SEL_SCHOOL)   # a school by its label
