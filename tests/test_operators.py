@@ -131,3 +131,12 @@ def test_selection_status_and_distinct_union(spark):
     assert got == {"s": (3, [2015, 2019]), "t": (1, [2021])}
     u = SE.distinct_union(df.select("year"), spark.createDataFrame([(2015,), (2023,)], "year int"))
     assert sorted(r["year"] for r in u.collect()) == [2015, 2019, 2021, 2023]
+
+
+def test_join_bounded_byte_cap(spark):
+    from scorecube.operators.joins import fits, row_bytes
+
+    small = spark.range(100).selectExpr("id AS k", "repeat('x', 10) AS s")
+    assert row_bytes(small) == 8 + 20 + 8
+    assert fits(small, max_rows=1000)
+    assert not fits(small, max_rows=1000, max_bytes=36 * 50)  # only 50 rows' worth of bytes allowed
