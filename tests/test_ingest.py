@@ -254,3 +254,12 @@ def test_empty_data_member_reported(spark, tmp_dir):
     ing = ingest(spark, a, os.path.join(tmp_dir, "none"))
     status = {r["year"]: (r["rows"], r["error"]) for r in ing.status.collect()}
     assert status[2016] == (0, "EmptyDataError: empty data member")
+
+
+def test_canonical_coalesces_co_occurring_aliases(spark):
+    from scorecube.sources.layouts import canonical
+
+    df = spark.createDataFrame([("1", None, "x"), (None, "2", "y")], "`Test Id` string, `Test ID` string, Other string")
+    out = canonical(df)
+    assert sorted(out.columns) == ["Other", "test_id"]
+    assert [r["test_id"] for r in out.orderBy("Other").collect()] == ["1", "2"]
