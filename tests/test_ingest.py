@@ -256,10 +256,12 @@ def test_empty_data_member_reported(spark, tmp_dir):
     assert status[2016] == (0, "EmptyDataError: empty data member")
 
 
-def test_canonical_coalesces_co_occurring_aliases(spark):
-    from scorecube.sources.layouts import canonical
+def test_co_occurring_aliases_coalesced(spark, tmp_dir):
+    from scorecube import config as C
 
-    df = spark.createDataFrame([("1", None, "x"), (None, "2", "y")], "`Test Id` string, `Test ID` string, Other string")
-    out = canonical(df)
-    assert sorted(out.columns) == ["Other", "test_id"]
-    assert [r["test_id"] for r in out.orderBy("Other").collect()] == ["1", "2"]
+    data = "Test Id^Test ID^Note^NOTE\n1^^a^b\n^2^c^d\n"
+    lines = _lines(spark, tmp_dir, {"d.txt": data.encode("latin-1")})
+    h = [x for x in headers(lines) if x["kind"] == "data"][0]
+    out = member_frame(lines, "data", h["year"], "data", h["line"], h["caret"], C.COLUMN_ALIASES)
+    assert out.columns == ["line_no", "test_id", "Note", "NOTE.1"]  # case-only duplicates get a suffix
+    assert [r["test_id"] for r in out.orderBy("line_no").collect()] == ["1", "2"]
