@@ -1,7 +1,7 @@
 """Batch entry points (``spark-submit -m``-style): the reference's scripts as Spark jobs.
 
     python -m scorecube.jobs ingest    ARCHIVES FORMATS OUT [--sidecar-year 2024] [--keep-extra] [--partition-by-year]
-    python -m scorecube.jobs documents FACT OUT
+    python -m scorecube.jobs documents FACT OUT [--merge-school-types]
     python -m scorecube.jobs report    FACT OUT [--level 6 --name-col district_name --pattern "..." --test 2]
     python -m scorecube.jobs explore   FACT OUT [--entity-type District --label "name (county)" --test-name ...]
     python -m scorecube.jobs sql       FACT "SELECT ... FROM cells ..." OUT
@@ -35,12 +35,12 @@ def run_ingest(spark: SparkSession, archives: str, formats: str, out: str, sidec
                   ["student_group_category", "student_group_name"])
 
 
-def run_documents(spark: SparkSession, fact: str, out: str) -> None:
+def run_documents(spark: SparkSession, fact: str, out: str, merge_school_types: bool = False) -> None:
     from .sinks.documents import export_documents, manifest
     from .sources.cells import cells
 
     f = cells(spark, fact)
-    export_documents(f, f"{out}/documents")
+    export_documents(f, f"{out}/documents", on_conflict="merge" if merge_school_types else "last_type")
     manifest(f).write.mode("overwrite").parquet(f"{out}/manifest")
 
 
@@ -84,6 +84,8 @@ def main(argv=None) -> None:
     a.add_argument("--partition-by-year", action="store_true", help="year directories (pruned by year predicates)")
     d = sub.add_parser("documents")
     d.add_argument("fact"), d.add_argument("out")
+    d.add_argument("--merge-school-types", action="store_true",
+                   help="a school code under types 7 and 9 keeps both types' records (default: type 9 only)")
     r = sub.add_parser("report")
     r.add_argument("fact"), r.add_argument("out")
     r.add_argument("--level", type=int, default=C.DEFAULT_SPEC.focus_level)
@@ -105,7 +107,7 @@ def main(argv=None) -> None:
         run_ingest(spark, args.archives, args.formats, args.out, args.sidecar_year, args.keep_extra,
                    args.partition_by_year)
     elif args.cmd == "documents":
-        run_documents(spark, args.fact, args.out)
+        run_documents(spark, args.fact, args.out, args.merge_school_types)
     elif args.cmd == "report":
         spec = C.ReportSpec(focus_level=args.level, focus_name_col=args.name_col, focus_pattern=args.pattern,
                             test_id=args.test)

@@ -97,3 +97,22 @@ def io_plan(df) -> str:
     with redirect_stdout(buf):
         df.explain("formatted")
     return buf.getvalue()
+
+
+def test_documents_merge_option(spark, tmp_dir):
+    import json
+
+    jobs.main(["documents", SF_SMALL, os.path.join(tmp_dir, "m"), "--merge-school-types"])
+    jobs.run_documents(spark, SF_SMALL, os.path.join(tmp_dir, "l"))
+
+    def records(root):
+        docs = os.path.join(root, "documents")
+        out = {}
+        for d in os.listdir(docs):
+            if d.startswith("doc=school_"):
+                part = [f for f in os.listdir(os.path.join(docs, d)) if f.startswith("part-")][0]
+                out[d] = len(json.loads(open(os.path.join(docs, d, part)).read()))
+        return out
+    merged, last = records(os.path.join(tmp_dir, "m")), records(os.path.join(tmp_dir, "l"))
+    assert set(merged) == set(last) and all(merged[k] >= last[k] for k in last)
+    assert sum(merged.values()) > sum(last.values())  # a code under both types keeps both types' records
