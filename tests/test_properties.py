@@ -41,3 +41,42 @@ def test_gap_antisymmetry_and_index_base(spark, series):
         assert idx[2015] == pytest.approx(100.0)
     else:
         assert all(v is None for v in idx.values())
+
+
+NAME_CHARS = st.sampled_from(list("abcXYZ09 ,^\"'éüß-()."))
+
+
+def _name():
+    from scorecube import config as C
+
+    return (st.text(NAME_CHARS, min_size=1, max_size=12).map(str.strip)
+            .filter(lambda s: s and s not in C.NA_TOKENS and s != "*"))
+
+
+@settings(max_examples=5, deadline=None)
+@given(county=_name(), pct=st.one_of(st.none(), st.floats(0, 100, allow_nan=False)), n=st.integers(11, 5000),
+       layout=st.sampled_from(["A", "B", "C"]))
+def test_ingest_roundtrip_any_names(spark, tmp_path_factory, county, pct, n, layout):
+    """Rendered into the raw layouts and ingested back, cells come out unchanged – whatever the names hold."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from scorecube.sources.conform import ingest
+    from scorecube.sources.render import render_archives
+
+    row = dict(year=2019, type_id=5, county_code="07", county_name=county, district_code="00000", district_name="",
+               school_code="0000000", school_name="", test_id=2, test_name="Mathematics", student_group_id=1,
+               student_group_name="All Students", student_group_category="All", grade=5, students_tested=n,
+               pct_met_and_above=pct, cohort_year=2017)
+    schema = ("year int, type_id int, county_code string, county_name string, district_code string, "
+              "district_name string, school_code string, school_name string, test_id int, test_name string, "
+              "student_group_id int, student_group_name string, student_group_category string, grade int, "
+              "students_tested int, pct_met_and_above double, cohort_year int")
+    src = spark.createDataFrame([tuple(row.values())], schema)
+    root = str(tmp_path_factory.mktemp("rt"))
+    render_archives(src, root, {2019: layout}).collect()
+    ing = ingest(spark, os.path.join(root, "all-student-groups"), os.path.join(root, "file_formats"))
+    got = [r.asDict() for r in ing.fact.collect()]
+    assert len(got) == 1
+    assert {k: got[0][k] for k in row} == row
