@@ -125,3 +125,27 @@ def test_write_report(spark, tmp_dir):
     paths = D.write_report(spark, SF_SMALL, tmp_dir, select="q0")
     assert len(paths) >= 5 and os.path.basename(paths[0]) == "01_q01_overall_trend"
     assert spark.read.parquet(paths[0]).count() > 0
+
+
+def test_documents_reread_equal_filtered_fact(spark, tmp_dir):
+    """Every record of every written document, parsed back from the JSON text, equals the fact's scored rows of
+    that entity (school codes under types 7 and 9: the type-9 rows)."""
+    from pyspark.sql import Window
+
+    from conftest import SF_SMALL
+    from scorecube.sources.cells import cells
+
+    fact = cells(spark, SF_SMALL)
+    path = os.path.join(tmp_dir, "docs")
+    D.export_documents(fact, path)
+    schema = "array<struct<" + ", ".join(
+        f"{c}: {'double' if c == C.PCT else 'string' if c == 'student_group_name' else 'int'}" for c in C.DOC_COLS) + ">>"
+    back = (spark.read.text(path).withColumn("doc", F.regexp_extract(F.input_file_name(), r"doc=([^/]+)", 1))
+            .select("doc", F.explode(F.from_json("value", schema)).alias("r")).select("doc", "r.*"))
+    rows = fact.filter(F.col("type_id").isin(4, 5, 6, 7, 9) & F.col(C.PCT).isNotNull()).withColumn("doc", D._doc_key())
+    keep = rows.withColumn("_max", F.max("type_id").over(Window.partitionBy("doc"))).filter(F.col("type_id") == F.col("_max"))
+    expected = keep.select("doc", *C.DOC_COLS)
+
+    def norm(df):
+        return sorted(tuple(str(x) for x in r) for r in df.select("doc", *C.DOC_COLS).collect())
+    assert norm(back) == norm(expected)
