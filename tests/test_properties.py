@@ -80,3 +80,14 @@ def test_ingest_roundtrip_any_names(spark, tmp_path_factory, county, pct, n, lay
     got = [r.asDict() for r in ing.fact.collect()]
     assert len(got) == 1
     assert {k: got[0][k] for k in row} == row
+
+
+def test_shares_within_bounds_and_index_base_on_data(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+
+    q = E.queries()
+    shares = [r["share"] for r in q["a06_el_share"](spark, SF_SMALL).collect() if r["share"] is not None]
+    assert shares and all(0.0 <= v <= 100.0 for v in shares)
+    idx = q["w05_index_to_base"](spark, SF_SMALL).filter("year = 2015 AND index_value IS NOT NULL").collect()
+    assert idx and all(abs(r["index_value"] - 100.0) < 1e-6 for r in idx)
