@@ -79,3 +79,12 @@ def test_no_cross_products_when_nothing_is_small(spark):
         assert "BroadcastHashJoin" in plan(QUERIES["n09_vs_state_every_cell"](spark, SF_SMALL))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+REPORT = sorted(n for n in QUERIES if n.startswith("q") and n[1:3].isdigit() and int(n[1:3]) <= 66)
+
+
+@pytest.mark.skipif(__import__("os").environ.get("SCORECUBE_PERSIST_SIDES", "1") != "1", reason="slice not cached")
+def test_report_queries_read_the_cached_slice(spark):
+    for name in REPORT:
+        assert "InMemoryTableScan" in plan(QUERIES[name](spark, SF_SMALL)), name
