@@ -7,6 +7,7 @@ Layers:
   sinks/      sorted fact table, sidecar lists, per-entity documents, manifests
   plans/      named queries composed from operators (+ their SQL oracles)
   streaming/  incremental (availableNow) ingestion of newly arrived yearly releases
+  jobs        batch entry points (python -m scorecube.jobs ingest|documents|report|explore|sql)
 """
 
 __version__ = "0.1.0"
