@@ -265,3 +265,19 @@ def test_co_occurring_aliases_coalesced(spark, tmp_dir):
     out = member_frame(lines, "data", h["year"], "data", h["line"], h["caret"], C.COLUMN_ALIASES)
     assert out.columns == ["line_no", "test_id", "Note", "NOTE.1"]  # case-only duplicates get a suffix
     assert [r["test_id"] for r in out.orderBy("line_no").collect()] == ["1", "2"]
+
+
+def test_incremental_equals_batch_ingest(spark, tmp_dir):
+    from scorecube.sources.cells import cells
+    from scorecube.sources.render import render_archives
+
+    src = cells(spark, "/root/testdata/sf0.001").filter(F.col("type_id").isin(4, 5) & F.col("year").isin(2015, 2018, 2021))
+    root = os.path.join(tmp_dir, "raw")
+    render_archives(src, root, {2015: "A", 2018: "B", 2021: "C"}).collect()
+    archives, formats = os.path.join(root, "all-student-groups"), os.path.join(root, "file_formats")
+    batch = ingest(spark, archives, formats, out_path=os.path.join(tmp_dir, "batch")).fact
+    fact = os.path.join(tmp_dir, "inc")
+    start_incremental_ingest(spark, archives, formats, fact, os.path.join(tmp_dir, "ckpt")).awaitTermination(300)
+    inc = read_incremental_fact(spark, fact).select(*batch.columns)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, inc.collect()), key=key) == sorted(map(tuple, batch.collect()), key=key)
