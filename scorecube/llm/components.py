@@ -16,8 +16,8 @@ from .common import cut_lineage
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with a link; component is the least node that it reaches. Rows with a null end
     are ignored; repeated links and links of a node to itself do no harm; no links give no rows."""
-    links = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = cut_lineage(links.union(links.select("b", "a")).distinct())
+    ends = F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(b).alias("a"), F.col(a).alias("b")))
+    both = cut_lineage(links.select(F.inline(ends)).where("a IS NOT NULL AND b IS NOT NULL").distinct())
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
                          .select("node", F.least("node", "low").alias("component")))
     while True:
