@@ -1,9 +1,10 @@
-"""Connected components of a link table, as a loop of Spark joins.
+"""Connected components of a link table, as a loop of Spark joins over a shrinking graph.
 
-Every node starts with its own label; a round gives each node the least label among itself, its neighbours and its
-label's label (so paths halve). Labels are checkpointed each round: that cuts the lineage, and a join of two checkpointed
-tables is one whose hot keys Spark can split (adaptive skew join), while the least-label aggregate combines before its
-shuffle. A node with a third of all links thus never meets one task."""
+In a round every node that has a smaller neighbour hooks onto the least one, pointers jump to the pointer's pointer, and
+the links are rewritten to the nodes hooked onto; links inside a node, and repeated ones, go. Tables are checkpointed
+each round: that cuts the lineage, and a join of two checkpointed tables is one whose hot keys Spark can split
+(adaptive skew join), while the least-neighbour aggregate combines before its shuffle. A node with a third of all links
+thus never meets one task."""
 
 from __future__ import annotations
 
@@ -12,24 +13,24 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage
 
+JUMPS = 2
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node with a link; component is the least node that it reaches. Rows with a null end
-    are ignored; repeated links and links of a node to itself do no harm; no links give no rows."""
+    """(node, component) for every node with a link to another; component is a node of the same component, one for all.
+    Rows with a null end are ignored; repeated links and links of a node to itself do no harm; no links give no rows."""
     ends = F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(b).alias("a"), F.col(a).alias("b")))
-    both = cut_lineage(links.select(F.inline(ends)).where("a IS NOT NULL AND b IS NOT NULL").distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-                         .select("node", F.least("node", "low").alias("component")))
-    while True:
-        near = (both.join(labels, both["a"] == labels["node"])
-                .groupBy(F.col("b").alias("node")).agg(F.min("component").alias("low")))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = (labels.join(near, "node", "left").select("node", F.col("component").alias("old"),
-                                                        F.least("component", "low").alias("component")))
-        new = cut_lineage(new)
-        # the label of a label, as it was before this round, is a node that can be reached too
-        out = cut_lineage(new.join(jump, "component", "left")
-                          .select("node", "old", F.least("component", "further").alias("component")))
-        if out.where(F.col("old") != F.col("component")).isEmpty():
-            return out.select("node", "component")
-        labels = out.select("node", "component")
+    edges = cut_lineage(links.select(F.inline(ends)).where("a <> b").distinct())
+    labels = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    while not edges.isEmpty():
+        hook = cut_lineage(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("to")))
+        for _ in range(JUMPS):
+            further = hook.select(F.col("a").alias("to"), F.col("to").alias("further"))
+            hook = cut_lineage(hook.join(further, "to").select("a", F.col("further").alias("to")))
+        labels = cut_lineage(labels.join(hook, labels["component"] == hook["a"], "left")
+                             .select("node", F.coalesce("to", "component").alias("component")))
+        other = hook.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
+        edges = cut_lineage(edges.join(hook, "a").join(other, "b")
+                            .select(F.col("to").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct())
+    return labels
+

@@ -6,12 +6,13 @@
    with small error just where similarities are high. Documents of equal sets become one node (the digest), however many.
 2. Nodes that share a band key are compared by sketch. What passes forms coarse groups (connected components), a superset
    of the true ones: a link at the threshold fails a sketch or all bands with a probability of about 1e-5.
-3. The full shingle sets of a coarse group's nodes meet there, once for each block pair, and links are confirmed on them
-   exactly. A pair whose ends are already joined needs no test, and a task gives back a spanning forest, never all pairs.
+3. The full shingle sets of a coarse group's nodes meet there, and links are confirmed on them exactly. A pair whose ends
+   are already joined needs no test, and a task gives back a spanning forest, never all pairs.
 4. Components of the confirmed links give the classes.
 
-A bucket or group of any size is cut into blocks of BLOCK nodes and compared as pairs of blocks, so no task holds more than
-two blocks and nothing is capped; for a group of m unequal near copies that is m * m / BLOCK rows. A bounded Bloom
+A bucket or group of any size is cut into blocks of BLOCK nodes: first the blocks are joined up inside, then pairs of blocks
+compare what is still apart. So no task holds more than two blocks and nothing is capped; a group of m unequal near copies
+sends each node to its m / BLOCK block pairs. A bounded Bloom
 filter tells the second pass which texts are in question; what it passes in error is dropped by a join.
 
 Words: A-Z lower-cased, runs of bytes other than space and 09-0D; fewer than five words are one shingle. Defined results: null
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,65 +97,68 @@ def signatures(batches):
             yield pa.RecordBatch.from_pydict(out)
 
 
-# ---- comparing the members of a group, a pair of blocks at a time -----------------------------------------------------
-def block_pairs(members: DataFrame, key: str, payload: list[str]) -> DataFrame:
-    """A row for each pair of blocks (i <= j) of each group: the members of both. ``members`` has its group's size."""
-    dealt = (members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     F.struct("own", *payload).alias("m")))
-    return dealt.groupBy(key, "i", "j").agg(F.collect_list("m").alias("members"))
+# ---- comparing the members of a group, a block or a pair of blocks at a time ------------------------------------------
+def blocks_of(members: DataFrame, key: str, payload: list[str], cross: bool) -> DataFrame:
+    """A row for each block of each group (``cross``: for each pair of blocks of a group that has several) with its members'
+    structs; ``members`` has node, label and its group's size."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", own)
+    if cross:
+        dealt = (dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                 .where("own <> other"))
+    else:
+        dealt = dealt.withColumn("other", F.col("own"))
+    return (dealt.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                         F.struct("own", "label", *payload).alias("m"))
+            .groupBy(key, "i", "j").agg(F.collect_list("m").alias("members")).select("members"))
 
 
-def _joined(parent, x):
+def _root(parent, x):
     while parent[x] != x:
         parent[x] = parent[parent[x]]
         x = parent[x]
     return x
 
 
-def forests(exact: bool):
-    """mapInArrow: of rows of block pairs, the links found, as few as connect what they connect."""
+def forests(exact: bool, cross: bool):
+    """mapInArrow: of rows of blocks, the links found between labels, as few as connect what they connect."""
     def run(batches):
         for batch in batches:
             a, b = [], []
             column = batch["members"]
             flat = column.flatten()
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in column])]) if len(column) else np.zeros(1, int)
-            node = flat.field("node").to_pylist()
+            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))])
+            label = flat.field("label").to_pylist()
             n = flat.field("n").to_numpy(zero_copy_only=False)
             own = flat.field("own").to_numpy(zero_copy_only=False)
             sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
             sets = flat.field("shingles") if exact else None
-            first, second = batch["i"].to_numpy(), batch["j"].to_numpy()
-            for r in range(len(column)):
-                lo, hi = int(bounds[r]), int(bounds[r + 1])
-                for x, y in _links(n[lo:hi], own[lo:hi], sketch[lo:hi], first[r] != second[r],
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                for x, y in _links(n[lo:hi], own[lo:hi] if cross else None, sketch[lo:hi], label[lo:hi],
                                    sets.slice(lo, hi - lo) if exact else None):
-                    a.append(node[lo + x])
-                    b.append(node[lo + y])
+                    a.append(label[lo + x])
+                    b.append(label[lo + y])
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
     return run
 
 
-def _links(n, own, sketch, two_blocks, sets):
+def _links(n, block, sketch, label, sets):
+    """Pairs that connect members of different labels, the most alike first; none whose ends are connected already."""
     if len(n) < 2:
         return []
-    if len(n) == 2:
-        x, y = np.array([0]), np.array([1])
-    else:
-        x, y = np.triu_indices(len(n), 1)
+    x, y = (np.array([0]), np.array([1])) if len(n) == 2 else np.triu_indices(len(n), 1)
     fit = 100 * np.minimum(n[x], n[y]) >= THRESHOLD * np.maximum(n[x], n[y])
-    if two_blocks:
-        fit &= own[x] != own[y]
+    if block is not None:
+        fit &= block[x] != block[y]
     x, y = x[fit], y[fit]
     differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
     order = np.argsort(differ, kind="stable")
     order = order[differ[order] <= SKETCH_LIMIT]
-    parent, found, own_set = list(range(len(n))), [], {}
+    at: dict = {}
+    parent = [at.setdefault(v, i) for i, v in enumerate(label)]
+    found, own_set = [], {}
     for p, q in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        s, t = _joined(parent, p), _joined(parent, q)
+        s, t = _root(parent, p), _root(parent, q)
         if s == t:
             continue
         if sets is not None:
@@ -168,6 +173,21 @@ def _links(n, own, sketch, two_blocks, sets):
     return found
 
 
+def _grouped(members: DataFrame, key: str, payload: list[str], exact: bool) -> DataFrame:
+    """(node, component) by the links within the groups ``key``: first inside each block, then between what the blocks of a
+    large group have left apart."""
+    inside = blocks_of(members.withColumn("label", F.col("node")), key, payload, False)
+    labels = components(inside.mapInArrow(forests(exact, False), "a binary, b binary"))
+    large = (members.where(F.col("size") > BLOCK).join(labels.withColumnRenamed("component", "label"), "node", "left")
+             .withColumn("label", F.coalesce("label", "node")))
+    between = components(blocks_of(large, key, payload, True).mapInArrow(forests(exact, True), "a binary, b binary"))
+    # a node alone so far is its own label
+    names = cut_lineage(labels.unionByName(between.select("node", F.col("node").alias("component"))
+                                           .join(labels, "node", "left_anti")))
+    to = between.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return cut_lineage(names.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+
+
 # ---- the texts in question ----------------------------------------------------------------------------------------------
 def _filter_places(key: np.ndarray) -> np.ndarray:
     return (np.stack([mix(key, s) for s in (41, 42, 43)]) % np.uint64(FILTER_BITS)).astype(np.int64)
@@ -216,15 +236,13 @@ def row_key():
     return F.xxhash64(*ROW_KEY)
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) among ``nodes`` (node, n, sketch, k: the row that has the text, group, size: of the group)."""
+def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` (with k: a row that has the text) beside their shingle sets."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter_of(nodes.select("k")))
     sets = (docs.select(row_key().alias("k"), "text")
             .mapInArrow(lambda batches: _shingle_sets(bits.value)(batches), "k bigint, shingles binary"))
     # rows that are copies of each other have the same k: any of them will do
-    sets = nodes.join(sets.dropDuplicates(["k"]), "k")
-    pairs = block_pairs(sets, "group", ["node", "n", "sketch", "shingles"])
-    return pairs.mapInArrow(forests(True), "a binary, b binary")
+    return nodes.join(sets.dropDuplicates(["k"]), "k").drop("k")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -236,15 +254,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         signatures, f"doc_id {key_type}, k bigint, n bigint, node binary, bands array<bigint>, sketch binary"))
     nodes = cut_lineage(signed.where("n > 0").groupBy("node").agg(
         F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("k").alias("k")))
-    members = nodes.select("node", F.posexplode("bands").alias("band", "value"),
-                           ).select(F.xxhash64("band", "value").alias("bucket"), "node")
+    members = (nodes.select("node", F.posexplode("bands").alias("band", "value"))
+               .select(F.xxhash64("band", "value").alias("bucket"), "node"))
     sizes = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    shared = members.join(sizes, "bucket").join(nodes.select("node", "n", "sketch"), "node")
-    coarse = block_pairs(shared, "bucket", ["node", "n", "sketch"]).mapInArrow(forests(False), "a binary, b binary")
-    groups = components(coarse).withColumnRenamed("component", "group")
-    group_sizes = cut_lineage(groups.groupBy("group").agg(F.count("*").alias("size")))
-    asked = cut_lineage(groups.join(nodes.select("node", "n", "sketch", "k"), "node").join(group_sizes, "group"))
-    linked = components(_confirmed(docs, asked))
+    shared = cut_lineage(members.join(sizes, "bucket").join(nodes.select("node", "n", "sketch"), "node"))
+    coarse = _grouped(shared, "bucket", ["node", "n", "sketch"], False).withColumnRenamed("component", "group")
+    sizes = cut_lineage(coarse.groupBy("group").agg(F.count("*").alias("size")))
+    asked = cut_lineage(coarse.join(nodes.select("node", "n", "sketch", "k"), "node").join(sizes, "group"))
+    linked = _grouped(cut_lineage(_sets_of(docs, asked)), "group", ["node", "n", "sketch", "shingles"], True)
     named = cut_lineage(signed.where("n > 0").select("k", "doc_id", "n", "node").join(linked, "node", "left")
                         .select("k", "doc_id", "n", F.coalesce("component", "node").alias("component")))
     least = cut_lineage(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
