@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
+from . import bloom
 from .common import LOWER, NOT_SPACE, cut_lineage, mix, pieces, ranges, ready, rolling, word_hashes, words
 from .components import components
 
@@ -38,7 +39,6 @@ SKETCH_BITS = 512
 #: A pair of similarity 0.85 has 49 differing bits on average, more than this with a probability of about 1e-5.
 SKETCH_LIMIT = 88
 BLOCK = 128
-FILTER_BITS = 1 << 24
 
 _K = BANDS * ROWS
 _A = mix(np.arange(_K, dtype=np.uint64), 21).astype(np.uint32) | np.uint32(1)
@@ -189,38 +189,10 @@ def _grouped(members: DataFrame, key: str, payload: list[str], exact: bool) -> D
 
 
 # ---- the texts in question ----------------------------------------------------------------------------------------------
-def _filter_places(key: np.ndarray) -> np.ndarray:
-    return (np.stack([mix(key, s) for s in (41, 42, 43)]) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _filter_of(keys: DataFrame) -> np.ndarray:
-    """Bloom filter of a long column: each task gives its own places once, Spark their union; FILTER_BITS bounds it."""
-    def places(batches):
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[_filter_places(batch["k"].to_numpy().view(np.uint64))] = True
-        packed = np.packbits(bits).reshape(-1, 1 << 12)
-        some = np.flatnonzero(packed.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()),
-                                          "bits": pa.array([packed[i].tobytes() for i in some], pa.binary())})
-
-    def union(key, table):
-        return pa.table({"part": [key[0].as_py()], "bits": [np.bitwise_or.reduce(
-            [np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()]).tobytes()]},
-            schema=pa.schema([("part", pa.int32()), ("bits", pa.binary())]))
-    parts = keys.mapInArrow(places, "part int, bits binary").groupBy("part").applyInArrow(union, "part int, bits binary")
-    packed = np.zeros((FILTER_BITS >> 15, 1 << 12), np.uint8)
-    for row in parts.toLocalIterator():
-        packed[row["part"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return packed.reshape(-1)
-
-
 def _shingle_sets(bits: np.ndarray):
     def run(batches):
-        flags = np.unpackbits(bits).astype(bool)
         for batch in batches:
-            some = flags[_filter_places(batch["k"].to_numpy().view(np.uint64))].all(axis=0)
-            batch = batch.filter(pa.array(some))
+            batch = batch.filter(pa.array(bloom.contains(bits, batch["k"].to_numpy().view(np.uint64))))
             for lo, hi, data, offsets in pieces(batch["text"]):
                 sets = _distinct(*_shingles(data, offsets))
                 yield pa.RecordBatch.from_pydict({"k": batch["k"].slice(lo, hi - lo), "shingles": pa.array(
@@ -238,7 +210,7 @@ def row_key():
 
 def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``nodes`` (with k: a row that has the text) beside their shingle sets."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(nodes.select("k")))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(nodes.select("k")))
     sets = (docs.select(row_key().alias("k"), "text")
             .mapInArrow(lambda batches: _shingle_sets(bits.value)(batches), "k bigint, shingles binary"))
     # rows that are copies of each other have the same k: any of them will do
