@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: module, query
 OPERATORS = [
+    ("op6_byte_bpe", "op6_byte_bpe"),
+    ("op8_language_id", "op8_language_id"),
     ("op4_decontamination", "op4_winnowing_decontamination"),
     ("op7_near_dedup", "op7_minhash_near_dedup"),
     ("op10_substrings", "op10_substring_dedup"),
