@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage
 
-JUMPS = 2
-
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with a link to another; component is a node of the same component, one for all.
@@ -24,13 +22,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     while not edges.isEmpty():
         hook = cut_lineage(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("to")))
-        for _ in range(JUMPS):
-            further = hook.select(F.col("a").alias("to"), F.col("to").alias("further"))
-            hook = cut_lineage(hook.join(further, "to").select("a", F.col("further").alias("to")))
-        labels = cut_lineage(labels.join(hook, labels["component"] == hook["a"], "left")
-                             .select("node", F.coalesce("to", "component").alias("component")))
+        jump = hook.select(F.col("a").alias("to"), F.col("to").alias("further"))
+        for _ in range(2):
+            hook = hook.join(jump, "to").select("a", F.col("further").alias("to"))
+        hook = cut_lineage(hook)
         other = hook.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
         edges = cut_lineage(edges.join(hook, "a").join(other, "b")
                             .select(F.col("to").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct())
-    return labels
-
+        labels = labels.join(hook.withColumnRenamed("a", "component"), "component", "left").select(
+            "node", F.coalesce("to", "component").alias("component"))
+    return cut_lineage(labels)

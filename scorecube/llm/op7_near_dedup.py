@@ -182,8 +182,7 @@ def _grouped(members: DataFrame, key: str, payload: list[str], exact: bool) -> D
              .withColumn("label", F.coalesce("label", "node")))
     between = components(blocks_of(large, key, payload, True).mapInArrow(forests(exact, True), "a binary, b binary"))
     # a node alone so far is its own label
-    names = cut_lineage(labels.unionByName(between.select("node", F.col("node").alias("component"))
-                                           .join(labels, "node", "left_anti")))
+    names = labels.unionByName(between.select("node", F.col("node").alias("component")).join(labels, "node", "left_anti"))
     to = between.select(F.col("node").alias("component"), F.col("component").alias("to"))
     return cut_lineage(names.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
