@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: module, query
 OPERATORS = [
+    ("op3_sharding", "op3_ring_sharding"),
+    ("op9_embedding_near_dedup", "op9_lattice_near_dedup"),
     ("op6_byte_bpe", "op6_byte_bpe"),
     ("op8_language_id", "op8_language_id"),
     ("op4_decontamination", "op4_winnowing_decontamination"),
