@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: module, query
 OPERATORS = [
+    ("op5_html_text", "op5_site_text"),
     ("op3_sharding", "op3_ring_sharding"),
     ("op9_embedding_near_dedup", "op9_lattice_near_dedup"),
     ("op6_byte_bpe", "op6_byte_bpe"),
