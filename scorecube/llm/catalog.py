@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: module, query
 OPERATORS = [
+    ("op2_quality", "op2_rff_quality"),
+    ("op1_lm_score", "op1_lm_score"),
     ("op5_html_text", "op5_site_text"),
     ("op3_sharding", "op3_ring_sharding"),
     ("op9_embedding_near_dedup", "op9_lattice_near_dedup"),
