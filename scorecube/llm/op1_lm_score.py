@@ -5,7 +5,7 @@ P(w | h) = (c(h, w) + MU * P(w)) / (c(h) + MU),  P(w) = (c(w) + 0.5) / (N + 0.5
 which sums to 1 over the V words and one unknown word. A text begins in a start context and ends with an end token.
 
 Nothing of the model is held whole: its counts, tries and answers are dealt over hash buckets, and grow with the corpus.
-1. Texts are dealt into chunks. A chunk sends each word bucket its distinct words, once, with their counts in training
+1. N and V are counted first. Texts are dealt into chunks. A chunk sends each word bucket its distinct words, once, with their counts in training
    texts; the bucket answers with the whole corpus's count of each.
 2. A chunk (its texts come from the same exchange) sends each bigram bucket its distinct bigrams with their training counts,
    grouped by context. A bucket adds them up, builds a trie (``eliasfano``) whose 16-bit values are the quantised
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .common import LOWER, NOT_SPACE, cut_lineage, mix, pieces, ready, remainder, splits, word_hashes, words
+from .common import LOWER, NOT_SPACE, mix, pieces, ready, remainder, splits, word_hashes, words
 from .eliasfano import Trie
 
 MU = 100.0
@@ -48,8 +48,11 @@ def quantised(share: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((np.log10(np.maximum(share, 1e-13)) + 13) * _STEP), 0, 65534).astype(np.uint16) + np.uint16(1)
 
 
+_SHARES = np.concatenate([[0.0], 10.0 ** (np.arange(65535) / _STEP - 13)])
+
+
 def share_of(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10.0 ** ((code.astype(np.float64) - 1) / _STEP - 13), 0.0)
+    return _SHARES[code]
 
 
 def _tokens(table: pa.Table):
@@ -67,22 +70,41 @@ def _tokens(table: pa.Table):
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(h, 61) % _U(buckets)).astype(np.int64)
+    """Rising with the hash, so that sorted hashes are in the order of their buckets."""
+    return ((h >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
 
 
 def _vocabulary(tokens, bounds, held, buckets):
-    """(distinct words in the order of their bucket, place of each token's word among them, bucket bounds, training counts)."""
-    values, inverse = np.unique(tokens, return_inverse=True)
-    bucket = _bucket(values, buckets)
-    order = np.argsort(bucket, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    at = place[inverse]
+    """(distinct words rising, place of each token's word among them, bucket bounds, training counts)."""
+    values, at = np.unique(tokens, return_inverse=True)
     learn = np.repeat(~held, np.diff(bounds))
-    return (values[order], at, np.searchsorted(bucket[order], np.arange(buckets + 1)),
+    return (values, at, np.searchsorted(_bucket(values, buckets), np.arange(buckets + 1)),
             np.bincount(at[learn], minlength=len(values)).astype(np.int64))
 
 
+def learned_words(buckets: int):
+    """mapInArrow: a task's distinct training words by bucket, and how many tokens they were."""
+    def run(batches):
+        values, n = np.zeros(0, _U), 0
+        for batch in batches:
+            tokens, bounds, held = _tokens(batch)
+            own = tokens[np.repeat(~held, np.diff(bounds))]
+            n += len(own)
+            values = np.union1d(values, own)
+        cut = np.searchsorted(_bucket(values, buckets), np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(cut)).tolist()
+        yield pa.RecordBatch.from_pydict({
+            "bucket": pa.array(some, pa.int32()), "words": pa.array([values[cut[b]:cut[b + 1]].tobytes() for b in some], pa.binary()),
+            "tokens": pa.array([n] * min(1, len(some)) + [0] * (len(some) - 1), pa.int64())})
+    return run
+
+
+def count_words(key, table):
+    distinct = len(np.unique(np.frombuffer(b"".join(table["words"].to_pylist()), _U)))
+    return pa.table({"tokens": pa.array([sum(table["tokens"].to_pylist())], pa.int64()),
+                     "distinct": pa.array([distinct], pa.int64())})
+
+
 def send_words(buckets: int):
     def run(key, table):
         tokens, bounds, held = _tokens(table)
@@ -100,17 +122,14 @@ def _added(keys: np.ndarray, counts: np.ndarray):
 
 
 def answer_words(key, table):
-    """Each chunk's words' counts in the corpus; in a row without a chunk the bucket's own totals."""
+    """Each chunk's words' counts in the corpus."""
     lists = [np.frombuffer(x, _U) for x in table["words"].to_pylist()]
     _, inverse, total = _added(np.concatenate(lists), np.concatenate(
         [np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()]))
     parts = np.split(total[inverse], np.cumsum([len(x) for x in lists])[:-1])
-    rows = len(lists) + 1
-    return pa.table({"chunk": pa.array([*table["chunk"].to_pylist(), None], pa.int32()),
-                     "bucket": pa.array([key[0].as_py()] * rows, pa.int32()),
-                     "counts": pa.array([*(x.tobytes() for x in parts), None], pa.binary()),
-                     "tokens": pa.array([0] * (rows - 1) + [int(total.sum())], pa.int64()),
-                     "distinct": pa.array([0] * (rows - 1) + [int((total > 0).sum())], pa.int64())})
+    return pa.table({"chunk": table["chunk"], "bucket": pa.array([key[0].as_py()] * len(lists), pa.int32()),
+                     "kind": pa.array([0] * len(lists), pa.int32()),
+                     "counts": pa.array([x.tobytes() for x in parts], pa.binary())})
 
 
 def _bigrams(tokens, bounds, held, at, counts, starts: int, buckets: int):
@@ -121,10 +140,11 @@ def _bigrams(tokens, bounds, held, at, counts, starts: int, buckets: int):
     context[bounds[:-1]], seen[bounds[:-1]] = START, starts
     fine = mix(tokens, 62)
     split = (fine >> _U(32)) % (_U(1) + seen.astype(_U) // _U(SPLIT))
-    bucket = _bucket(context ^ mix(split, 63), buckets)
-    # one key for sorting: a hash of the context under the bucket's number; equal keys are equal bigrams
+    bucket = _bucket(mix(context ^ mix(split, 63), 61), buckets)
     own, successor = (mix(context, 64) >> _U(16)), fine & _SUCCESSOR
-    order = np.lexsort((successor, own, bucket))
+    # one key for sorting; bigrams that share it by chance may be listed twice, which adds up to the same
+    bits = max(1, int(buckets - 1).bit_length())
+    order = np.argsort(bucket.astype(_U) << _U(64 - bits) | own >> _U(24) << _U(40 - bits) | successor >> _U(max(0, bits - 8)))
     new = np.ones(len(order), bool)
     new[1:] = ((successor[order][1:] != successor[order][:-1]) | (own[order][1:] != own[order][:-1])
                | (bucket[order][1:] != bucket[order][:-1]))
@@ -225,13 +245,14 @@ def scored(docs: DataFrame, mu: float = MU) -> DataFrame:
     ready(docs.sparkSession)
     chunks, buckets = splits(docs, CHUNK_BYTES), splits(docs, BUCKET_BYTES)
     starts = docs.where(~F.col("held_out")).count()
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id",
-                        F.col("text").cast("string").alias("text"), "held_out")
-    of_words = cut_lineage(
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), "held_out")
+    n, v = (docs.select("text", "held_out").mapInArrow(learned_words(buckets), "bucket int, words binary, tokens bigint")
+            .groupBy("bucket").applyInArrow(count_words, "tokens bigint, distinct bigint")
+            .agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first())
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "*")
+    of_words = (
         dealt.groupBy("chunk").applyInArrow(send_words(buckets), "bucket int, chunk int, words binary, counts binary")
-        .groupBy("bucket").applyInArrow(answer_words, "chunk int, bucket int, counts binary, tokens bigint, distinct bigint"))
-    n, v = of_words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    of_words = of_words.where("chunk IS NOT NULL").select("chunk", "bucket", F.lit(0).alias("kind"), "counts")
+        .groupBy("bucket").applyInArrow(answer_words, "chunk int, bucket int, kind int, counts binary"))
     of_bigrams = (dealt.groupBy("chunk").cogroup(of_words.groupBy("chunk")).applyInArrow(
         send_bigrams(buckets, starts), "bucket int, contexts binary, seen binary, sizes binary, successors binary, "
         "counts binary, chunk int").groupBy("bucket").applyInArrow(
