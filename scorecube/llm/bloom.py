@@ -34,7 +34,7 @@ def build(keys: DataFrame) -> np.ndarray:
                         schema=pa.schema([("part", pa.int32()), ("bits", pa.binary())]))
     parts = keys.where("k IS NOT NULL").mapInArrow(fill, "part int, bits binary")
     packed = np.zeros((BITS // 8 // _PART, _PART), np.uint8)
-    for row in parts.groupBy("part").applyInArrow(unite, "part int, bits binary").toLocalIterator():
+    for row in parts.groupBy("part").applyInArrow(unite, "part int, bits binary").collect():  # BITS / 8 bytes
         packed[row["part"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
     return packed.reshape(-1)
 

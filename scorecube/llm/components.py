@@ -1,7 +1,8 @@
 """Connected components of a link table, as a loop of Spark joins over a shrinking graph.
 
-In a round every node that has a smaller neighbour hooks onto the least one, pointers jump to the pointer's pointer, and
-the links are rewritten to the nodes hooked onto; links inside a node, and repeated ones, go. Tables are checkpointed
+In a round every node that has a smaller neighbour hooks onto the least one, and the links are rewritten to the nodes hooked
+onto; links inside a node, and repeated ones, go. With nodes in no order along the links, a round leaves a fixed share
+of them. Tables are checkpointed
 each round: that cuts the lineage, and a join of two checkpointed tables is one whose hot keys Spark can split
 (adaptive skew join), while the least-neighbour aggregate combines before its shuffle. A node with a third of all links
 thus never meets one task."""
@@ -22,10 +23,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     while not edges.isEmpty():
         hook = cut_lineage(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("to")))
-        jump = hook.select(F.col("a").alias("to"), F.col("to").alias("further"))
-        for _ in range(2):
-            hook = hook.join(jump, "to").select("a", F.col("further").alias("to"))
-        hook = cut_lineage(hook)
         other = hook.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
         edges = cut_lineage(edges.join(hook, "a").join(other, "b")
                             .select(F.col("to").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct())

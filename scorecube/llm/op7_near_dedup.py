@@ -98,11 +98,11 @@ def signatures(batches):
 
 
 # ---- comparing the members of a group, a block or a pair of blocks at a time ------------------------------------------
-def blocks_of(members: DataFrame, key: str, payload: list[str], cross: bool) -> DataFrame:
+def blocks_of(members: DataFrame, key: str, payload: list[str], cross: bool, block: int = BLOCK) -> DataFrame:
     """A row for each block of each group (``cross``: for each pair of blocks of a group that has several) with its members'
     structs; ``members`` has node, label and its group's size."""
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", own)
+    dealt = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", own)
     if cross:
         dealt = (dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                  .where("own <> other"))

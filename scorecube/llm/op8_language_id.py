@@ -124,7 +124,7 @@ def learned(texts: DataFrame) -> Filters:
     kept = (rated.withColumn("most", F.max("rate").over(Window.partitionBy("gram")))
             .where((F.col("rate") >= MIN_RATE) & (F.col("rate") >= SHARE * F.col("most"))).select("lang", "gram", "total"))
     by: dict[str, tuple[int, list[int]]] = {}
-    for row in kept.toLocalIterator():  # 1 / MIN_RATE rows for a language at most
+    for row in kept.collect():  # 1 / MIN_RATE rows for a language at most
         by.setdefault(row["lang"], (row["total"], []))[1].append(row["gram"])
     langs = sorted(by)
     prior = max(range(len(langs)), key=lambda l: (by[langs[l]][0], -l), default=0)
