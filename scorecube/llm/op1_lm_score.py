@@ -142,12 +142,19 @@ def _bigrams(tokens, bounds, held, at, counts, starts: int, buckets: int):
     split = (fine >> _U(32)) % (_U(1) + seen.astype(_U) // _U(SPLIT))
     bucket = _bucket(mix(context ^ mix(split, 63), 61), buckets)
     own, successor = (mix(context, 64) >> _U(16)), fine & _SUCCESSOR
-    # one key for sorting; bigrams that share it by chance may be listed twice, which adds up to the same
+    # one key for sorting, the first bits of all three; if different bigrams share it, all three are sorted by
     bits = max(1, int(buckets - 1).bit_length())
-    order = np.argsort(bucket.astype(_U) << _U(64 - bits) | own >> _U(24) << _U(40 - bits) | successor >> _U(max(0, bits - 8)))
+    key = bucket.astype(_U) << _U(64 - bits) | own >> _U(24) << _U(40 - bits) | successor >> _U(max(0, bits - 8))
+    order = np.argsort(key)
+
+    def changes():
+        return ((successor[order][1:] != successor[order][:-1]) | (own[order][1:] != own[order][:-1])
+                | (bucket[order][1:] != bucket[order][:-1]))
     new = np.ones(len(order), bool)
-    new[1:] = ((successor[order][1:] != successor[order][:-1]) | (own[order][1:] != own[order][:-1])
-               | (bucket[order][1:] != bucket[order][:-1]))
+    new[1:] = changes()
+    if (new[1:] & (key[order][1:] == key[order][:-1])).any():
+        order = np.lexsort((successor, own, bucket))
+        new[1:] = changes()
     number = np.cumsum(new) - 1
     place = np.empty(len(order), np.int64)
     place[order] = number
