@@ -10,10 +10,10 @@
    are already joined needs no test, and a task gives back a spanning forest, never all pairs.
 4. Components of the confirmed links give the classes.
 
-A bucket or group of any size is cut into blocks of BLOCK nodes: first the blocks are joined up inside, then pairs of blocks
-compare what is still apart. So no task holds more than two blocks and nothing is capped; a group of m unequal near copies
-sends each node to its m / BLOCK block pairs. A bounded Bloom
-filter tells the second pass which texts are in question; what it passes in error is dropped by a join.
+A bucket or group of any size is cut into blocks of SKETCH_BLOCK or BLOCK nodes and compared as pairs of blocks, so no task
+holds more than two blocks of a group at once and nothing is capped; a group of m unequal near copies sends each node to its
+m / BLOCK block pairs. A bounded Bloom filter tells the second pass which texts are in question; what it passes in
+error is dropped by a join.
 
 Words: A-Z lower-cased, runs of bytes other than space and 09-0D; fewer than five words are one shingle. Defined results: null
 and wordless texts have n_shingles 0 and are their own component; rows with equal doc_id are documents of their own;
@@ -38,7 +38,7 @@ BANDS, ROWS = 30, 6
 SKETCH_BITS = 512
 #: A pair of similarity 0.85 has 49 differing bits on average, more than this with a probability of about 1e-5.
 SKETCH_LIMIT = 88
-BLOCK = 128
+SKETCH_BLOCK, BLOCK = 512, 256
 
 _K = BANDS * ROWS
 _A = mix(np.arange(_K, dtype=np.uint64), 21).astype(np.uint32) | np.uint32(1)
@@ -97,19 +97,15 @@ def signatures(batches):
             yield pa.RecordBatch.from_pydict(out)
 
 
-# ---- comparing the members of a group, a block or a pair of blocks at a time ------------------------------------------
-def blocks_of(members: DataFrame, key: str, payload: list[str], cross: bool, block: int = BLOCK) -> DataFrame:
-    """A row for each block of each group (``cross``: for each pair of blocks of a group that has several) with its members'
-    structs; ``members`` has node, label and its group's size."""
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", own)
-    if cross:
-        dealt = (dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                 .where("own <> other"))
-    else:
-        dealt = dealt.withColumn("other", F.col("own"))
+# ---- comparing the members of a group, a pair of blocks at a time -----------------------------------------------------
+def block_pairs(members: DataFrame, key: str, payload: list[str], block: int) -> DataFrame:
+    """A row for each pair of blocks (i <= j) of each group, with the structs of both blocks' members; ``members`` has node
+    and its group's size."""
+    dealt = (members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     return (dealt.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                         F.struct("own", "label", *payload).alias("m"))
+                         F.struct("own", "node", *payload).alias("m"))
             .groupBy(key, "i", "j").agg(F.collect_list("m").alias("members")).select("members"))
 
 
@@ -120,45 +116,46 @@ def _root(parent, x):
     return x
 
 
-def forests(exact: bool, cross: bool):
-    """mapInArrow: of rows of blocks, the links found between labels, as few as connect what they connect."""
+def forests(exact: bool):
+    """mapInArrow: of rows of block pairs, the links found (a, b), as few as connect what the task's links connect."""
     def run(batches):
+        joined: dict[bytes, bytes] = {}
         for batch in batches:
             a, b = [], []
             column = batch["members"]
             flat = column.flatten()
             bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))])
-            label = flat.field("label").to_pylist()
+            node = flat.field("node").to_pylist()
             n = flat.field("n").to_numpy(zero_copy_only=False)
             own = flat.field("own").to_numpy(zero_copy_only=False)
             sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
             sets = flat.field("shingles") if exact else None
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                for x, y in _links(n[lo:hi], own[lo:hi] if cross else None, sketch[lo:hi], label[lo:hi],
+                for x, y in _links(n[lo:hi], own[lo:hi], sketch[lo:hi], node[lo:hi], joined,
                                    sets.slice(lo, hi - lo) if exact else None):
-                    a.append(label[lo + x])
-                    b.append(label[lo + y])
+                    a.append(node[lo + x])
+                    b.append(node[lo + y])
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
     return run
 
 
-def _links(n, block, sketch, label, sets):
-    """Pairs that connect members of different labels, the most alike first; none whose ends are connected already."""
+def _links(n, block, sketch, node, joined, sets):
+    """Pairs (across the blocks, if there are two) whose ends ``joined`` doesn't connect yet, the most alike first."""
     if len(n) < 2:
         return []
     x, y = (np.array([0]), np.array([1])) if len(n) == 2 else np.triu_indices(len(n), 1)
     fit = 100 * np.minimum(n[x], n[y]) >= THRESHOLD * np.maximum(n[x], n[y])
-    if block is not None:
+    if (block != block[0]).any():
         fit &= block[x] != block[y]
     x, y = x[fit], y[fit]
     differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
     order = np.argsort(differ, kind="stable")
     order = order[differ[order] <= SKETCH_LIMIT]
-    at: dict = {}
-    parent = [at.setdefault(v, i) for i, v in enumerate(label)]
+    for v in node:
+        joined.setdefault(v, v)
     found, own_set = [], {}
     for p, q in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        s, t = _root(parent, p), _root(parent, q)
+        s, t = _root(joined, node[p]), _root(joined, node[q])
         if s == t:
             continue
         if sets is not None:
@@ -168,23 +165,14 @@ def _links(n, block, sketch, label, sets):
             both = len(np.intersect1d(own_set[p], own_set[q], assume_unique=True))
             if 100 * both < THRESHOLD * (n[p] + n[q] - both):
                 continue
-        parent[s] = t
+        joined[s] = t
         found.append((p, q))
     return found
 
 
-def _grouped(members: DataFrame, key: str, payload: list[str], exact: bool) -> DataFrame:
-    """(node, component) by the links within the groups ``key``: first inside each block, then between what the blocks of a
-    large group have left apart."""
-    inside = blocks_of(members.withColumn("label", F.col("node")), key, payload, False)
-    labels = components(inside.mapInArrow(forests(exact, False), "a binary, b binary"))
-    large = (members.where(F.col("size") > BLOCK).join(labels.withColumnRenamed("component", "label"), "node", "left")
-             .withColumn("label", F.coalesce("label", "node")))
-    between = components(blocks_of(large, key, payload, True).mapInArrow(forests(exact, True), "a binary, b binary"))
-    # a node alone so far is its own label
-    names = labels.unionByName(between.select("node", F.col("node").alias("component")).join(labels, "node", "left_anti"))
-    to = between.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return cut_lineage(names.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+def _grouped(members: DataFrame, key: str, payload: list[str], exact: bool, block: int) -> DataFrame:
+    """(node, component) by the links inside the groups ``key``."""
+    return components(block_pairs(members, key, payload, block).mapInArrow(forests(exact), "a binary, b binary"))
 
 
 # ---- the texts in question ----------------------------------------------------------------------------------------------
@@ -228,11 +216,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = (nodes.select("node", F.posexplode("bands").alias("band", "value"))
                .select(F.xxhash64("band", "value").alias("bucket"), "node"))
     sizes = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    shared = cut_lineage(members.join(sizes, "bucket").join(nodes.select("node", "n", "sketch"), "node"))
-    coarse = _grouped(shared, "bucket", ["node", "n", "sketch"], False).withColumnRenamed("component", "group")
+    shared = members.join(sizes, "bucket").join(nodes.select("node", "n", "sketch"), "node")
+    coarse = _grouped(shared, "bucket", ["n", "sketch"], False, SKETCH_BLOCK).withColumnRenamed("component", "group")
     sizes = cut_lineage(coarse.groupBy("group").agg(F.count("*").alias("size")))
     asked = cut_lineage(coarse.join(nodes.select("node", "n", "sketch", "k"), "node").join(sizes, "group"))
-    linked = _grouped(cut_lineage(_sets_of(docs, asked)), "group", ["node", "n", "sketch", "shingles"], True)
+    linked = _grouped(_sets_of(docs, asked), "group", ["n", "sketch", "shingles"], True, BLOCK)
     named = cut_lineage(signed.where("n > 0").select("k", "doc_id", "n", "node").join(linked, "node", "left")
                         .select("k", "doc_id", "n", F.coalesce("component", "node").alias("component")))
     least = cut_lineage(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
