@@ -106,3 +106,7 @@ class ReportSpec:
 
 
 DEFAULT_SPEC = ReportSpec()
+
+# What the headers of the lookup files contain, by role (regular expressions)
+GROUP_FILE_HEADERS = {"id": "Num", "name": "Demographic Name", "category": "^(?!.*ID).*Student Group"}
+TEST_FILE_HEADERS = {"id": "Num", "name": "Name"}

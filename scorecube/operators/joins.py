@@ -1,55 +1,10 @@
-"""Join helpers with an explicit size check before broadcasting."""
+"""Top-k per key. Joins are plain: adaptive execution picks the strategy by the measured size of the sides."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# rows of a broadcast side; a domain-keyed state series is at most years × tests × groups × grades
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
-# and its estimated size (rows × per-column default widths, the estimate Catalyst itself uses)
-DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def _default_size(dt) -> int:
-    """Spark's default size estimate of a data type (as used for plan statistics)."""
-    name = type(dt).__name__
-    fixed = {"ByteType": 1, "BooleanType": 1, "ShortType": 2, "IntegerType": 4, "FloatType": 4, "DateType": 4,
-             "LongType": 8, "DoubleType": 8, "TimestampType": 8, "TimestampNTZType": 8, "StringType": 20,
-             "BinaryType": 100, "NullType": 1}
-    if name in fixed:
-        return fixed[name]
-    if name == "DecimalType":
-        return 8 if dt.precision <= 18 else 16
-    if name == "ArrayType":
-        return _default_size(dt.elementType)
-    if name == "MapType":
-        return _default_size(dt.keyType) + _default_size(dt.valueType)
-    if name == "StructType":
-        return sum(_default_size(f.dataType) for f in dt.fields)
-    return 8
-
-
-def row_bytes(df: DataFrame) -> int:
-    """Estimated bytes per row from the column types' default sizes (+ 8 bytes of row overhead)."""
-    return sum(_default_size(f.dataType) for f in df.schema.fields) + 8
-
-
-def fits(df: DataFrame, max_rows: int, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows and an estimated size within ``max_bytes`` (reads at most
-    max_rows + 1 rows to decide)."""
-    cap = min(max_rows, max_bytes // max(row_bytes(df), 1))
-    return df.limit(cap + 1).count() <= cap
-
-
-def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                 max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``small`` only when its row count and estimated size are proven within bounds; otherwise a
-    regular (sort-merge / AQE-chosen) join on the same keys."""
-    side = F.broadcast(small) if fits(small, max_rows, max_bytes) else small
-    return big.join(side, on, how)
-
 
 def top_k(df: DataFrame, partition, order, k: int, rank_col: str = "rank") -> DataFrame:
     """O6 – first ``k`` rows per partition by ``order`` (deterministic: callers end ``order`` with a unique key).

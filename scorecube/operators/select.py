@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.exprs import label_part_after, label_part_before
-from .joins import join_bounded
 
 
 def level_pred(type_ids) -> Column:
@@ -103,14 +102,14 @@ def select_by_label(df: DataFrame, labels: DataFrame, entity_type: str) -> DataF
             F.regexp_replace(label_part_after("label", r" \("), r"\)+$", "").alias("k_county"))
         cond = ((df.district_name == keys.k_district)
                 & (keys.k_county.isNull() | (df.county_name == keys.k_county)))
-        return join_bounded(df.filter(level_pred(C.TYPE_DISTRICT)), keys, cond, "left_semi")
+        return df.filter(level_pred(C.TYPE_DISTRICT)).join(keys, cond, "left_semi")
     if entity_type == "School":
         keys = labels.select(
             label_part_before("label", " — ").alias("k_school"),
             label_part_before(label_part_after("label", " — "), r" \(").alias("k_district"))
         cond = ((df.school_name == keys.k_school)
                 & (keys.k_district.isNull() | (df.district_name == keys.k_district)))
-        return join_bounded(df.filter(level_pred(C.TYPE_SCHOOL)), keys, cond, "left_semi")
+        return df.filter(level_pred(C.TYPE_SCHOOL)).join(keys, cond, "left_semi")
     return empty_like(df)
 
 

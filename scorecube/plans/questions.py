@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import aggregate as A
-from ..operators.joins import join_bounded, top_k
+from ..operators.joins import top_k
 from ..sources.cells import cells
 from .registry import register, with_cells
 
@@ -144,7 +144,7 @@ def n05_group_vs_state(spark, sf_dir):
     keys = ["test_id", "student_group_id", "year"]
     state = ann.filter(F.col("type_id") == C.TYPE_STATE).select(*keys, F.col(PCT).alias("state_pct"))
     d = ann.filter(F.col("type_id") == C.TYPE_DISTRICT).select("district_code", *keys, PCT)
-    j = join_bounded(d, state, keys).withColumn("gap", F.col(PCT) - F.col("state_pct"))
+    j = d.join(state, keys).withColumn("gap", F.col(PCT) - F.col("state_pct"))
     w = Window.partitionBy("district_code", "test_id", "student_group_id").orderBy("year")
     return j.withColumn("gap_change", F.col("gap") - F.lag("gap").over(w)).select(
         "district_code", "test_id", "student_group_id", "year", PCT, "state_pct", "gap", "gap_change")
@@ -251,7 +251,7 @@ def n09_vs_state_every_cell(spark, sf_dir):
     keys = ["year", "grade", "test_id", "student_group_id"]
     state = c.filter(F.col("type_id") == C.TYPE_STATE).select(*keys, F.col(PCT).alias("state_pct"))
     rows = c.filter((F.col("type_id") != C.TYPE_STATE) & F.col(PCT).isNotNull()).select(*ENT, *keys, PCT)
-    return join_bounded(rows, state, keys).withColumn("diff", F.col(PCT) - F.col("state_pct"))
+    return rows.join(state, keys).withColumn("diff", F.col(PCT) - F.col("state_pct"))
 
 
 # N10 ------------------------------------------------------------------------------------------------------
@@ -284,7 +284,7 @@ def n10_peer_schools(spark, sf_dir):
          .withColumn("share_bucket", F.expr("(el_n * 10) div all_n").cast("int")))
     keys = ["test_id", "year", "size_bucket", "share_bucket"]
     peers = b.groupBy(*keys).agg(F.avg(PCT).alias("peer_avg"), F.count(F.lit(1)).alias("peers"))
-    j = join_bounded(b, peers, keys)
+    j = b.join(peers, keys)
     return j.select("type_id", "school_code", "test_id", "year", "size_bucket", "share_bucket", PCT, "peer_avg",
                     "peers", (F.col(PCT) - F.col("peer_avg")).alias("diff"))
 

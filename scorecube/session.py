@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not d:
             d = tempfile.mkdtemp(prefix="scorecube-ckpt-")
         sc.setCheckpointDir(d)

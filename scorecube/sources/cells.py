@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..operators.joins import join_bounded
 from ..session import new_table_path, path_exists
 from .tables import read_table, table_path
 
@@ -89,10 +88,9 @@ def derive_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "l_linestatus")
     nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
     region = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
-    geo_small = join_bounded(nation, region, nation.n_regionkey == region.r_regionkey)
+    geo_small = nation.join(region, nation.n_regionkey == region.r_regionkey)
     supplier = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
-    # the geography side is broadcast only after its row count is checked; supplier likewise, else sort-merge
-    geo = (join_bounded(supplier, geo_small, supplier.s_nationkey == geo_small.n_nationkey)
+    geo = (supplier.join(geo_small, supplier.s_nationkey == geo_small.n_nationkey)
            .select("s_suppkey",
                    F.lpad((F.col("n_regionkey") + 1).cast("string"), 2, "0").alias("county_code"),
                    F.col("r_name").alias("county_name"),
@@ -115,7 +113,7 @@ def derive_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("l_quantity") > MET_QUANTITY, 1).otherwise(0).alias("met")))
     finest = rows.groupBy(*fixed, "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("met").alias("k"))
     # 2) names and the school type attached to the (much smaller) aggregate
-    finest = (join_bounded(finest, geo, F.col("l_suppkey") == F.col("s_suppkey"))
+    finest = (finest.join(geo, F.col("l_suppkey") == F.col("s_suppkey"))
               .withColumn("school_type",
                           F.when(F.col("charter") & (F.col("year") >= 2018), F.lit(9)).otherwise(F.lit(7))))
     # 3) roll up to district, county and state with GROUPING SETS over the school-level sums

@@ -281,3 +281,20 @@ def test_incremental_equals_batch_ingest(spark, tmp_dir):
     inc = read_incremental_fact(spark, fact).select(*batch.columns)
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, inc.collect()), key=key) == sorted(map(tuple, batch.collect()), key=key)
+
+
+def test_bad_years_are_reported_and_the_others_kept(spark, tmp_dir):
+    """An early caret in an entity member, or a missing column, costs its own year only."""
+    head = ("County Code,District Code,School Code,Test Year,Student Group ID,Test Type,Grade,Test Id,"
+            "Students Tested,Percentage Standard Met and Above")
+    row = "07,00000,0000000,{},1,B,05,2,40,55.5"
+    ents = "County Code,District Code,School Code,County Name,District Name,School Name\n07,00000,0000000,{},,\n"
+    for year, data_head, county in ((2016, head, "Good"), (2017, head, "B^d"), (2018, head.replace(",Test Type", ",Kind"), "Good")):
+        _zip(os.path.join(tmp_dir, "a", f"sb_ca{year}_all_csv_v1.zip"),
+             {f"sb_ca{year}_all_csv_v1.txt": f"{data_head}\n{row.format(year)}\n", f"sb_ca{year}entities_csv.txt": ents.format(county)})
+    ing = ingest(spark, os.path.join(tmp_dir, "a"), os.path.join(tmp_dir, "none"))
+    status = {r["year"]: (r["rows"], r["error"]) for r in ing.status.collect()}
+    assert status[2016] == (1, None)
+    assert status[2017][0] == 0 and "entities member lacks" in status[2017][1]
+    assert status[2018][0] == 0 and "data member lacks test_type" in status[2018][1]
+    assert status[2019] == (0, "archive not found")

@@ -8,7 +8,7 @@ from scorecube.operators import aggregate as A
 from scorecube.operators import cohort as CO
 from scorecube.operators import mix as M
 from scorecube.operators import series as SE
-from scorecube.operators.joins import join_bounded, top_k
+from scorecube.operators.joins import top_k
 from scorecube.operators.select import select_by_label, tag_sides
 
 
@@ -102,13 +102,6 @@ def test_label_with_two_parentheses(spark):
     assert [r["county_name"] for r in got] == ["B"]
 
 
-def test_join_bounded_falls_back(spark):
-    big = spark.range(100).withColumnRenamed("id", "k")
-    small = spark.range(10).withColumnRenamed("id", "k")
-    assert join_bounded(big, small, ["k"], max_rows=5).count() == 10
-    assert join_bounded(big, small, ["k"], max_rows=50).count() == 10
-
-
 def test_top_k_deterministic(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "w"), ("a", 2, "v"), ("b", 0, "u")], "p string, v int, code string")
     got = [(r["p"], r["code"]) for r in top_k(df, ["p"], [F.col("v"), F.col("code")], 2).orderBy("p", "rank").collect()]
@@ -131,12 +124,3 @@ def test_selection_status_and_distinct_union(spark):
     assert got == {"s": (3, [2015, 2019]), "t": (1, [2021])}
     u = SE.distinct_union(df.select("year"), spark.createDataFrame([(2015,), (2023,)], "year int"))
     assert sorted(r["year"] for r in u.collect()) == [2015, 2019, 2021, 2023]
-
-
-def test_join_bounded_byte_cap(spark):
-    from scorecube.operators.joins import fits, row_bytes
-
-    small = spark.range(100).selectExpr("id AS k", "repeat('x', 10) AS s")
-    assert row_bytes(small) == 8 + 20 + 8
-    assert fits(small, max_rows=1000)
-    assert not fits(small, max_rows=1000, max_bytes=36 * 50)  # only 50 rows' worth of bytes allowed

@@ -80,13 +80,13 @@ def test_sidecar_written_in_order(spark, tmp_dir):
     assert [r["type_id"] for r in rows] == [4, 5, 9]
 
 
-def test_export_documents_size_guard(spark, tmp_dir):
+def test_export_documents_key_guard(spark, tmp_dir):
     import pytest
 
     D.export_documents(_fact(spark), os.path.join(tmp_dir, "ok"))
     assert os.path.isdir(os.path.join(tmp_dir, "ok", "doc=state"))
     with pytest.raises(ValueError):
-        D.export_documents(_fact(spark), os.path.join(tmp_dir, "no"), max_records=1)
+        D.export_documents(_fact(spark).union(_fact(spark)), os.path.join(tmp_dir, "no"))
 
 
 def test_sorted_fact_row_groups_are_skippable(spark, tmp_dir):
