@@ -16,9 +16,9 @@ from functools import lru_cache
 
 import numpy as np
 
-MOST_STATES = 200_000
-MOST_WORDS = 500_000
-MOST_PAIRS = 1_000_000
+MOST_STATES = 100_000
+MOST_WORDS = 250_000
+MOST_PAIRS = 400_000
 MATCHES = 200_000
 NEVER = (-1, -1)
 
@@ -33,7 +33,7 @@ class Vocabulary:
         self.tokens: list[bytes] = [b""] * size
         for t, r in self.ranks.items():
             self.tokens[r] = t
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.split: dict[int, tuple[int, int] | None] = {}
         length = np.array([len(t) for t in self.tokens], np.int64)
         self.ends = np.cumsum(length)
@@ -80,11 +80,11 @@ class Vocabulary:
     def follows(self, a: int, b: int) -> bool:
         """Whether merging the bytes of both tokens gives just these two: undoing merges on both sides of the border, the
         latest first, no merge across the border may have come before the one that is undone."""
-        got = self.pairs.get((a, b))
+        got = self.pairs.get(a << 32 | b)
         if got is None:
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self._apart(a, b)
+            got = self.pairs[a << 32 | b] = self._apart(a, b)
         return got
 
     def _apart(self, a: int, b: int) -> bool:
