@@ -40,8 +40,15 @@ def splits(df: DataFrame, target: int, per_partition: int = 1) -> int:
     return max(per_partition * shuffle_partitions(df.sparkSession), math.ceil(input_bytes(df) / target), 1)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_DEFAULT = str(64 << 20)
+
+
 def ready(spark: SparkSession) -> None:
-    """Python workers can import this package."""
+    """Python workers can import this package, and get Arrow batches of 8 MB unless the session says otherwise: a batch is held
+    several times over outside the heap, and workers cut it into pieces of 2 MB anyway."""
+    if spark.conf.get(_BATCH, _BATCH_DEFAULT).rstrip("b") == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, "8m")
     ship_package(spark)
 
 
