@@ -1,8 +1,8 @@
 """Connected components of a link table, as a loop of Spark joins over a shrinking graph.
 
-In a round every node that has a smaller neighbour hooks onto the least one, and the links are rewritten to the nodes hooked
-onto; links inside a node, and repeated ones, go. With nodes in no order along the links, a round leaves a fixed share
-of them. Tables are checkpointed
+In a round every node that has a neighbour of lower hash hooks onto the lowest one, and the links are rewritten to the nodes hooked
+onto; links inside a node, and repeated ones, go. As hashes are in no order along the links, a round leaves a fixed share
+of the nodes. Tables are checkpointed
 each round: that cuts the lineage, and a join of two checkpointed tables is one whose hot keys Spark can split
 (adaptive skew join), while the least-neighbour aggregate combines before its shuffle. A node with a third of all links
 thus never meets one task."""
@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 
+def _ranked(column: str):
+    """A node by its hash: in no order along a path, whatever the nodes are."""
+    return F.struct(F.xxhash64(column).alias("rank"), F.col(column).alias("to"))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with a link to another; component is a node of the same component, one for all.
     Rows with a null end are ignored; repeated links and links of a node to itself do no harm; no links give no rows."""
@@ -22,7 +27,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut_lineage(links.select(F.inline(ends)).where("a <> b").distinct())
     labels = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     while not edges.isEmpty():
-        hook = cut_lineage(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("to")))
+        low = F.least(_ranked("a"), F.min(_ranked("b")))
+        hook = cut_lineage(edges.groupBy("a").agg(low.alias("low")).select("a", F.col("low.to").alias("to")))
         other = hook.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
         edges = cut_lineage(edges.join(hook, "a").join(other, "b")
                             .select(F.col("to").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct())
