@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import base64
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
+from .common import held
+
 MOST_STATES = 100_000
 MOST_WORDS = 250_000
 MOST_PAIRS = 400_000
@@ -250,8 +251,7 @@ class Utf8Machine:
         return rest.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     """One encoder for a worker process, whatever the number of its tasks."""
-    return Encoder(path, pattern)
+    return held((path, pattern), lambda: Encoder(path, pattern))
 

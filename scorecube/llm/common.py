@@ -6,8 +6,10 @@ few MB, so memory doesn't follow the batch."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+# ---- what a worker process holds ------------------------------------------------------------------------------------
+_HELD: dict = {}
+
+
+def held(name, build: Callable):
+    """The object ``name`` of this worker process, built by the first of its tasks that asks; one is held at most."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = build()
+    return _HELD[name]
+
+
+def light(run):
+    """A mapInArrow function that needs no ``held`` object. Spark uses a worker again for later stages, so what another
+    operator's tasks have left there goes first; when the task ends, freed memory returns to the system."""
+    @functools.wraps(run)
+    def task(batches):
+        _HELD.clear()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+    return task
+
+
 # ---- text as arrays -------------------------------------------------------------------------------------------------
 def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, row offsets) of a string column; null is empty."""

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import bloom
-from .common import ALNUM, LOWER, join_words, pieces, ranges, ready, rolling, window_starts, word_hashes, words
+from .common import ALNUM, LOWER, join_words, light, pieces, ranges, ready, rolling, window_starts, word_hashes, words
 
 WINDOW = 10
 GRAM = 5
@@ -47,6 +47,7 @@ def _texts(data, start, end, at, length) -> list[bytes]:
     return [raw[a:b - 1] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+@light
 def item_windows(batches):
     """Of (item, text): (item, length, fingerprint, words) for each window."""
     for batch in batches:
@@ -77,6 +78,7 @@ def candidates(bits: np.ndarray, lengths: list[int]):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("fingerprint", pa.int64()),
                                ("words", pa.binary())]))
 
+    @light
     def run(batches):
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch["text"]):

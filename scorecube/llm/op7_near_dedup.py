@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import bloom
-from .common import LOWER, NOT_SPACE, cut_lineage, mix, pieces, ranges, ready, rolling, word_hashes, words
+from .common import LOWER, NOT_SPACE, cut_lineage, light, mix, pieces, ranges, ready, rolling, word_hashes, words
 from .components import components
 
 SHINGLE = 5
@@ -62,6 +62,7 @@ def _distinct(hashes, bounds):
     return [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+@light
 def signatures(batches):
     """Of (doc_id, text, ...): text replaced by n, node, bands, sketch."""
     for batch in batches:
@@ -118,6 +119,7 @@ def _root(parent, x):
 
 def forests(exact: bool):
     """mapInArrow: of rows of block pairs, the links found (a, b), as few as connect what the task's links connect."""
+    @light
     def run(batches):
         joined: dict[bytes, bytes] = {}
         for batch in batches:
@@ -177,6 +179,7 @@ def _grouped(members: DataFrame, key: str, payload: list[str], exact: bool, bloc
 
 # ---- the texts in question ----------------------------------------------------------------------------------------------
 def _shingle_sets(bits: np.ndarray):
+    @light
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(bloom.contains(bits, batch["k"].to_numpy().view(np.uint64))))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import read_table
-from .common import LOWER, byte_set, mix, pieces, ready, remainder
+from .common import LOWER, byte_set, light, mix, pieces, ready, remainder
 
 GRAM = 4
 MIN_RATE = 1e-5
@@ -55,6 +55,7 @@ def _grams(data, offsets):
     return code[good], np.searchsorted(np.flatnonzero(good), edge)
 
 
+@light
 def _count(batches):
     """Of (lang, text): (lang, gram, n), each pair once for the task."""
     langs: dict[str, int] = {}
@@ -140,6 +141,7 @@ def identified(docs: DataFrame, filters: Filters) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
+    @light
     def run(batches):
         f = shared.value
         for batch in batches:
