@@ -1,11 +1,11 @@
 """MinHash near-dedup with odd sketches.
 
 1. One pass over the texts gives each document its number of distinct 5-word shingles, a 128-bit digest of the set, MinHash
-   band keys (30 bands of 6 samples) and an odd sketch: every (sample number, sample) is folded into a 512-bit parity
+   band keys (30 bands of 6 samples at 85 per cent, 36 of 5 at 80) and an odd sketch: every (sample number, sample) is folded into a 512-bit parity
    bitmap, so that equal samples of two documents cancel in their XOR and its population count measures 1 - similarity
    with small error just where similarities are high. Documents of equal sets become one node (the digest), however many.
 2. Nodes that share a band key are compared by sketch. What passes forms coarse groups (connected components), a superset
-   of the true ones: a link at the threshold fails a sketch or all bands with a probability of about 1e-5.
+   of the true ones: a link at the threshold fails a sketch or all bands with a probability of BAND_MISS + SKETCH_MISS at most.
 3. The full shingle sets of a coarse group's nodes meet there, and links are confirmed on them exactly. A pair whose ends
    are already joined needs no test, and a task gives back a spanning forest, never all pairs.
 4. Components of the confirmed links give the classes.
@@ -21,6 +21,10 @@ a null doc_id is the smallest only among nulls; an empty table gives an empty re
 
 from __future__ import annotations
 
+from functools import cache
+from math import comb
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,16 +37,41 @@ from .common import LOWER, NOT_SPACE, cut_lineage, light, mix, pieces, ranges, r
 from .components import components
 
 SHINGLE = 5
-THRESHOLD = 85  # per cent
-BANDS, ROWS = 30, 6
+THRESHOLD, STAGE_THRESHOLD = 85, 80  # per cent: the query's and the pipeline's
+SAMPLES = 180
 SKETCH_BITS = 512
-#: A pair of similarity 0.85 has 49 differing bits on average, more than this with a probability of about 1e-5.
-SKETCH_LIMIT = 88
+#: the probabilities, at most, that a pair just at the threshold shares no band and that its sketches differ too much
+BAND_MISS, SKETCH_MISS = 1e-6, 3e-6
 SKETCH_BLOCK, BLOCK = 512, 256
 
-_K = BANDS * ROWS
-_A = mix(np.arange(_K, dtype=np.uint64), 21).astype(np.uint32) | np.uint32(1)
-_B = mix(np.arange(_K, dtype=np.uint64), 22).astype(np.uint32)
+_A = mix(np.arange(SAMPLES, dtype=np.uint64), 21).astype(np.uint32) | np.uint32(1)
+_B = mix(np.arange(SAMPLES, dtype=np.uint64), 22).astype(np.uint32)
+
+
+class Search(NamedTuple):
+    threshold: int  # per cent
+    bands: int
+    rows: int  # samples of a band
+    limit: int  # differing sketch bits
+
+
+@cache
+def search(threshold: int) -> Search:
+    """How pairs of ``threshold`` per cent are found: the longest bands and the smallest limit that keep BAND_MISS and
+    SKETCH_MISS."""
+    alike = threshold / 100
+    rows = max(r for r in range(1, SAMPLES + 1) if r == 1 or (1 - alike ** r) ** (SAMPLES // r) <= BAND_MISS)
+    # a differing sample flips two bits at random: the distribution of the number of odd bits after 0, 2, 4, ... flips
+    up = 1 - np.arange(SKETCH_BITS + 1) / SKETCH_BITS
+    odd = np.zeros(SKETCH_BITS + 1)
+    odd[0] = 1
+    differ = np.zeros(SKETCH_BITS + 1)
+    for d in range(SAMPLES + 1):
+        differ += comb(SAMPLES, d) * (1 - alike) ** d * alike ** (SAMPLES - d) * odd
+        for _ in range(2):
+            odd = np.concatenate([[0], odd[:-1] * up[:-1]]) + np.concatenate([odd[1:] * (1 - up[1:]), [0]])
+    more = np.cumsum(differ[::-1])[::-1] - differ
+    return Search(threshold, SAMPLES // rows, rows, int(np.argmax(more <= SKETCH_MISS)))
 
 
 def _shingles(data, offsets):
@@ -62,40 +91,42 @@ def _distinct(hashes, bounds):
     return [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-@light
-def signatures(batches):
-    """Of (doc_id, text, ...): text replaced by n, node, bands, sketch."""
-    for batch in batches:
-        for lo, hi, data, offsets in pieces(batch["text"]):
-            sets = _distinct(*_shingles(data, offsets))
-            n = np.array([len(s) for s in sets])
-            full = np.flatnonzero(n)
-            bands = np.zeros((hi - lo, BANDS), np.uint64)
-            sketch = np.zeros((hi - lo, SKETCH_BITS // 8), np.uint8)
-            node: list = [None] * (hi - lo)
-            if len(full):
-                every = np.concatenate([sets[i] for i in full])
-                cut = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-                digest = np.stack([np.add.reduceat(mix(every, s), cut) for s in (31, 32)], 1)
-                for i, d in zip(full.tolist(), digest, strict=True):
-                    node[i] = d.tobytes()
-                small = every.astype(np.uint32) ^ (every >> np.uint64(32)).astype(np.uint32)
-                low = np.empty((len(full), _K), np.uint64)
-                for k in range(_K):
-                    low[:, k] = np.minimum.reduceat(small * _A[k] + _B[k], cut)
-                sample = mix(low ^ (np.arange(_K, dtype=np.uint64) << np.uint64(32)), 23)
-                bands[full] = mix(np.add.reduceat(sample, np.arange(0, _K, ROWS), axis=1), 24)
-                bits = np.zeros((len(full), SKETCH_BITS), np.uint8)
-                place = (sample % np.uint64(SKETCH_BITS)).astype(np.int64)
-                np.add.at(bits, (np.arange(len(full))[:, None], place), 1)
-                sketch[full] = np.packbits(bits & 1, axis=1)
-            out = {c: batch[c].slice(lo, hi - lo) for c in batch.schema.names if c != "text"}
-            out["n"] = pa.array(n, pa.int64())
-            out["node"] = pa.array(node, pa.binary())
-            out["bands"] = pa.array([bands[i].view(np.int64).tolist() if node[i] else [] for i in range(hi - lo)],
-                                    pa.list_(pa.int64()))
-            out["sketch"] = pa.array([x.tobytes() for x in sketch], pa.binary())
-            yield pa.RecordBatch.from_pydict(out)
+def signatures(how: Search):
+    """mapInArrow: of (doc_id, text, ...), text replaced by n, node, bands, sketch."""
+    @light
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in pieces(batch["text"]):
+                sets = _distinct(*_shingles(data, offsets))
+                n = np.array([len(s) for s in sets])
+                full = np.flatnonzero(n)
+                bands = np.zeros((hi - lo, how.bands), np.uint64)
+                sketch = np.zeros((hi - lo, SKETCH_BITS // 8), np.uint8)
+                node: list = [None] * (hi - lo)
+                if len(full):
+                    every = np.concatenate([sets[i] for i in full])
+                    cut = np.concatenate([[0], np.cumsum(n[full])[:-1]])
+                    digest = np.stack([np.add.reduceat(mix(every, s), cut) for s in (31, 32)], 1)
+                    for i, d in zip(full.tolist(), digest, strict=True):
+                        node[i] = d.tobytes()
+                    small = every.astype(np.uint32) ^ (every >> np.uint64(32)).astype(np.uint32)
+                    low = np.empty((len(full), SAMPLES), np.uint64)
+                    for k in range(SAMPLES):
+                        low[:, k] = np.minimum.reduceat(small * _A[k] + _B[k], cut)
+                    sample = mix(low ^ (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)), 23)
+                    bands[full] = mix(sample[:, :how.bands * how.rows].reshape(len(full), how.bands, how.rows).sum(axis=2), 24)
+                    bits = np.zeros((len(full), SKETCH_BITS), np.uint8)
+                    place = (sample % np.uint64(SKETCH_BITS)).astype(np.int64)
+                    np.add.at(bits, (np.arange(len(full))[:, None], place), 1)
+                    sketch[full] = np.packbits(bits & 1, axis=1)
+                out = {c: batch[c].slice(lo, hi - lo) for c in batch.schema.names if c != "text"}
+                out["n"] = pa.array(n, pa.int64())
+                out["node"] = pa.array(node, pa.binary())
+                out["bands"] = pa.array([bands[i].view(np.int64).tolist() if node[i] else [] for i in range(hi - lo)],
+                                        pa.list_(pa.int64()))
+                out["sketch"] = pa.array([x.tobytes() for x in sketch], pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
+    return run
 
 
 # ---- comparing the members of a group, a pair of blocks at a time -----------------------------------------------------
@@ -117,7 +148,7 @@ def _root(parent, x):
     return x
 
 
-def forests(exact: bool):
+def forests(exact: bool, how: Search):
     """mapInArrow: of rows of block pairs, the links found (a, b), as few as connect what the task's links connect."""
     @light
     def run(batches):
@@ -134,25 +165,25 @@ def forests(exact: bool):
             sets = flat.field("shingles") if exact else None
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 for x, y in _links(n[lo:hi], own[lo:hi], sketch[lo:hi], node[lo:hi], joined,
-                                   sets.slice(lo, hi - lo) if exact else None):
+                                   sets.slice(lo, hi - lo) if exact else None, how):
                     a.append(node[lo + x])
                     b.append(node[lo + y])
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
     return run
 
 
-def _links(n, block, sketch, node, joined, sets):
+def _links(n, block, sketch, node, joined, sets, how):
     """Pairs (across the blocks, if there are two) whose ends ``joined`` doesn't connect yet, the most alike first."""
     if len(n) < 2:
         return []
     x, y = (np.array([0]), np.array([1])) if len(n) == 2 else np.triu_indices(len(n), 1)
-    fit = 100 * np.minimum(n[x], n[y]) >= THRESHOLD * np.maximum(n[x], n[y])
+    fit = 100 * np.minimum(n[x], n[y]) >= how.threshold * np.maximum(n[x], n[y])
     if (block != block[0]).any():
         fit &= block[x] != block[y]
     x, y = x[fit], y[fit]
     differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
     order = np.argsort(differ, kind="stable")
-    order = order[differ[order] <= SKETCH_LIMIT]
+    order = order[differ[order] <= how.limit]
     for v in node:
         joined.setdefault(v, v)
     found, own_set = [], {}
@@ -165,16 +196,16 @@ def _links(n, block, sketch, node, joined, sets):
                 if k not in own_set:
                     own_set[k] = np.frombuffer(sets[k].as_buffer(), np.uint64)
             both = len(np.intersect1d(own_set[p], own_set[q], assume_unique=True))
-            if 100 * both < THRESHOLD * (n[p] + n[q] - both):
+            if 100 * both < how.threshold * (n[p] + n[q] - both):
                 continue
         joined[s] = t
         found.append((p, q))
     return found
 
 
-def _grouped(members: DataFrame, key: str, payload: list[str], exact: bool, block: int) -> DataFrame:
+def _grouped(members: DataFrame, key: str, payload: list[str], exact: bool, block: int, how: Search) -> DataFrame:
     """(node, component) by the links inside the groups ``key``."""
-    return components(block_pairs(members, key, payload, block).mapInArrow(forests(exact), "a binary, b binary"))
+    return components(block_pairs(members, key, payload, block).mapInArrow(forests(exact, how), "a binary, b binary"))
 
 
 # ---- the texts in question ----------------------------------------------------------------------------------------------
@@ -207,23 +238,25 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(sets.dropDuplicates(["k"]), "k").drop("k")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(k, doc_id, n_shingles, component_id, kept, component) for each row of ``docs``; k is row_key()."""
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(k, doc_id, n_shingles, component_id, kept, component) for each row of ``docs``; k is row_key(). Links are at
+    ``threshold`` per cent."""
+    how = search(threshold)
     ready(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     key_type = docs.schema["doc_id"].dataType.simpleString()
     signed = cut_lineage(docs.select("doc_id", row_key().alias("k"), "text").mapInArrow(
-        signatures, f"doc_id {key_type}, k bigint, n bigint, node binary, bands array<bigint>, sketch binary"))
+        signatures(how), f"doc_id {key_type}, k bigint, n bigint, node binary, bands array<bigint>, sketch binary"))
     nodes = cut_lineage(signed.where("n > 0").groupBy("node").agg(
         F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("k").alias("k")))
     members = (nodes.select("node", F.posexplode("bands").alias("band", "value"))
                .select(F.xxhash64("band", "value").alias("bucket"), "node"))
     sizes = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     shared = members.join(sizes, "bucket").join(nodes.select("node", "n", "sketch"), "node")
-    coarse = _grouped(shared, "bucket", ["n", "sketch"], False, SKETCH_BLOCK).withColumnRenamed("component", "group")
+    coarse = _grouped(shared, "bucket", ["n", "sketch"], False, SKETCH_BLOCK, how).withColumnRenamed("component", "group")
     sizes = cut_lineage(coarse.groupBy("group").agg(F.count("*").alias("size")))
     asked = cut_lineage(coarse.join(nodes.select("node", "n", "sketch", "k"), "node").join(sizes, "group"))
-    linked = _grouped(_sets_of(docs, asked), "group", ["n", "sketch", "shingles"], True, BLOCK)
+    linked = _grouped(_sets_of(docs, asked), "group", ["n", "sketch", "shingles"], True, BLOCK, how)
     named = cut_lineage(signed.where("n > 0").select("k", "doc_id", "n", "node").join(linked, "node", "left")
                         .select("k", "doc_id", "n", F.coalesce("component", "node").alias("component")))
     least = cut_lineage(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
@@ -239,8 +272,9 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with one of each group of near copies; of rows that are copies in doc_id and text too, one stays."""
-    keep = near_duplicates(docs).where("kept").select(F.col("k").alias("__k")).distinct()
+    """The documents with one of each group of near copies, linked at STAGE_THRESHOLD; of rows that are copies in doc_id and
+    text too, one stays."""
+    keep = near_duplicates(docs, STAGE_THRESHOLD).where("kept").select(F.col("k").alias("__k")).distinct()
     kept = docs.withColumn("__k", row_key()).join(keep, "__k", "left_semi")
     return kept.dropDuplicates(["__k"]).drop("__k")
 

@@ -218,6 +218,21 @@ def test_near_copies_beyond_a_block_are_joined_up(spark, monkeypatch):
     assert all(got[i] == 0 for i in range(60)) and all(got[100 + i] == 100 + i for i in range(20))
 
 
+def test_near_dedup_stage_links_from_80_per_cent(spark):
+    assert op7_near_dedup.search(85) == (85, 30, 6, 88) and op7_near_dedup.search(80)[:3] == (80, 36, 5)
+    docs = []
+    for i in range(40):  # 104 and 100 shingles: 9 to 11 words at the end are others, a Jaccard of 0.85 to 0.80
+        base, other = [f"p{i}.{k}" for k in range(104)], 9 + i % 3
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:-other] + [f"q{i}.{k}" for k in range(other)]))]
+    docs += [(1000 + i, " ".join([f"r{k}" for k in range(88)] + [f"s{i}.{k}" for k in range(16)])) for i in range(2)]  # 0.72
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(100)} for i, t in docs}
+    alike = [len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(40)]
+    assert all(0.8 <= a < 0.85 for a in alike)
+    assert sorted(r["doc_id"] for r in op7_near_dedup.stage(spark, df, "").collect()) == [*range(0, 80, 2), 1000, 1001]
+    assert all(r["kept"] for r in _rows(op7_near_dedup.near_duplicates(df)))
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7), (None, 3)]
