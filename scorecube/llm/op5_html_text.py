@@ -11,6 +11,8 @@
 Inside the article only containers (div, section, ...) can be templates: a paragraph that many pages share is still
 text. Of several articles, that with the most text is the page's.
 
+Trees are walked by loops over a stack of their own, so markup of any depth keeps its text.
+
 Defined results: null and empty html give an empty text; unclosed, stray and truncated markup is repaired as browsers do
 in the simple cases; a page without a host has no templates; every row gives a row, also for repeated or null page_ids; an
 empty table gives an empty result; other columns are not read."""
@@ -19,7 +21,6 @@ from __future__ import annotations
 
 import html
 import re
-import sys
 
 import pyarrow as pa
 import xxhash
@@ -137,23 +138,28 @@ def never_text(e: Element, in_article: bool) -> bool:
     return bool(e.names) and e.tag not in ("html", "body", "article", "main") and any(map(NEVER_NAMES.match, e.names.split()))
 
 
+def _state(e: Element):
+    return xxhash.xxh3_64(f"{e.tag}\x00{e.names}\x00".encode())
+
+
 def subtrees(root: Element):
     """(element, hash, inside an article or main element) for each element, children first."""
-    def walk(e, inside):
-        state = xxhash.xxh3_64(f"{e.tag}\x00{e.names}\x00".encode())
-        here = inside or e.tag in ("article", "main")
-        for c in e.children:
-            if isinstance(c, str):
-                if text := " ".join(c.split()):
-                    state.update(text.encode("utf-8", "replace"))
-                    state.update(b"\x01")
-            else:
-                state.update((yield from walk(c, here)).to_bytes(8, "big"))
-        value = state.intdigest()
-        if e.tag != "#root":
-            yield e, value, inside
-        return value
-    return walk(root, False)
+    stack = [(root, _state(root), False, iter(root.children))]
+    while stack:
+        e, state, inside, rest = stack[-1]
+        for c in rest:
+            if isinstance(c, Element):
+                stack.append((c, _state(c), inside or e.tag in ("article", "main"), iter(c.children)))
+                break
+            if text := " ".join(c.split()):
+                state.update(text.encode("utf-8", "replace"))
+                state.update(b"\x01")
+        else:
+            stack.pop()
+            if stack:
+                value = state.intdigest()
+                stack[-1][1].update(value.to_bytes(8, "big"))
+                yield e, value, inside
 
 
 def can_be_template(e: Element, inside: bool) -> bool:
@@ -169,18 +175,23 @@ def template_hashes(page: str) -> set[int]:
 
 
 def _blocks(e: Element, in_article: bool, out: list[list[str]]) -> None:
-    for c in e.children:
-        if isinstance(c, str):
-            out[-1].append(c)
-        elif c.tag == "br":
-            out[-1].append(" ")
-        elif not never_text(c, in_article):
-            if c.tag in BLOCK:
-                out.append([])
-                _blocks(c, in_article or c.tag == "article", out)
+    stack = [(e, in_article, iter(e.children))]
+    while stack:
+        e, inside, rest = stack[-1]
+        for c in rest:
+            if isinstance(c, str):
+                out[-1].append(c)
+            elif c.tag == "br":
+                out[-1].append(" ")
+            elif not never_text(c, inside):
+                if c.tag in BLOCK:
+                    out.append([])
+                stack.append((c, inside or c.tag == "article", iter(c.children)))
+                break
+        else:
+            stack.pop()
+            if stack and e.tag in BLOCK:
                 out.append([])
-            else:
-                _blocks(c, in_article, out)
 
 
 def _text(e: Element, in_article: bool) -> str:
@@ -189,66 +200,41 @@ def _text(e: Element, in_article: bool) -> str:
     return "\n".join(t for t in (" ".join("".join(b).split()) for b in out) if t)
 
 
-def _articles(e: Element, tags: tuple[str, ...], out: list[Element]) -> list[Element]:
-    for c in e.children:
+def _articles(e: Element, tags: tuple[str, ...]) -> list[Element]:
+    found, ahead = [], e.children[::-1]
+    while ahead:
+        c = ahead.pop()
         if isinstance(c, Element) and not never_text(c, False):
             if c.tag in tags or c.role in tags:
-                out.append(c)
+                found.append(c)
             else:
-                _articles(c, tags, out)
-    return out
+                ahead.extend(c.children[::-1])
+    return found
 
 
 def main_text(page: str, templates: frozenset[int]) -> str:
     root = parse(page)
     if templates:
         gone = {id(e) for e, h, inside in subtrees(root) if _signed(h) in templates and can_be_template(e, inside)}
-
-        def prune(e):
+        ahead = [root] if gone else []
+        while ahead:
+            e = ahead.pop()
             e.children = [c for c in e.children if id(c) not in gone]
-            for c in e.children:
-                if isinstance(c, Element):
-                    prune(c)
-        if gone:
-            prune(root)
+            ahead.extend(c for c in e.children if isinstance(c, Element))
     for tags in (("article",), ("main",)):
-        texts = [_text(e, True) for e in _articles(root, tags, [])]
+        texts = [_text(e, True) for e in _articles(root, tags)]
         if texts:
             return max(texts, key=len)
     return _text(root, False)
 
 
-def _deep(batches, step):
-    """Recursion over trees needs more room than Python's default; markup deeper than this is a page without text."""
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(20_000)
-    try:
-        for batch in batches:
-            yield from step(batch)
-    finally:
-        sys.setrecursionlimit(limit)
-
-
-def _guarded(function, default):
-    def call(*args):
-        try:
-            return function(*args)
-        except RecursionError:
-            return default
-    return call
-
-
 def count_templates(batches):
     """Of (host, html): (host, hash, pages) and, with a null hash, the host's pages; each once for the task."""
     counts: dict[tuple[str, int | None], int] = {}
-    hashes_of = _guarded(template_hashes, set())
-
-    def step(batch):
+    for batch in batches:
         for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            for key in (None, *hashes_of(page)):
+            for key in (None, *template_hashes(page)):
                 counts[host, key] = counts.get((host, key), 0) + 1
-        return ()
-    yield from _deep(batches, step)
     yield pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in counts], pa.string()),
                                       "hash": pa.array([k[1] for k in counts], pa.int64()),
                                       "pages": pa.array(list(counts.values()), pa.int64())})
@@ -256,14 +242,11 @@ def count_templates(batches):
 
 def extract(batches):
     """Of (..., html, templates): both replaced by text."""
-    text_of = _guarded(main_text, "")
-
-    def step(batch):
-        texts = [text_of(page, frozenset(t or ())) if page else "" for page, t in
+    for batch in batches:
+        texts = [main_text(page, frozenset(t or ())) if page else "" for page, t in
                  zip(batch["html"].to_pylist(), batch["templates"].to_pylist(), strict=True)]
         yield pa.RecordBatch.from_pydict({c: batch[c] for c in batch.schema.names if c not in ("html", "templates")}
                                          | {"text": pa.array(texts, pa.string())})
-    return _deep(batches, step)
 
 
 def host_of(url):

@@ -164,6 +164,14 @@ def test_main_text_of_pages(spark):
     assert op5_html_text.main_texts(df.where("false")).count() == 0
 
 
+def test_pages_of_any_depth_keep_their_text():
+    assert op5_html_text.main_text("<div>" * 30_000 + "deep", frozenset()) == "deep"
+    unclosed = "".join(f"<font>line {i}<br>" for i in range(30_000))
+    assert op5_html_text.main_text(unclosed, frozenset()) == " ".join(f"line {i}" for i in range(30_000))
+    hashes = op5_html_text.template_hashes("<div>" * 30_000 + "deep")
+    assert len(hashes) == 30_000 and op5_html_text.main_text("<p>a</p>" + "<div>" * 30_000 + "deep", frozenset(hashes)) == "a"
+
+
 def test_bpe_equals_tiktoken_and_round_trips(spark, odd, empty):
     import base64
 
