@@ -1,8 +1,10 @@
 """HTML extraction by site template removal.
 
-1. Tasks parse each page into a tree and hash every element's subtree (tag, class and id, texts, children). A task counts
-   in how many of its pages of a host a subtree occurs; Spark adds the counts up. Subtrees in at least MIN_PAGES pages and
-   SHARE of their host's pages are the host's templates; a host has elements per page / SHARE of them at most.
+1. Tasks parse each page into a tree and hash every element's subtree (tag, class and id, texts, children). Pages of a host
+   whose main text is the same before any deletion are one page, however many rows or URLs it has: the one with the least
+   list of hashes stands for all. Spark counts the pages that have a subtree. Subtrees on at least MIN_PAGES pages and SHARE
+   of their host's pages are the host's templates, containers (div, section, ...) from CONTAINER_SHARE on; a host has its
+   elements per page / SHARE and its containers per page / CONTAINER_SHARE of them at most.
 2. Pages meet their host's templates in a join on the host (an adaptive skew join splits a host with many pages). A page is
    parsed again, its template subtrees are deleted, and so are elements that are never main text: by tag (nav, footer,
    form, script, ...), role, or the first word of a class or id (ad, sidebar, comments, ...). What is left of the article
@@ -28,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .common import ready
+from .common import cut_lineage, ready
 
 MIN_PAGES = 3
 SHARE = 0.2
+#: A link or a word in bold that many pages share is text more often than a whole container is.
+CONTAINER_SHARE = 0.02
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
@@ -170,8 +174,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def template_hashes(page: str) -> set[int]:
-    return {_signed(h) for e, h, inside in subtrees(parse(page)) if can_be_template(e, inside)}
+def template_key(e: Element, h: int) -> int:
+    """The hash as a long; its last bit tells containers from other elements."""
+    return _signed(h & ~1 | (e.tag in CONTAINERS))
+
+
+def template_hashes(page: str | Element) -> set[int]:
+    root = page if isinstance(page, Element) else parse(page)
+    return {template_key(e, h) for e, h, inside in subtrees(root) if can_be_template(e, inside)}
 
 
 def _blocks(e: Element, in_article: bool, out: list[list[str]]) -> None:
@@ -212,10 +222,10 @@ def _articles(e: Element, tags: tuple[str, ...]) -> list[Element]:
     return found
 
 
-def main_text(page: str, templates: frozenset[int]) -> str:
-    root = parse(page)
+def main_text(page: str | Element, templates: frozenset[int]) -> str:
+    root = page if isinstance(page, Element) else parse(page)
     if templates:
-        gone = {id(e) for e, h, inside in subtrees(root) if _signed(h) in templates and can_be_template(e, inside)}
+        gone = {id(e) for e, h, inside in subtrees(root) if can_be_template(e, inside) and template_key(e, h) in templates}
         ahead = [root] if gone else []
         while ahead:
             e = ahead.pop()
@@ -228,16 +238,17 @@ def main_text(page: str, templates: frozenset[int]) -> str:
     return _text(root, False)
 
 
-def count_templates(batches):
-    """Of (host, html): (host, hash, pages) and, with a null hash, the host's pages; each once for the task."""
-    counts: dict[tuple[str, int | None], int] = {}
+def page_hashes(batches):
+    """Of (host, html): (host, page, hashes); page is a hash of the main text, hashes are sorted."""
     for batch in batches:
-        for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            for key in (None, *template_hashes(page)):
-                counts[host, key] = counts.get((host, key), 0) + 1
-    yield pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in counts], pa.string()),
-                                      "hash": pa.array([k[1] for k in counts], pa.int64()),
-                                      "pages": pa.array(list(counts.values()), pa.int64())})
+        page, hashes = [], []
+        for markup in batch["html"].to_pylist():
+            root = parse(markup)
+            hashes.append(sorted(template_hashes(root)))
+            text = main_text(root, frozenset())
+            page.append(_signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))))
+        yield pa.RecordBatch.from_pydict({"host": batch["host"], "page": pa.array(page, pa.int64()),
+                                          "hashes": pa.array(hashes, pa.list_(pa.int64()))})
 
 
 def extract(batches):
@@ -257,11 +268,16 @@ def site_templates(pages: DataFrame) -> DataFrame:
     """(host, templates) from (url, html)."""
     ready(pages.sparkSession)
     seen = (pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> '' AND html IS NOT NULL")
-            .mapInArrow(count_templates, "host string, hash bigint, pages bigint")
-            .groupBy("host", "hash").agg(F.sum("pages").alias("pages")))
-    of_host = seen.where("hash IS NULL").select("host", F.col("pages").alias("every"))
-    often = seen.where(f"hash IS NOT NULL AND pages >= {MIN_PAGES}").join(of_host, "host")
-    return often.where(F.col("pages") >= SHARE * F.col("every")).groupBy("host").agg(F.collect_list("hash").alias("templates"))
+            .mapInArrow(page_hashes, "host string, page bigint, hashes array<bigint>")
+            .groupBy("host", "page").agg(F.min("hashes").alias("hashes")))
+    # the null hash counts the host's pages
+    counted = cut_lineage(seen.select("host", F.explode(F.concat("hashes", F.array(F.lit(None).cast("bigint")))).alias("hash"))
+                          .groupBy("host", "hash").agg(F.count("*").alias("pages"))
+                          .where(f"hash IS NULL OR pages >= {MIN_PAGES}"))
+    of_host = counted.where("hash IS NULL").select("host", F.col("pages").alias("every"))
+    often = counted.where("hash IS NOT NULL").join(of_host, "host")
+    share = F.when(F.col("hash").bitwiseAND(1) == 1, CONTAINER_SHARE).otherwise(SHARE)
+    return often.where(F.col("pages") >= share * F.col("every")).groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

@@ -164,6 +164,20 @@ def test_main_text_of_pages(spark):
     assert op5_html_text.main_texts(df.where("false")).count() == 0
 
 
+def test_templates_are_judged_by_distinct_pages(spark):
+    story = "<article><div><p>The story</p></div><section><p>Its end</p></section></article>"
+    rows = [(i, f"http://a.example/{i}", f"{story}<i>{i}</i>") for i in range(6)]  # one article under many URLs
+    rows += [(10 + i, "http://a.example/other", f"<article><p>Other {i}</p></article>") for i in range(4)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<article><p>Page {i}</p><p>Like <b>all</b></p>"
+              + "<section><p>Maintenance on Sunday</p></section>" * (i % 10 == 0) + "</article>") for i in range(60)]
+    rows += [(200 + i, f"http://c.example/{i}", f"<p>Page {i}{' <b>bold</b>' * (i % 10 == 0)}</p>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in _rows(op5_html_text.main_texts(df))}
+    assert all(got[i] == "The story\nIts end" for i in range(6))
+    assert all(got[100 + i] == f"Page {i}\nLike all" for i in range(60))
+    assert got[200] == "Page 0 bold" and got[201] == "Page 1"
+
+
 def test_pages_of_any_depth_keep_their_text():
     assert op5_html_text.main_text("<div>" * 30_000 + "deep", frozenset()) == "deep"
     unclosed = "".join(f"<font>line {i}<br>" for i in range(30_000))
