@@ -7,7 +7,9 @@
    elements per page / SHARE and its containers per page / CONTAINER_SHARE of them at most.
 2. Pages meet their host's templates in a join on the host (an adaptive skew join splits a host with many pages). A page is
    parsed again, its template subtrees are deleted, and so are elements that are never main text: by tag (nav, footer,
-   form, script, ...), role, or the first word of a class or id (ad, sidebar, comments, ...). What is left of the article
+   form, script, ...), role, the first word of a class (ad, sidebar, comments, ...) or a whole id that is known (ids of
+   headings and sections are often made of their titles). Inside the article a name deletes only containers and lists, and
+   an id never deletes a heading or paragraph. What is left of the article
    (else of the main element, else of the body) gives the blocks.
 
 Inside the article only containers (div, section, ...) can be templates: a paragraph that many pages share is still
@@ -58,6 +60,15 @@ NEVER_NAMES = re.compile(
     r"social|related|recommended|recommendations|comments?|disqus|discussion|replies|widget|toolbar|pagination|pager|"
     r"skip)([-_].*)?$", re.I)
 CONTAINERS = frozenset("div section aside form nav header footer menu dialog".split())
+NEVER_IDS = re.compile(
+    r"(ads?|advert(s|isements?|ising)?|adsense|sponsors|sponsored(-(links|posts|content))?|banner|(left|right|site|page|main)-(sidebar|"
+    r"nav|navigation|menu|footer)|side-?bar(-(left|right))?|nav|nav-?bar|navigation|nav-menu|menu|breadcrumbs?|footer|masthead|topbar|"
+    r"cookies?-(bar|banner|notice|consent|popup|law-info-bar)|consent-(banner|popup)|gdpr-(banner|consent|notice)|popup|modal|"
+    r"overlay|newsletter-(signup|form|box)|subscribe-(form|box)|(share|sharing|social)-(bar|buttons?|links?|icons?|widget)|"
+    r"(related|recommended)-(posts|articles|stories|links|content|news)|comments?|comments?-(list|section|area|form|wrapper|box)|respond|"
+    r"disqus(-thread)?|widgets?|widget-area|toolbar|pagination|pager|skip-(link|nav|to-content))(-?[0-9]+)?", re.I)
+NAMED = CONTAINERS | frozenset("ul ol".split())
+ID_KEPT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>"""
                     r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z!/?][^>]*\Z""", re.S)
@@ -65,17 +76,19 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"
 
 
 class Element:
-    __slots__ = ("tag", "names", "role", "children")
+    __slots__ = ("tag", "classes", "id", "role", "children")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.names, self.role, self.children = tag, "", "", []
+        self.tag, self.classes, self.id, self.role, self.children = tag, "", "", "", []
         if attributes and "=" in attributes:
             for k, v in _ATTRIBUTE.findall(attributes):
                 v = html.unescape(v.strip("\"'"))
                 if k.lower() == "role":
                     self.role = v.lower()
+                elif k.lower() == "id":
+                    self.id = v.strip()
                 else:
-                    self.names = f"{self.names} {v}".strip()
+                    self.classes = f"{self.classes} {v}".strip()
 
 
 def parse(page: str) -> Element:
@@ -139,11 +152,15 @@ def never_text(e: Element, in_article: bool) -> bool:
         return True
     if e.tag == "header" and not in_article:
         return True
-    return bool(e.names) and e.tag not in ("html", "body", "article", "main") and any(map(NEVER_NAMES.match, e.names.split()))
+    if not (e.classes or e.id) or e.tag in ("html", "body", "article", "main") or in_article and e.tag not in NAMED:
+        return False
+    if e.id and e.tag not in ID_KEPT and NEVER_IDS.fullmatch(e.id.replace("_", "-")):
+        return True
+    return any(map(NEVER_NAMES.match, e.classes.split()))
 
 
 def _state(e: Element):
-    return xxhash.xxh3_64(f"{e.tag}\x00{e.names}\x00".encode())
+    return xxhash.xxh3_64(f"{e.tag}\x00{e.classes}\x00{e.id}\x00".encode())
 
 
 def subtrees(root: Element):

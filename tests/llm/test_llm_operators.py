@@ -178,6 +178,18 @@ def test_templates_are_judged_by_distinct_pages(spark):
     assert got[200] == "Page 0 bold" and got[201] == "Page 1"
 
 
+def test_names_made_of_titles_keep_their_text():
+    parts = ('<section id="discussion"><p>A</p></section>', '<h2 id="side-effects">B</h2>', '<h2 id="related-work">C</h2>',
+             '<div id="share-prices">D</div>', '<h3 id="social-policy">E</h3>', '<p id="notice-period">F</p>', '<h2 id="comments">G</h2>',
+             '<p id="menu">H</p>')
+    for page in ("<article>{}</article>", "<main>{}</main>", "<body>{}</body>"):
+        assert op5_html_text.main_text(page.format("".join(parts)), frozenset()) == "A\nB\nC\nD\nE\nF\nG\nH"
+        for gone in ('<div id="comments">x</div>', '<div id="disqus_thread">x</div>', '<div id="sidebar">x</div>', '<ul id="share-bar">x</ul>',
+                     '<section class="comment-list">x</section>', '<div id="ad-1">x</div>', '<div class="lead share">x</div>'):
+            assert op5_html_text.main_text(page.format("<p>y</p>" + gone), frozenset()) == "y"
+    assert op5_html_text.main_text('<article><p>y <b class="notice">z</b></p><h2 class="related">w</h2></article>', frozenset()) == "y z\nw"
+
+
 def test_pages_of_any_depth_keep_their_text():
     assert op5_html_text.main_text("<div>" * 30_000 + "deep", frozenset()) == "deep"
     unclosed = "".join(f"<font>line {i}<br>" for i in range(30_000))
