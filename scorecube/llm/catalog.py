@@ -19,6 +19,9 @@ OPERATORS = [
     ("op4_decontamination", "op4_winnowing_decontamination"),
     ("op7_near_dedup", "op7_minhash_near_dedup"),
     ("op10_substrings", "op10_substring_dedup"),
+    ("op11_token_files", "op11_token_files"),
+    ("op12_alignment", "op12_token_alignment"),
+    ("op13_spelling", "op13_spelling_variants"),
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
