@@ -268,7 +268,7 @@ def _random_words(rng, n, letters, short, long):
 
 
 @pytest.mark.parametrize("letters,short,long,index", [
-    ("ab", 7, 12, {}), ("ab", 1, 9, {}), ("abc", 7, 9, {"hot_list": 1}), ("ab", 1, 6, {"hot_list": 3, "least_frequent": 1}),
+    ("ab", 7, 12, {}), ("ab", 1, 9, {}), ("abc", 7, 9, {"hot_list": 1}), ("abc", 1, 6, {"hot_list": 3, "least_frequent": 1}),
     ("abcdeéœ\U0001f600", 7, 40, {"least_frequent": 2, "share": 1e-3}), ("aab", 5, 30, {"least": 3, "most": 4}),
     ("abcdefgh", 7, 8, {"least_frequent": 1, "share": 0.0, "hot_list": 5})])
 def test_near_words_equal_brute_force(spark, letters, short, long, index):
