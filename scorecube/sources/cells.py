@@ -30,7 +30,8 @@ from .tables import read_table, table_path
 # ---------------------------------------------------------------------------------------------
 SUPPRESS_BELOW = 11
 MET_QUANTITY = 25
-YEAR_SHIFT = 20
+#: order years in turn take the places of the tested years, so the untested year stays a hole and no order is left out
+FIRST_ORDER_YEAR = 1995
 EL_SEGMENTS = ("BUILDING", "HOUSEHOLD")
 # id, name, category
 STUDENT_GROUPS = (
@@ -73,15 +74,18 @@ def _group_ids(seg, prio_lt4):
     ))
 
 
+def _tested_year(order_year):
+    """The tested year at the order year's place (``C.YEARS`` and on): years from the hole on are one later."""
+    year = order_year + (C.YEARS[0] - FIRST_ORDER_YEAR)
+    return F.when(year >= 2020, year + 1).otherwise(year)
+
+
 def derive_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = (read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-              # the 2020 hole: a range predicate Parquet can push down
-              .filter((F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
-                      | (F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))))
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customer = read_table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
     oc = (orders.join(customer, orders.o_custkey == customer.c_custkey)
           .select("o_orderkey",
-                  (F.year("o_orderdate") + YEAR_SHIFT).alias("year"),
+                  _tested_year(F.year("o_orderdate")).alias("year"),
                   F.col("c_mktsegment").alias("seg"),
                   (F.col("o_orderpriority") < F.lit("4")).alias("prio_lt4")))
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -192,23 +196,28 @@ CELLS_SQL = f"""
 sg_map(seg, gid) AS (VALUES {_sql_values(_SEG_GROUPS)}),
 sg_names(gid, gname, gcat) AS (VALUES {_sql_values(STUDENT_GROUPS)}),
 test_names(tid, tname) AS (VALUES {_sql_values(TESTS)}),
+order_years AS (
+  SELECT DISTINCT year(o_orderdate) AS order_year,
+         CAST(year(o_orderdate) + {C.YEARS[0] - FIRST_ORDER_YEAR}
+              + CASE WHEN year(o_orderdate) + {C.YEARS[0] - FIRST_ORDER_YEAR} >= 2020 THEN 1 ELSE 0 END AS INTEGER) AS year
+  FROM orders),
 cell_base AS (
-  SELECT CAST(year(o.o_orderdate) + {YEAR_SHIFT} AS INTEGER) AS year,
+  SELECT y.year,
          CASE WHEN l.l_linenumber <= 6 THEN l.l_linenumber + 2 ELSE 11 END AS grade,
          CASE WHEN l.l_linestatus = 'O' THEN 1 ELSE 2 END AS test_id,
          lpad(CAST(n.n_regionkey + 1 AS VARCHAR), 2, '0') AS county_code, r.r_name AS county_name,
          lpad(CAST(n.n_nationkey + 1 AS VARCHAR), 5, '0') AS district_code, n.n_name AS district_name,
          lpad(CAST(s.s_suppkey AS VARCHAR), 7, '0') AS school_code, s.s_name AS school_name,
-         CASE WHEN s.s_suppkey % 10 = 9 AND year(o.o_orderdate) + {YEAR_SHIFT} >= 2018 THEN 9 ELSE 7 END AS school_type,
+         CASE WHEN s.s_suppkey % 10 = 9 AND y.year >= 2018 THEN 9 ELSE 7 END AS school_type,
          c.c_mktsegment AS seg, o.o_orderpriority < '4' AS prio_lt4,
          CASE WHEN l.l_quantity > {MET_QUANTITY} THEN 1 ELSE 0 END AS met
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN order_years y ON y.order_year = year(o.o_orderdate)
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN supplier s ON l.l_suppkey = s.s_suppkey
   JOIN nation n ON s.s_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
-  WHERE year(o.o_orderdate) + {YEAR_SHIFT} <> 2020
 ),
 cell_members AS (
   SELECT b.*, m.gid AS student_group_id FROM cell_base b JOIN sg_map m ON b.seg = m.seg

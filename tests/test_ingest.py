@@ -1,15 +1,21 @@
 """Ingestion edge cases: archive members, sniffing, quoting, Latin-1, quarantine, first-row-wins, null keys,
 and the incremental (streaming) path."""
 
+import csv
+import io
 import os
+import random
 import zipfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from scorecube.sources.archives import discover_archives, unpack
+from scorecube.sources.archives import discover_archives, read_members, record_blocks, unpack
 from scorecube.sources.conform import conform_year, ingest
 from scorecube.sources.layouts import headers, member_frame
-from scorecube.streaming.incremental import read_incremental_fact, start_incremental_ingest
+from scorecube.streaming.incremental import (read_incremental_fact, read_incremental_quarantine, read_incremental_status,
+                                             start_incremental_ingest)
 
 
 def _zip(path, members: dict):
@@ -90,7 +96,7 @@ def test_first_entity_row_wins_and_null_keys(spark, tmp_dir):
 
 def test_incremental_ingest(spark, tmp_dir):
     from scorecube.sources.cells import cells
-    from scorecube.sources.render import render_archives
+    from render import render_archives
 
     src = cells(spark, "/root/testdata/sf0.001").filter(F.col("type_id") == 4)
     root = os.path.join(tmp_dir, "raw")
@@ -112,7 +118,7 @@ def test_incremental_ingest(spark, tmp_dir):
 
 def test_full_roundtrip_small(spark, tmp_dir):
     from scorecube.sources.cells import cells
-    from scorecube.sources.render import render_archives
+    from render import render_archives
 
     src = cells(spark, "/root/testdata/sf0.001").filter(F.col("type_id").isin(4, 5) & F.col("year").isin(2015, 2018, 2021))
     root = os.path.join(tmp_dir, "raw")
@@ -149,7 +155,7 @@ def test_empty_lookups_are_typed(spark):
 
 def test_keep_extra_columns(spark, tmp_dir):
     from scorecube.sources.cells import cells
-    from scorecube.sources.render import render_archives
+    from render import render_archives
 
     src = cells(spark, "/root/testdata/sf0.001").filter((F.col("type_id") == 4) & F.col("year").isin(2015, 2021))
     root = os.path.join(tmp_dir, "raw")
@@ -203,7 +209,7 @@ def test_incremental_new_version_replaces_year(spark, tmp_dir):
     import shutil
 
     from scorecube.sources.cells import cells
-    from scorecube.sources.render import render_archives
+    from render import render_archives
 
     src = cells(spark, "/root/testdata/sf0.001").filter(F.col("type_id") == 4)
     root = os.path.join(tmp_dir, "raw")
@@ -269,7 +275,7 @@ def test_co_occurring_aliases_coalesced(spark, tmp_dir):
 
 def test_incremental_equals_batch_ingest(spark, tmp_dir):
     from scorecube.sources.cells import cells
-    from scorecube.sources.render import render_archives
+    from render import render_archives
 
     src = cells(spark, "/root/testdata/sf0.001").filter(F.col("type_id").isin(4, 5) & F.col("year").isin(2015, 2018, 2021))
     root = os.path.join(tmp_dir, "raw")
@@ -298,3 +304,129 @@ def test_bad_years_are_reported_and_the_others_kept(spark, tmp_dir):
     assert status[2017][0] == 0 and "entities member lacks" in status[2017][1]
     assert status[2018][0] == 0 and "data member lacks test_type" in status[2018][1]
     assert status[2019] == (0, "archive not found")
+
+
+# ---- records, members, damage ---------------------------------------------------------------------------------------
+ENTS = "County Code^District Code^School Code^County Name^District Name^School Name^Type Id\n"
+
+
+def test_a_quoted_line_break_stays_in_its_field(spark, tmp_dir):
+    data = HDR + "01^00000^0000000^2016^1^B^2^3^30^40\n"
+    for k, (written, want) in enumerate((('"Al\npha"', "Al\npha"), ('"Al\r\npha ""x"""', 'Al\r\npha "x"'), ('5" Alpha', '5" Alpha'))):
+        ok, _ = _conform(spark, os.path.join(tmp_dir, str(k)), data, ENTS + f"01^00000^0000000^{written}^^^5\n")
+        assert [r["county_name"] for r in ok.collect()] == [want]
+
+
+@pytest.mark.parametrize("sep,block", [(b",", 7), (b"^", 64), (b"^", 1 << 20)])
+def test_blocks_are_whole_records(sep, block):
+    """Cut anywhere, the records are those of the csv module; a block is no longer than what was read and the record it ends in."""
+    rng = random.Random(4)
+    rows = [[rng.choice(["", "a", "x y", 'say "hi"', "two\nlines", "cr\rlf\r\n", sep.decode(), "caf\xe9", '"', "\n"])
+             for _ in range(4)] for _ in range(300)]
+    text = io.StringIO()
+    csv.writer(text, delimiter=sep.decode(), lineterminator="\n").writerows(rows)
+    f = io.BytesIO(text.getvalue().encode("latin-1"))
+    blocks = list(record_blocks(f.read, sep, block))
+    assert all(len(b) <= block + 2000 for b in blocks)
+    lines = [x.replace("\ue000", "\n").replace("\ue001", "\r") for b in blocks for x in b.split("\n") if x]
+    got = [next(csv.reader(io.StringIO(x, newline=""), delimiter=sep.decode())) for x in lines]
+    assert got == rows
+
+
+def test_a_quote_that_is_never_closed_is_an_error():
+    for text in (b'a,"b\nc,d\n', b'"' + b"x" * 5000):
+        with pytest.raises(ValueError, match="EOF inside string|not closed"):
+            list(record_blocks(io.BytesIO(text).read, b",", 16, most=1000))
+
+
+def test_members_are_read_by_tasks_of_their_own(spark, tmp_dir):
+    a = os.path.join(tmp_dir, "a")
+    for year in (2016, 2017):
+        _zip(os.path.join(a, f"sb_ca{year}_all_csv_v1.zip"), {"d.txt": HDR.encode(), "x_entities.txt": ENTS.encode()})
+    arch = discover_archives(spark, a).select(F.lit("data").alias("tag"), "year", "path")
+    blocks = read_members(spark, arch)
+    got = blocks.select("year", "kind", F.spark_partition_id().alias("p")).collect()
+    assert {(r["year"], r["kind"]) for r in got} == {(y, k) for y in (2016, 2017) for k in ("data", "entities")}
+    assert len({r["p"] for r in got}) == 4
+
+
+def _damage(path, member):
+    """Flips a byte inside the member's deflate stream."""
+    with zipfile.ZipFile(path) as zf:
+        info = zf.getinfo(member)
+        at = info.header_offset + 30 + len(info.filename) + info.compress_size // 2
+    with open(path, "r+b") as f:
+        f.seek(at)
+        byte = f.read(1)
+        f.seek(at)
+        f.write(bytes([byte[0] ^ 0xFF]))
+
+
+def _release(path, year, rows, county="Alpha"):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        zf.writestr(f"sb_ca{year}_all_csv.txt", HDR + "".join(rows))
+        zf.writestr(f"sb_ca{year}entities.txt", ENTS + f"01^00000^0000000^{county}^^^5\n")
+
+
+@pytest.mark.parametrize("member", ["sb_ca2016_all_csv.txt", "sb_ca2016entities.txt"])
+def test_a_damaged_member_costs_its_own_year(spark, tmp_dir, member):
+    a = os.path.join(tmp_dir, "a")
+    rows = {y: [f"01^00000^0000000^{y}^1^B^2^{g}^{30 + k}^40\n" for g in (3, 4, 5) for k in range(400)] for y in (2015, 2016)}
+    for y, r in rows.items():
+        _release(os.path.join(a, f"sb_ca{y}_all_csv_v1.zip"), y, r)
+    _damage(os.path.join(a, "sb_ca2016_all_csv_v1.zip"), member)
+    ing = ingest(spark, a, os.path.join(tmp_dir, "none"), out_path=os.path.join(tmp_dir, "fact"))
+    status = {r["year"]: (r["rows"], r["error"]) for r in ing.status.collect()}
+    assert status[2015] == (1200, None)
+    assert status[2016][0] == 0 and status[2016][1]
+    assert {r["year"] for r in ing.fact.select("year").distinct().collect()} == {2015}
+    with open(os.path.join(a, "sb_ca2016_all_csv_v2.zip"), "wb") as f:  # no zip at all, and the newest version
+        f.write(b"not an archive" * 100)
+    status = {r["year"]: (r["rows"], r["error"]) for r in ingest(spark, a, os.path.join(tmp_dir, "none")).status.collect()}
+    assert status[2015] == (1200, None) and status[2016][0] == 0 and "BadZipFile" in status[2016][1]
+
+
+def _table(spark, fact):
+    return sorted(tuple(str(x) for x in r) for r in read_incremental_fact(spark, fact).select(
+        "year", "grade", "county_name", "students_tested", "pct_met_and_above").collect())
+
+
+def test_the_ledger_keeps_the_newest_version_of_each_year(spark, tmp_dir):
+    """A late older version, a damaged newer one and a row of another year leave what is there unchanged."""
+    a, none, fact, ckpt = (os.path.join(tmp_dir, x) for x in ("a", "none", "fact", "ckpt"))
+
+    def run():
+        start_incremental_ingest(spark, a, none, fact, ckpt).awaitTermination(300)
+        return _table(spark, fact)
+    row = "01^00000^0000000^{}^1^B^2^{}^{}^40\n"
+    _release(os.path.join(a, "sb_ca2015_all_csv_v2.zip"), 2015, [row.format(2015, 3, 30), row.format(2015, 4, "12.5")])
+    first = run()
+    assert [r[:4] for r in first] == [("2015", "3", "Alpha", "30")]
+    assert [(r["src_year"], r["reason"]) for r in read_incremental_quarantine(spark, fact).collect()] == [
+        (2015, "students_tested not a int integer")]
+    _release(os.path.join(a, "sb_ca2015_all_csv_v1.zip"), 2015, [row.format(2015, 3, 99)])
+    assert run() == first
+    _release(os.path.join(a, "sb_ca2016_all_csv_v1.zip"), 2016, [row.format(2016, 3, 50), row.format(2015, 5, 51)])
+    second = run()
+    assert [r for r in second if r in first] == first and len(second) == 3  # the stray row is there and replaces nothing
+    path = os.path.join(a, "sb_ca2015_all_csv_v3.zip")
+    _release(path, 2015, [row.format(2015, 3, 31)] * 500)
+    _damage(path, "sb_ca2015_all_csv.txt")
+    assert run() == second
+    _release(os.path.join(a, "sb_ca2015_all_csv_v4.zip"), 2015, [row.format(2015, 3, 77)])
+    assert [r[:4] for r in run() if r[1] == "3"] == [("2015", "3", "Alpha", "77"), ("2016", "3", "Alpha", "50")]
+    seen = sorted((r["year"], r["version"], r["state"]) for r in read_incremental_status(spark, fact).collect())
+    assert seen == [(2015, 1, "superseded"), (2015, 2, "read"), (2015, 3, "failed"), (2015, 4, "read"), (2016, 1, "read")]
+
+
+def test_a_batch_is_committed_once(spark, tmp_dir):
+    from scorecube.streaming.ledger import Ledger
+
+    ledger = Ledger(spark, tmp_dir)
+    assert ledger.current() == {} and not ledger.has(0)
+    ledger.commit(0, [{"year": 2015, "version": 2, "state": "read", "rows": 1, "folder": "x"}])
+    ledger.commit(1, [{"year": 2015, "version": 3, "state": "failed", "error": "e"}, {"year": 2016, "version": 1, "state": "read"}])
+    assert ledger.has(0) and {y: (e["version"], e["batch"]) for y, e in ledger.current().items()} == {2015: (2, 0), 2016: (1, 1)}
+    ledger.commit(0, [{"year": 2015, "version": 9, "state": "read"}])  # a batch run again finds itself there
+    assert ledger.current()[2015]["version"] == 2

@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from scorecube import jobs
 from scorecube.sources.cells import cells
-from scorecube.sources.render import render_archives
+from render import render_archives
 
 QUERIES = E.queries()
 

@@ -63,7 +63,7 @@ def test_ingest_roundtrip_any_names(spark, tmp_path_factory, county, pct, n, lay
     from pyspark.sql import functions as F
 
     from scorecube.sources.conform import ingest
-    from scorecube.sources.render import render_archives
+    from render import render_archives
 
     row = dict(year=2019, type_id=5, county_code="07", county_name=county, district_code="00000", district_name="",
                school_code="0000000", school_name="", test_id=2, test_name="Mathematics", student_group_id=1,
