@@ -105,23 +105,57 @@ def grade_label(grade="grade") -> Column:
     return F.format_string("Grade %d", col_(grade))
 
 
-def _tenths(v) -> Column:
-    # round half away from zero on |v| * 10, computed identically by any engine (no printf rounding)
-    return F.floor(F.abs(col_(v)) * 10 + 0.5).cast("long")
+SPLITTER = float((1 << 27) + 1)
 
 
-def pct_label(v) -> Column:
+def scaled_half_even(v, scale: int) -> Column:
+    """|v| * scale as the nearest integer, ties to even, decided on the exact value of the double.
+
+    The whole part is scaled as an integer. The product of the rest is error-free: the double is split into two halves of 26
+    bits (Veltkamp), so that ``high * scale`` and ``low * scale`` are exact, and what rounding the full product lost is
+    known (Dekker). ``scale`` has 20 bits at most."""
+    v = F.abs(col_(v))
+    whole = F.floor(v)
+    rest = v - whole.cast("double")
+    big = rest * F.lit(SPLITTER)
+    high = big - (big - rest)
+    low = rest - high
+    product = rest * F.lit(float(scale))
+    lost = (high * F.lit(float(scale)) - product) + low * F.lit(float(scale))
+    below = F.floor(product)
+    over = (product - below.cast("double")) - F.lit(0.5)  # exact: both are multiples of the product's last place
+    result = whole * scale + below
+    up = (over > -lost) | ((over == -lost) & (result % 2 != 0))
+    return (result + F.when(up, F.lit(1)).otherwise(F.lit(0))).cast("long")
+
+
+def _fixed(v, digits: int) -> Column:
+    """|v| with ``digits`` decimals."""
+    if not digits:
+        return scaled_half_even(v, 1).cast("string")
+    t = scaled_half_even(v, 10 ** digits)
+    return F.concat(F.floor(t / 10 ** digits).cast("string"), F.lit("."), F.lpad((t % 10 ** digits).cast("string"), digits, "0"))
+
+
+def fixed_label(v, digits: int = 1, plus: str = "") -> Column:
+    """P15 – the number with ``digits`` decimals, rounded half to even on its exact value; a negative one keeps its sign at zero."""
+    sign = F.when(col_(v) < 0, F.lit("-")).otherwise(F.lit(plus))
+    return F.when(col_(v).isNotNull(), F.concat(sign, _fixed(v, digits)))
+
+
+def pct_label(v, digits: int = 1) -> Column:
     """P15 – ``12.3%``."""
-    t = _tenths(v)
-    return F.when(col_(v).isNotNull(), F.format_string(
-        "%s%d.%d%%", F.when((col_(v) < 0) & (t > 0), F.lit("-")).otherwise(F.lit("")), F.floor(t / 10).cast("long"), t % 10))
+    return F.concat(fixed_label(v, digits), F.lit("%"))
 
 
 def signed_label(v) -> Column:
     """P15 – ``+1.2`` / ``-0.4``."""
-    t = _tenths(v)
-    return F.when(col_(v).isNotNull(), F.format_string(
-        "%s%d.%d", F.when(col_(v) < 0, F.lit("-")).otherwise(F.lit("+")), F.floor(t / 10).cast("long"), t % 10))
+    return fixed_label(v, 1, "+")
+
+
+def start_end_label(start, end, g_from: int, g_to: int) -> Column:
+    """P15 – ``Gr3=41%  →  Gr8=37%``."""
+    return F.concat(F.lit(f"Gr{g_from}="), pct_label(start, 0), F.lit(f"  →  Gr{g_to}="), pct_label(end, 0))
 
 
 def sign_class(v) -> Column:
@@ -137,7 +171,3 @@ def clipped_size(n, fill: int = 20, factor: int = 3, lo: int = 20, hi: int = 800
 def finite(v) -> Column:
     """P20 – null and NaN both count as missing."""
     return col_(v).isNotNull() & ~F.isnan(col_(v))
-
-
-def round6(v) -> Column:
-    return F.round(col_(v), 6)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.exprs import finite
 
 
 def weighted_average(df: DataFrame, keys, value: str = C.PCT, weight: str = C.N,
@@ -16,7 +17,7 @@ def weighted_average(df: DataFrame, keys, value: str = C.PCT, weight: str = C.N,
     Keys with no surviving row are absent; null keys are dropped (as a pandas groupby would)."""
     keys = list(keys)
     v, w = F.col(value), F.col(weight)
-    ok = v.isNotNull() & ~F.isnan(v) & w.isNotNull() & (w > 0)
+    ok = finite(v) & w.isNotNull() & (w > 0)
     for k in keys:
         ok = ok & F.col(k).isNotNull()
     return (df.filter(ok).groupBy(*keys)
@@ -60,7 +61,7 @@ def bounds(df: DataFrame, keys, value: str, pad: float, lo: float | None = 0.0,
     y_hi = F.least(F.lit(hi), vmax) if hi is not None else vmax
     if empty_lo is not None:
         y_lo, y_hi = F.coalesce(y_lo, F.lit(float(empty_lo))), F.coalesce(y_hi, F.lit(float(empty_hi)))
-    return (df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys)
+    return (df.filter(finite(value)).groupBy(*keys)
             .agg(y_lo.cast("double").alias("y_lo"), y_hi.cast("double").alias("y_hi")))
 
 
@@ -92,3 +93,12 @@ def selection_status(df: DataFrame, keys, year: str = "year") -> DataFrame:
     """A13 – rows and sorted distinct years per key."""
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"),
                                   F.array_sort(F.collect_set(year)).alias("years")))
+
+
+def distinct_small(column: str, name: str):
+    """A10 – how many distinct values a 16-bit integer column has, as one aggregate over bitmaps: a bit for each value, in one bitmap
+    of 32,768 bits for the values from 0 on and one for those below. Bitmaps unite in any order, so the aggregate is partial on
+    the map side and needs no ``Expand`` beside others."""
+    def ones(cond: str, shift: int) -> str:
+        return f"bitmap_count(bitmap_construct_agg(bitmap_bit_position(int({column}) + {shift})) FILTER (WHERE {column} {cond}))"
+    return F.expr(f"{ones('>= 0', 1)} + {ones('< 0', 32769)}").alias(name)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.exprs import finite
 from .select import min_points
 
 
@@ -47,20 +48,21 @@ def start_end(df: DataFrame, keys=(), g_from: int = 3, g_to: int = 8, value: str
     ordk = F.struct(*[F.col(c) for c in order if c in df.columns])
     s = F.min_by(F.when(g == g_from, F.col(value)), F.when(g == g_from, ordk))
     e = F.min_by(F.when(g == g_to, F.col(value)), F.when(g == g_to, ordk))
-    ok = F.col(value).isNotNull() & ~F.isnan(value)
-    return (df.dropna(subset=["cohort_year"]).filter(ok & g.isin(g_from, g_to)).groupBy(*part)
+    return (df.dropna(subset=["cohort_year"]).filter(finite(value) & g.isin(g_from, g_to)).groupBy(*part)
             .agg(s.alias("start_pct"), e.alias("end_pct"))
             .dropna(subset=["start_pct", "end_pct"]))
 
 
 def recent_split(df: DataFrame, from_year: int) -> tuple[DataFrame, DataFrame]:
-    """F14/J17/U7 – (recent cohorts, older cohorts)."""
-    recent = df.filter(F.col("cohort_year") >= from_year)
-    older = df.join(recent.select("cohort_year").distinct(), "cohort_year", "left_anti")
-    return recent, older
-
-
-def common_cohorts(a: DataFrame, b: DataFrame, keys=()) -> DataFrame:
-    """U4 – cohorts present on both sides."""
-    cols = list(keys) + ["cohort_year"]
-    return a.select(*cols).distinct().intersect(b.select(*cols).distinct())
+    """F14/J17/U7 – (recent cohorts, older cohorts): a cohort is recent by its own year, so the sets are complements."""
+    return df.filter(F.col("cohort_year") >= from_year), df.filter(F.col("cohort_year") < from_year)
+
+
+def common_cohorts(df: DataFrame, side: str, sides, keys=()) -> DataFrame:
+    """U4 – the rows of cohorts that every one of ``sides`` (values of the column ``side``) has: a mask of sides per cohort, over a
+    window of the cohort's few rows, instead of an intersection and a semi join."""
+    bit = F.lit(0)
+    for i, value in enumerate(sides):
+        bit = bit.bitwiseOR(F.when(F.col(side) == value, F.lit(1 << i)).otherwise(F.lit(0)))
+    mask = F.bit_or(bit).over(Window.partitionBy(*keys, "cohort_year"))
+    return df.withColumn("_mask", mask).filter(F.col("_mask") == (1 << len(sides)) - 1).drop("_mask")

@@ -32,12 +32,13 @@ def mix_frame(df: DataFrame, keys=(), part: str = C.SG_EL, rest: str = C.SG_FLUE
 
 
 def counterfactual(mix: DataFrame, keys, base_year: int = C.YEARS[0]) -> DataFrame:
-    """P19 – performance had the part share stayed at its base-year value (null when the base year is absent)."""
+    """P19 – performance had the part share stayed at its base-year value; a series without the base year has no rows."""
     if not keys:
         raise ValueError("counterfactual needs the series keys (a keyless window would run in one task)")
     w = Window.partitionBy(*keys)
     base = F.max(F.when(F.col("year") == base_year, F.col("el_pct"))).over(w) / 100
-    return mix.withColumn("simulated_perf", base * F.col("el_perf") + (1 - base) * F.col("fluent_perf"))
+    mix = mix.withColumn("_base", base).filter(F.col("_base").isNotNull())
+    return mix.withColumn("simulated_perf", F.col("_base") * F.col("el_perf") + (1 - F.col("_base")) * F.col("fluent_perf")).drop("_base")
 
 
 def contributions(mix: DataFrame) -> DataFrame:

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.exprs import label_part_after, label_part_before
-
 
 def level_pred(type_ids) -> Column:
     """F3 – entity level: one type id or a set (school = 7 and 9)."""
@@ -22,28 +20,12 @@ def name_contains_pred(col: str, pattern: str, type_ids) -> Column:
     return level_pred(type_ids) & F.coalesce(F.col(col).rlike("(?i)" + pattern), F.lit(False))
 
 
-def group_pred(names=None, ids=None) -> Column:
-    """F4 – student group by exact name(s) or id(s)."""
-    if names is not None:
-        names = (names,) if isinstance(names, str) else tuple(names)
-        return F.col("student_group_name").isin(*names)
-    ids = (ids,) if isinstance(ids, int) else tuple(ids)
-    return F.col("student_group_id").isin(*ids)
-
 
 def subject_pred(test_id: int) -> Column:
     """F5."""
     return F.col("test_id") == test_id
 
 
-def drop_null(df: DataFrame, *cols: str) -> DataFrame:
-    """F8."""
-    return df.dropna(subset=list(cols))
-
-
-def positive(df: DataFrame, col: str = C.N) -> DataFrame:
-    """F9."""
-    return df.filter(F.col(col) > 0)
 
 
 def scored(df: DataFrame) -> DataFrame:
@@ -88,28 +70,20 @@ def empty_like(df: DataFrame) -> DataFrame:
     return df.filter(F.lit(False))
 
 
-def select_by_label(df: DataFrame, labels: DataFrame, entity_type: str) -> DataFrame:
-    """Q71 / F7 / P12 – rows of the entities named by display labels (many labels at once).
+def label_pred(label: str, entity_type: str) -> Column:
+    """Q71 / F7 / P12 – the rows of the entity named by a display label, as a predicate that reaches the scan.
 
-    ``labels`` has a column ``label``. District: ``name (county)``; school: ``school — district (county)``.
-    A name that itself contains `` (`` is cut at the first occurrence; the school match ignores the county.
-    """
+    District: ``name (county)``; school: ``school — district (county)``. A name that itself contains `` (`` is cut at the
+    first occurrence; the school match ignores the county; a part that the label lacks isn't compared."""
     if entity_type == "State":
-        return df.filter(level_pred(C.TYPE_STATE))
+        return level_pred(C.TYPE_STATE)
     if entity_type == "District":
-        keys = labels.select(
-            label_part_before("label", r" \(").alias("k_district"),
-            F.regexp_replace(label_part_after("label", r" \("), r"\)+$", "").alias("k_county"))
-        cond = ((df.district_name == keys.k_district)
-                & (keys.k_county.isNull() | (df.county_name == keys.k_county)))
-        return df.filter(level_pred(C.TYPE_DISTRICT)).join(keys, cond, "left_semi")
+        name, _, county = label.partition(" (")
+        pred = level_pred(C.TYPE_DISTRICT) & (F.col("district_name") == name.strip(" "))
+        county = county.split(" (")[0].rstrip(")")
+        return pred & (F.col("county_name") == county) if " (" in label else pred
     if entity_type == "School":
-        keys = labels.select(
-            label_part_before("label", " — ").alias("k_school"),
-            label_part_before(label_part_after("label", " — "), r" \(").alias("k_district"))
-        cond = ((df.school_name == keys.k_school)
-                & (keys.k_district.isNull() | (df.district_name == keys.k_district)))
-        return df.filter(level_pred(C.TYPE_SCHOOL)).join(keys, cond, "left_semi")
-    return empty_like(df)
-
-
+        parts = label.split(" — ")
+        pred = level_pred(C.TYPE_SCHOOL) & (F.col("school_name") == parts[0].strip(" "))
+        return pred & (F.col("district_name") == parts[1].partition(" (")[0].strip(" ")) if len(parts) > 1 else pred
+    return F.lit(False)

@@ -29,14 +29,27 @@ def on_spine(df: DataFrame, keys, axis: str, domain, ord_col: str | None = None,
     return out.withColumnRenamed("_ord", ord_col) if ord_col else out.drop("_ord")
 
 
-def gap(a: DataFrame, b: DataFrame, keys, value: str = C.PCT, a_name: str = "a", b_name: str = "b",
+def pivot_sides(df: DataFrame, keys, sides: dict, value: str = C.PCT) -> DataFrame:
+    """J6/J8/J9 – per key one row with a column for each side: ``sides`` maps its name to the condition of its rows.
+
+    One aggregate instead of a self join; a key needs a row on every side (an inner alignment): each side sets its bit in a mask,
+    and only full masks stay. Rows must be unique in (keys, side)."""
+    names = list(sides)
+    bits = F.lit(0)
+    for i, cond in enumerate(sides.values()):
+        bits = bits.bitwiseOR(F.when(cond, F.lit(1 << i)).otherwise(F.lit(0)))
+    out = df.groupBy(*keys).agg(*[F.max(F.when(sides[n], F.col(value))).alias(n) for n in names], F.bit_or(bits).alias("_mask"))
+    return out.filter(F.col("_mask") == (1 << len(names)) - 1).drop("_mask")
+
+
+def gap(df: DataFrame, keys, a_side, b_side, value: str = C.PCT, a_name: str = "a", b_name: str = "b",
         out: str = "gap") -> DataFrame:
-    """J6/J8 – a − b aligned on ``keys`` (inner), rows with a missing side dropped."""
-    keys = list(keys)
-    left = a.select(*keys, F.col(value).alias(a_name))
-    right = b.select(*keys, F.col(value).alias(b_name))
-    return (left.join(right, keys, "inner").dropna(subset=[a_name, b_name])
-            .withColumn(out, F.col(a_name) - F.col(b_name)))
+    """J6/J8 – a − b aligned on ``keys``, rows with a missing side dropped; ``a_side`` and ``b_side`` are conditions on the rows.
+
+    The b value (one row for a key) reaches the key's a rows through a window over the key's few rows: one shuffle, no self join."""
+    b = F.max(F.when(b_side, F.col(value))).over(Window.partitionBy(*keys))
+    return (df.withColumn(b_name, b).filter(a_side).select(*keys, F.col(value).alias(a_name), b_name)
+            .dropna(subset=[a_name, b_name]).withColumn(out, F.col(a_name) - F.col(b_name)))
 
 
 def change(df: DataFrame, keys, order: str, value: str = C.PCT, out: str = "change",
@@ -69,11 +82,3 @@ def index_to_base(df: DataFrame, keys, value: str = C.PCT, axis: str = "year", b
     w = Window.partitionBy(*keys)
     base_v = F.max(F.when(F.col(axis) == base, F.col(value))).over(w)
     return df.withColumn(out, F.try_divide(F.col(value), base_v) * 100)
-
-
-def distinct_union(*dfs: DataFrame) -> DataFrame:
-    """U3 – union of key sets."""
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d)
-    return out.distinct()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..operators.aggregate import distinct_small
 from ..sources.cells import cells
 from .registry import register, with_cells
 
@@ -69,9 +70,9 @@ SELECT count(*) AS rows, count(DISTINCT year) AS n_years, count(DISTINCT grade)
        count(DISTINCT test_id) AS n_tests, count(DISTINCT student_group_id) AS n_groups,
        string_agg(DISTINCT CAST(grade AS VARCHAR), ',' ORDER BY CAST(grade AS VARCHAR)) AS grades FROM cells""")
 def q79_audit_summary(spark, sf_dir):
-    """Totals and distinct domains. Distinct counts run as a partial/final aggregate; domains are small."""
+    """Totals and distinct domains: bitmaps of the values seen, united across partitions (no row is expanded or shuffled)."""
     g = F.array_sort(F.transform(F.collect_set("grade"), lambda x: x.cast("string")))
     return cells(spark, sf_dir).groupBy().agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("year").alias("n_years"),
-        F.countDistinct("grade").alias("n_grades"), F.countDistinct("test_id").alias("n_tests"),
-        F.countDistinct("student_group_id").alias("n_groups"), F.concat_ws(",", g).alias("grades"))
+        F.count(F.lit(1)).alias("rows"), *[distinct_small("year", "n_years"), distinct_small("grade", "n_grades"),
+                                           distinct_small("test_id", "n_tests"), distinct_small("student_group_id", "n_groups")],
+        F.concat_ws(",", g).alias("grades"))

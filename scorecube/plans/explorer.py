@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.exprs import district_label, school_label, subject_id
 from ..operators import aggregate as A
-from ..operators.select import level_pred, nonblank, select_by_label
+from ..operators.ordinal import with_ordinal
+from ..operators.select import label_pred, level_pred, nonblank, tag_sides
 from ..sources.cells import cells
 from .registry import register, with_cells
 
@@ -19,7 +20,7 @@ from .registry import register, with_cells
 @dataclass(frozen=True)
 class ExplorerSpec:
     entity_type: str = "District"        # State | District | School
-    label: str | None = None             # an explicit selector label; else the choices offered for the name below
+    label: str | None = None             # a selector label; else the entity of the name below
     district_name: str = "NATION_1"
     school_name: str = "Supplier#000000001"
     test_name: str = "Mathematics"
@@ -27,7 +28,7 @@ class ExplorerSpec:
     min_state_years: int = 2
 
 
-X = ExplorerSpec()       # the default selection (the SQL oracles are written for it)
+X = ExplorerSpec(label="NATION_1 (AMERICA)")  # the default selection (the SQL oracles are written for it)
 _XS = [X]                # the selection in effect
 
 
@@ -62,52 +63,60 @@ SCHOOL_LABEL_SQL = """CASE WHEN district_name IS NOT NULL AND trim(district_name
 
 @register("q67_district_choices", with_cells(f"""
 d AS (SELECT DISTINCT district_name, county_name FROM cells WHERE type_id = {C.TYPE_DISTRICT})""") + f"""
-SELECT {DISTRICT_LABEL_SQL} AS label FROM d WHERE district_name IS NOT NULL AND trim(district_name) <> ''""")
+SELECT label, row_number() OVER (ORDER BY label) AS ordinal
+FROM (SELECT {DISTRICT_LABEL_SQL} AS label FROM d WHERE district_name IS NOT NULL AND trim(district_name) <> '') AS l""")
 def q67_district_choices(spark, sf_dir):
-    return district_choices(cells(spark, sf_dir))
+    return with_ordinal(district_choices(cells(spark, sf_dir)), "label")
 
 
 @register("q68_school_choices", with_cells(f"""
 s AS (SELECT DISTINCT school_name, district_name, county_name FROM cells WHERE type_id IN (7, 9))""") + f"""
-SELECT {SCHOOL_LABEL_SQL} AS label FROM s WHERE school_name IS NOT NULL AND trim(school_name) <> ''""")
+SELECT label, row_number() OVER (ORDER BY label) AS ordinal
+FROM (SELECT {SCHOOL_LABEL_SQL} AS label FROM s WHERE school_name IS NOT NULL AND trim(school_name) <> '') AS l""")
 def q68_school_choices(spark, sf_dir):
-    return school_choices(cells(spark, sf_dir))
+    return with_ordinal(school_choices(cells(spark, sf_dir)), "label")
 
 
 @register("q69_group_choices", with_cells("""
 r AS (SELECT student_group_id, student_group_name, student_group_category,
              row_number() OVER (PARTITION BY student_group_id ORDER BY year, student_group_name) AS rn FROM cells)""") + """
-SELECT student_group_id, student_group_name, student_group_category FROM r
+SELECT student_group_id, student_group_name, student_group_category,
+       row_number() OVER (ORDER BY student_group_category NULLS LAST, student_group_name, student_group_id) AS ordinal FROM r
 WHERE rn = 1 AND student_group_name IS NOT NULL""")
 def q69_group_choices(spark, sf_dir):
     """First row per group id (in the fact's year order) – an aggregate (min_by), so a hot id is combined
     map-side instead of sorting a third of the table in one window task."""
     first = F.min_by(F.struct("student_group_name", "student_group_category"), F.struct("year", "student_group_name"))
     g = cells(spark, sf_dir).groupBy("student_group_id").agg(first.alias("f"))
-    return (g.select("student_group_id", "f.student_group_name", "f.student_group_category")
-            .dropna(subset=["student_group_name"]))
+    return with_ordinal(g.select("student_group_id", "f.student_group_name", "f.student_group_category")
+                        .dropna(subset=["student_group_name"]), "student_group_category", "student_group_name", "student_group_id")
 
 
 @register("q70_test_choices", with_cells() + """
-SELECT DISTINCT test_id, test_name,
-       CASE WHEN contains(test_name, 'English') OR contains(test_name, 'ELA') THEN 1 ELSE 2 END AS resolved_test_id
-FROM cells WHERE test_id IN (1, 2) AND test_name IS NOT NULL""")
+SELECT *, row_number() OVER (ORDER BY test_id, test_name) AS ordinal FROM (
+  SELECT DISTINCT test_id, test_name,
+         CASE WHEN contains(test_name, 'English') OR contains(test_name, 'ELA') THEN 1 ELSE 2 END AS resolved_test_id
+  FROM cells WHERE test_id IN (1, 2) AND test_name IS NOT NULL) AS t""")
 def q70_test_choices(spark, sf_dir):
     t = (cells(spark, sf_dir).filter(F.col("test_id").isin(*C.TEST_IDS_KEPT) & F.col("test_name").isNotNull())
          .select("test_id", "test_name").distinct())
-    return t.withColumn("resolved_test_id", subject_id("test_name"))
+    return with_ordinal(t.withColumn("resolved_test_id", subject_id("test_name")), "test_id", "test_name")
 
 
 # ---------------------------------------------------------------------------------------------------------
 # Selection by label and comparison grids
 # ---------------------------------------------------------------------------------------------------------
-def _labels(spark, df: DataFrame, spec: ExplorerSpec) -> DataFrame:
-    """The selected label(s): explicit, or the choices offered for the configured name (data-derived)."""
+def _selected_pred(spec: ExplorerSpec):
+    """The rows of the selected entity: those of its label (parsed here into literals), or, without a label, those that the choices
+    offered for the configured name stand for. A choice's label names the entity by the fact's own names, so that is the
+    name itself."""
+    if spec.entity_type == "State":
+        return level_pred(C.TYPE_STATE)
     if spec.label is not None:
-        return spark.createDataFrame([(spec.label,)], "label string")
+        return label_pred(spec.label, spec.entity_type)
     if spec.entity_type == "District":
-        return district_choices(df.filter(F.col("district_name") == spec.district_name))
-    return school_choices(df.filter(F.col("school_name") == spec.school_name))
+        return level_pred(C.TYPE_DISTRICT) & (F.col("district_name") == spec.district_name)
+    return level_pred(C.TYPE_SCHOOL) & (F.col("school_name") == spec.school_name)
 
 
 def _subject_group(df: DataFrame, spec: ExplorerSpec) -> DataFrame:
@@ -116,17 +125,9 @@ def _subject_group(df: DataFrame, spec: ExplorerSpec) -> DataFrame:
     return df.filter((F.col("test_id") == tid) & (F.col("student_group_id") == spec.student_group_id))
 
 
-def _selected(spark, c: DataFrame, spec: ExplorerSpec) -> DataFrame:
-    sg = _subject_group(c, spec)
-    if spec.entity_type == "State":
-        return sg.filter(level_pred(C.TYPE_STATE))
-    return select_by_label(sg, _labels(spark, c, spec), spec.entity_type)
-
-
 SUBJ_X = f"""sg AS (SELECT * FROM cells WHERE test_id = {1 if ('English' in X.test_name or 'ELA' in X.test_name) else 2}
   AND student_group_id = {X.student_group_id})"""
-SEL_DISTRICT = f"""sel AS (SELECT * FROM sg WHERE type_id = 6 AND district_name = {_q(X.district_name)}
-  AND county_name IN (SELECT DISTINCT county_name FROM cells WHERE type_id = 6 AND district_name = {_q(X.district_name)}))"""
+SEL_DISTRICT = f"""sel AS (SELECT * FROM sg WHERE type_id = 6 AND {DISTRICT_LABEL_SQL} = {_q(X.label)})"""
 STATE_X = "st AS (SELECT * FROM sg WHERE type_id = 4)"
 
 
@@ -135,7 +136,8 @@ def _register_selection(key: str, entity_type: str, sel_sql: str):
 SELECT type_id, county_code, district_code, school_code, year, grade, pct_met_and_above, students_tested FROM sel""",
               doubles=(C.PCT,))
     def selection(spark, sf_dir):
-        rows = _selected(spark, cells(spark, sf_dir), replace(_XS[0], entity_type=entity_type))
+        spec = _XS[0] if entity_type == "District" else replace(_XS[0], entity_type=entity_type, label=None)
+        rows = _subject_group(cells(spark, sf_dir), spec).filter(_selected_pred(spec))
         return rows.select("type_id", "county_code", "district_code", "school_code", "year", "grade", C.PCT, C.N)
 
 
@@ -145,44 +147,54 @@ _register_selection("q71_select_school_by_label", "School", SEL_SCHOOL)
 
 
 def _state_and_selected(spark, sf_dir, spec: ExplorerSpec | None = None) -> DataFrame:
-    """State rows and the selected entity's rows, tagged by side (State selected: both sides are the state)."""
+    """State rows and the selected entity's rows, tagged by side, from ONE scan (State selected: both sides are the state)."""
     spec = spec or _XS[0]
-    c = cells(spark, sf_dir)
-    state = _subject_group(c, spec).filter(level_pred(C.TYPE_STATE))
-    sel = _selected(spark, c, spec)
-    return state.withColumn("side", F.lit("state")).unionByName(sel.withColumn("side", F.lit("selected")))
+    levels = {"District": (C.TYPE_DISTRICT,), "School": C.TYPE_SCHOOL}.get(spec.entity_type, ())
+    return tag_sides(_subject_group(cells(spark, sf_dir), spec),
+                     {"state": level_pred(C.TYPE_STATE), "selected": _selected_pred(spec)}, tag="side",
+                     prefilter=level_pred((C.TYPE_STATE, *levels)))
+
+
+def _side_means(rows: DataFrame, *keys: str) -> DataFrame:
+    """Per key: unweighted mean of either side, one aggregate."""
+    return rows.groupBy(*keys).agg(
+        F.avg(F.when(F.col("side") == "state", F.col(C.PCT))).alias("state_value"),
+        F.avg(F.when(F.col("side") == "selected", F.col(C.PCT))).alias("selected_value"),
+        F.count_if(F.col("side") == "state").alias("state_rows"))
 
 
 def cohort_grid(spark, sf_dir, spec: ExplorerSpec | None = None) -> DataFrame:
-    """Q72 – per cohort with ≥ 2 state years: unweighted mean by year, state vs selected (full outer on years)."""
+    """Q72 – per cohort with ≥ 2 state years: unweighted mean by year, state vs selected (full outer on years).
+
+    A cohort's years with state rows are counted in a window over its (at most ten) years."""
     spec = spec or _XS[0]
-    rows = _state_and_selected(spark, sf_dir, spec).dropna(subset=["cohort_year", "year"])
-    st = rows.filter(F.col("side") == "state")
-    ok = A.distinct_count(st, ["cohort_year"], "year", "n_years").filter(F.col("n_years") >= spec.min_state_years)
-    means = rows.groupBy("cohort_year", "year").agg(
-        F.avg(F.when(F.col("side") == "state", F.col(C.PCT))).alias("state_value"),
-        F.avg(F.when(F.col("side") == "selected", F.col(C.PCT))).alias("selected_value"))
-    return means.join(ok.select("cohort_year"), ["cohort_year"], "left_semi")
+    means = _side_means(_state_and_selected(spark, sf_dir, spec).dropna(subset=["cohort_year", "year"]), "cohort_year", "year")
+    years = F.count_if(F.col("state_rows") > 0).over(Window.partitionBy("cohort_year"))
+    return means.withColumn("n_years", years).filter(F.col("n_years") >= spec.min_state_years).drop("state_rows", "n_years")
 
 
 def grade_grid(spark, sf_dir, spec: ExplorerSpec | None = None) -> DataFrame:
-    """Q73 – per grade on the year domain: unweighted mean, state vs selected."""
+    """Q73 – per grade on the year domain: unweighted mean, state vs selected. A grade's years are gathered into a map (at most
+    ten entries) and laid out on the domain, so the grid needs no join."""
     rows = _state_and_selected(spark, sf_dir, spec).dropna(subset=["grade"])
-    means = rows.groupBy("grade", "year").agg(
-        F.avg(F.when(F.col("side") == "state", F.col(C.PCT))).alias("state_value"),
-        F.avg(F.when(F.col("side") == "selected", F.col(C.PCT))).alias("selected_value"))
-    grid = rows.select("grade").distinct().select("grade", F.explode(F.array(*[F.lit(y) for y in C.YEARS])).alias("year"))
-    return grid.join(means, ["grade", "year"], "left")
+    means = _side_means(rows, "grade", "year").groupBy("grade").agg(F.map_from_entries(F.collect_list(F.when(
+        F.col("year").isNotNull(), F.struct("year", F.struct("state_value", "selected_value"))))).alias("by_year"))
+    grid = means.select("grade", "by_year", F.explode(F.array(*[F.lit(y) for y in C.YEARS])).alias("year"))
+    value = F.try_element_at("by_year", F.col("year"))
+    return grid.select("grade", "year", value["state_value"].alias("state_value"), value["selected_value"].alias("selected_value"))
 
 
 def run_status(spark, sf_dir, spec: ExplorerSpec | None = None) -> DataFrame:
     """Q74 – state rows, selected rows, sorted state years."""
     rows = _state_and_selected(spark, sf_dir, spec)
-    yrs = F.array_sort(F.collect_set(F.when(F.col("side") == "state", F.col("year"))))
-    return rows.groupBy().agg(
-        F.count(F.when(F.col("side") == "state", 1)).alias("state_rows"),
-        F.count(F.when(F.col("side") == "selected", 1)).alias("selected_rows"),
-        F.concat_ws(",", F.transform(yrs, lambda y: y.cast("string"))).alias("years"))
+    sides = A.selection_status(rows, ["side"])
+
+    def of(side, column):
+        return F.max(F.when(F.col("side") == side, F.col(column)))
+    zero = F.lit(0).cast("long")
+    return sides.groupBy().agg(
+        F.coalesce(of("state", "rows"), zero).alias("state_rows"), F.coalesce(of("selected", "rows"), zero).alias("selected_rows"),
+        F.concat_ws(",", F.transform(of("state", "years"), lambda y: y.cast("string"))).alias("years"))
 
 
 def _grid_sql(sel_sql: str) -> dict:

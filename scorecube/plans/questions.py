@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.exprs import finite
 from ..operators import aggregate as A
 from ..operators.joins import top_k
 from ..sources.cells import cells
@@ -100,7 +101,7 @@ def n03_subject_gap_by_county(spark, sf_dir):
     """ELA − Math weighted average per county and year (both subjects in one aggregation) and its change."""
     c = cells(spark, sf_dir).filter((F.col("type_id") == C.TYPE_COUNTY) & (F.col("student_group_id") == 1))
     v, n = F.col(PCT), F.col(N)
-    c = c.filter(v.isNotNull() & ~F.isnan(v) & (n > 0))
+    c = c.filter(finite(v) & (n > 0))
 
     def wavg(t):
         return F.sum(F.when(F.col("test_id") == t, v * n)) / F.sum(F.when(F.col("test_id") == t, n))
@@ -168,7 +169,7 @@ def _smallest_gaps(spark, sf_dir, type_ids, code: str, name: str):
     """Entities with the smallest Fluent − EL gap per subject and year (top-k by |gap|, ties by code)."""
     v, n, g = F.col(PCT), F.col(N), F.col("student_group_id")
     c = cells(spark, sf_dir).filter(F.col("type_id").isin(*type_ids) & g.isin(2, 3)
-                                    & v.isNotNull() & ~F.isnan(v) & (n > 0))
+                                    & finite(v) & (n > 0))
 
     def wavg(gid):
         return F.sum(F.when(g == gid, v * n)) / F.sum(F.when(g == gid, n))
@@ -273,7 +274,7 @@ FROM b JOIN p USING (test_id, year, size_bucket, share_bucket)""", doubles=(PCT,
 def n10_peer_schools(spark, sf_dir):
     """Schools against peers of similar size (log2 bucket) and EL share (decile); peers via bucket aggregates."""
     v, n, g = F.col(PCT), F.col(N), F.col("student_group_id")
-    ok = v.isNotNull() & ~F.isnan(v) & (n > 0)
+    ok = finite(v) & (n > 0)
     c = cells(spark, sf_dir).filter(F.col("type_id").isin(*C.TYPE_SCHOOL) & g.isin(1, 2))
     s = c.groupBy("type_id", "school_code", "test_id", "year").agg(
         (F.sum(F.when((g == 1) & ok, v * n)) / F.sum(F.when((g == 1) & ok, n))).alias(PCT),

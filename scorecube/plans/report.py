@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import DEFAULT_SPEC as S
-from ..functions.exprs import clipped_size, grade_label, pct_label, sign_class, signed_label
+from ..functions.exprs import clipped_size, finite, grade_label, pct_label, sign_class, signed_label, start_end_label
 from ..operators import aggregate as A
 from ..operators import cohort as CO
 from ..operators import mix as M
@@ -126,20 +126,13 @@ def sql(*ctes_and_select: str) -> str:
 ALL, EL, FL = _q(C.SG_ALL), _q(C.SG_EL), _q(C.SG_FLUENT)
 
 
-def _tenths_sql(v: str) -> str:
-    return f"CAST(floor(abs({v}) * 10 + 0.5) AS BIGINT)"
-
-
-def pct_label_sql(v: str) -> str:
-    t = _tenths_sql(v)
-    return (f"CASE WHEN {v} IS NOT NULL THEN (CASE WHEN {v} < 0 AND {t} > 0 THEN '-' ELSE '' END) || "
-            f"CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || '%' END")
+# printf rounds half to even on the exact value of the double
+def pct_label_sql(v: str, digits: int = 1) -> str:
+    return f"CASE WHEN {v} IS NOT NULL THEN printf('%.{digits}f%%', {v}) END"
 
 
 def signed_label_sql(v: str) -> str:
-    t = _tenths_sql(v)
-    return (f"CASE WHEN {v} IS NOT NULL THEN (CASE WHEN {v} < 0 THEN '-' ELSE '+' END) || "
-            f"CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) END")
+    return f"CASE WHEN {v} IS NOT NULL THEN printf('%+.1f', {v}) END"
 
 
 # ---------------------------------------------------------------------------------------------------------
@@ -175,7 +168,7 @@ WHERE f.entity = 'focus' AND b.entity = 'bench' AND f.student_group = {ALL} AND
           doubles=("focus_pct", "bench_pct", "gap"))
 def q03_overall_gap(spark, sf_dir):
     r = _r(spark, sf_dir)
-    g = SE.gap(r.annual(C.SG_ALL, "focus"), r.annual(C.SG_ALL, "bench"), ["year"], a_name="focus_pct",
+    g = SE.gap(r.annual(C.SG_ALL), ["year"], F.col("entity") == "focus", F.col("entity") == "bench", a_name="focus_pct",
                b_name="bench_pct")
     return g.withColumn("sign", sign_class("gap")).withColumn("gap_label", signed_label("gap"))
 
@@ -323,12 +316,14 @@ def _start_end_sql(g_from: int, g_to: int, group: str = ALL) -> str:
 
 def _register_start_end(key: str, g_from: int, g_to: int):
     @register(key, sql(_start_end_sql(g_from, g_to), """
-SELECT cohort_year, start_pct, end_pct, end_pct - start_pct AS change FROM se
+SELECT cohort_year, start_pct, end_pct, end_pct - start_pct AS change,
+       """ + f"""'Gr{g_from}=' || printf('%.0f%%', start_pct) || '  →  Gr{g_to}=' || printf('%.0f%%', end_pct) AS label FROM se
 WHERE start_pct IS NOT NULL AND end_pct IS NOT NULL"""), doubles=("start_pct", "end_pct", "change"))
     def start_end(spark, sf_dir):
         """Cohort value at the start grade vs the end grade (both required)."""
         se = CO.start_end(_r(spark, sf_dir).rows(C.SG_ALL, "focus"), ["entity"], g_from, g_to)
-        return se.select("cohort_year", "start_pct", "end_pct", (F.col("end_pct") - F.col("start_pct")).alias("change"))
+        return se.select("cohort_year", "start_pct", "end_pct", (F.col("end_pct") - F.col("start_pct")).alias("change"),
+                         start_end_label("start_pct", "end_pct", g_from, g_to).alias("label"))
 
     @register(key.replace("q18_cohort_start_end", "q58_entry_outcome_fit"), sql(_start_end_sql(g_from, g_to), f"""
 reg AS (SELECT * FROM (SELECT regr_slope(end_pct, start_pct) AS slope, regr_intercept(end_pct, start_pct) AS intercept,
@@ -390,7 +385,8 @@ FROM annual f JOIN annual e ON f.entity = e.entity AND f.year = e.year
 WHERE f.student_group = {FL} AND e.student_group = {EL}"""), doubles=("fluent_pct", "el_pct", "gap"))
 def q22_fluent_el_gap(spark, sf_dir):
     r = _r(spark, sf_dir)
-    return SE.gap(r.annual(C.SG_FLUENT), r.annual(C.SG_EL), ["entity", "year"], a_name="fluent_pct", b_name="el_pct")
+    return SE.gap(r.annual([C.SG_FLUENT, C.SG_EL]), ["entity", "year"], F.col("student_group") == C.SG_FLUENT,
+                  F.col("student_group") == C.SG_EL, a_name="fluent_pct", b_name="el_pct")
 
 
 @register("q23_el_share", sql(f"""
@@ -522,7 +518,7 @@ def q36_mix_deltas(spark, sf_dir):
 @register("q38_counterfactual", sql(MIX, f"""
 b AS (SELECT *, max(CASE WHEN year = {S.base_year} THEN el_pct END) OVER () / 100 AS base FROM mix)""", """
 SELECT year, overall_perf, base * el_perf + (1 - base) * fluent_perf AS simulated_perf,
-       overall_perf - (base * el_perf + (1 - base) * fluent_perf) AS mix_effect FROM b"""),
+       overall_perf - (base * el_perf + (1 - base) * fluent_perf) AS mix_effect FROM b WHERE base IS NOT NULL"""),
     doubles=("overall_perf", "simulated_perf", "mix_effect"))
 def q38_counterfactual(spark, sf_dir):
     """Performance had the EL share stayed at its base-year value; difference = effect of the mix change."""
@@ -664,7 +660,7 @@ SELECT grade, year, focus_pct, bench_pct, gap, CASE WHEN gap >= 0 THEN 'above' E
 def q60_el_gap_by_grade(spark, sf_dir):
     """Focus EL − bench EL by grade and year, unclamped bounds ±3 (±15 when empty)."""
     r = _r(spark, sf_dir)
-    g = SE.gap(r.by_grade(C.SG_EL, "focus"), r.by_grade(C.SG_EL, "bench"), ["test_id", "grade", "year"],
+    g = SE.gap(r.by_grade(C.SG_EL), ["test_id", "grade", "year"], F.col("entity") == "focus", F.col("entity") == "bench",
                a_name="focus_pct", b_name="bench_pct")
     g = _with_bounds(g, "gap", 3, lo=None, hi=None, empty=15)
     return g.select("grade", "year", "focus_pct", "bench_pct", "gap", sign_class("gap").alias("sign"), "y_lo", "y_hi")
@@ -679,9 +675,8 @@ t AS (SELECT student_group, cohort_year, grade, year, pct_met_and_above,
     "SELECT student_group, cohort_year, grade, year, pct_met_and_above FROM t WHERE n_points >= 2"), doubles=(PCT,))
 def q61_el_fluent_common_cohorts(spark, sf_dir):
     r = _r(spark, sf_dir)
-    el, fl = CO.cohort_points(r.rows(C.SG_EL, "focus")), CO.cohort_points(r.rows(C.SG_FLUENT, "focus"))
-    common = CO.common_cohorts(el, fl)
-    both = el.unionByName(fl).join(common, ["cohort_year"], "left_semi")
+    groups = (C.SG_EL, C.SG_FLUENT)
+    both = CO.common_cohorts(CO.cohort_points(r.rows(groups, "focus")), "student_group", groups)
     return CO.trajectories(both, ["student_group"], S.min_cohort_points) \
         .select("student_group", "cohort_year", "grade", "year", PCT)
 
@@ -700,9 +695,9 @@ WHERE e.entity = 'focus' AND e.student_group = {EL} AND a.entity = 'bench' AND a
     doubles=("focus_el", "bench_all"))
 def q63_focus_el_vs_state_all(spark, sf_dir):
     r = _r(spark, sf_dir)
-    e = r.annual(C.SG_EL, "focus").select("year", F.col(PCT).alias("focus_el"))
-    a = r.annual(C.SG_ALL, "bench").select("year", F.col(PCT).alias("bench_all"))
-    return e.join(a, ["year"])
+    entity, group = F.col("entity"), F.col("student_group")
+    return SE.pivot_sides(r.annual([C.SG_EL, C.SG_ALL]), ["year"], {
+        "focus_el": (entity == "focus") & (group == C.SG_EL), "bench_all": (entity == "bench") & (group == C.SG_ALL)})
 
 
 @register("q64_el_enrolment_length", sql(f"""
@@ -767,6 +762,6 @@ def q01_district_focus_contains(spark, sf_dir):
     """Q01 with a district focus chosen by substring: every matching district is pooled (and counted)."""
     rows = Report.of(spark, sf_dir, DISTRICT_SPEC).rows(C.SG_ALL)
     v, n = F.col(PCT), F.col(N)
-    ok = rows.filter(v.isNotNull() & ~F.isnan(v) & n.isNotNull() & (n > 0))
+    ok = rows.filter(finite(v) & n.isNotNull() & (n > 0))
     return ok.groupBy("entity", "year").agg((F.sum(v * n) / F.sum(n)).alias(PCT), F.sum(n).cast("double").alias(N),
                                             F.countDistinct("district_code").alias("entities"))

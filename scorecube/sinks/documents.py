@@ -1,14 +1,14 @@
 """Sidecar lists (K2, K3), per-entity JSON documents (K4), export manifest (K5), named result series (K6).
 
-Documents are built in ONE pass for all levels: a hash shuffle on the document key, ``collect_list`` of the
-document's records – bounded by the key domain (tests × grades × years × groups; unique keys in the fact), not
-by the table size – serialised with ``to_json`` and written with ``partitionBy("doc")`` so every executor
-writes its own documents (no driver loop, no collect).
+Documents are exported in ONE pass for all levels: a hash shuffle on the document key, a secondary sort of its records, each record
+serialised as one line of the document's array, and a streaming write with ``partitionBy("doc")``. A task holds a record, never a
+document. ``entity_documents`` gives the same documents as rows for callers that want one value each; there a document's
+records are gathered, bounded by the key domain (tests × grades × years × groups; unique keys in the fact).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -82,16 +82,38 @@ def duplicate_keys(fact: DataFrame) -> DataFrame:
 
 
 def export_documents(fact: DataFrame, path: str, on_conflict: str = "last_type") -> None:
-    """K4 end to end: key check, one-pass build, executor-side write."""
+    """K4 end to end: key check, then the streaming write."""
     twice = duplicate_keys(fact).limit(5).collect()
     if twice:
         raise ValueError(f"duplicate fact keys, among them {[tuple(r) for r in twice]}")
-    write_documents(entity_documents(fact, on_conflict), path)
+    write_documents(document_lines(fact, on_conflict), path)
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    """``path/doc=<name>/part-*.txt`` holding the document's JSON array."""
-    docs.select("doc", "json").repartition("doc").write.mode("overwrite").partitionBy("doc").text(path)
+def document_lines(fact: DataFrame, on_conflict: str = "last_type") -> DataFrame:
+    """K4/O3 – (doc, line): the lines of each document's JSON array, one for a record, in order.
+
+    A document's rows are sorted by type (the highest first), then by the record; the first row tells the type that is kept, a
+    row's neighbour whether it is the last. These windows look at one row before or after, so they stream."""
+    rows = (fact.filter(F.col("type_id").isin(*[s[0] for s in DOC_SPECS]) & F.col(C.PCT).isNotNull())
+            .withColumn("doc", _doc_key()))
+    record = [F.col(c).asc_nulls_first() for c in C.DOC_COLS]
+    merge = on_conflict == "merge"
+    w = Window.partitionBy("doc").orderBy(*([] if merge else [F.col("type_id").desc()]), *record)
+    placed = rows.select("doc", "type_id", *C.DOC_COLS, F.row_number().over(w).alias("_n"), F.lead("type_id").over(w).alias("_next"),
+                         F.first("type_id").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_kept"))
+    last = F.col("_next").isNull()
+    if not merge:
+        placed = placed.filter(F.col("type_id") == F.col("_kept"))
+        last |= F.col("_next") != F.col("_kept")
+    json = F.to_json(F.struct(*[F.col(c) for c in C.DOC_COLS]), {"ignoreNullFields": "false"})
+    return placed.select("doc", F.concat(F.when(F.col("_n") == 1, F.lit("[")).otherwise(F.lit(",")), json,
+                                         F.when(last, F.lit("]")).otherwise(F.lit(""))).alias("line"))
+
+
+def write_documents(lines: DataFrame, path: str) -> None:
+    """``path/doc=<name>/part-*.txt`` holding the document's JSON array, a record on each line. The lines arrive sorted by document,
+    as the write wants them, so it opens one file after the other."""
+    lines.select("doc", "line").write.mode("overwrite").partitionBy("doc").text(path)
 
 
 def manifest(fact: DataFrame) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .. import config as C
 
 ROW_GROUP_ROWS = 100_000
+#: code columns looked up by value: a row group's Bloom filter tells which of them it can't hold (F15). The size is for
+#: BLOOM_CODES distinct codes in a row group; more only make it less selective.
+BLOOM_COLUMNS = ("district_code", "school_code")
+BLOOM_CODES = 20_000
 
 
 def sorted_for_fact(df: DataFrame, keys=C.FACT_SORT_KEYS, partitions: int | None = None) -> DataFrame:
@@ -28,6 +32,10 @@ def write_sorted_fact(df: DataFrame, path: str, keys=C.FACT_SORT_KEYS, partition
     w = (sorted_for_fact(df, keys, partitions).write.mode(mode)
          .option("compression", "zstd")
          .option("parquet.block.row.count.limit", row_group_rows))
+    for c in BLOOM_COLUMNS:
+        if c in df.columns:
+            w = (w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+                 .option(f"parquet.bloom.filter.expected.ndv#{c}", BLOOM_CODES))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

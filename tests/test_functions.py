@@ -1,5 +1,8 @@
 """Column-expression helpers against the edge cases of FIXTURES.md §4."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from scorecube.functions import exprs as X
@@ -51,11 +54,28 @@ def test_clipped_size(spark):
 
 
 def test_value_labels(spark):
-    assert _one_col(spark, [12.34, 0.05, None], X.pct_label, "double") == ["12.3%", "0.1%", None]
-    assert _one_col(spark, [1.25, -0.44, 0.0], X.signed_label, "double") == ["+1.3", "-0.4", "+0.0"]
+    assert _one_col(spark, [12.34, 0.05, 0.25, 12.35, -0.04, None], X.pct_label, "double") == [
+        "12.3%", "0.1%", "0.2%", "12.3%", "-0.0%", None]
+    assert _one_col(spark, [1.25, -0.44, 0.0], X.signed_label, "double") == ["+1.2", "-0.4", "+0.0"]
     assert _one_col(spark, [1.0, -1.0, 0.0], X.sign_class, "double") == ["above", "below", "above"]
 
 
+def test_decimal_ties_are_those_of_exact_doubles(spark):
+    """Half to even on the double's exact value, for ties, their neighbours and random values."""
+    rng = random.Random(1)
+    values = [k / 20 for k in range(4000)] + [k / 8 for k in range(800)] + [rng.uniform(0, 100) for _ in range(3000)]
+    values += [math.nextafter(v, d) for v in values[:4000:7] for d in (0, 1e9)] + [0.0, 1e-300, 99.95, 123456789.25, 2.0 ** 51 + 0.5, 2.0 ** 52]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for row in df.select("v", X.fixed_label("v"), X.fixed_label("v", 0), X.fixed_label("v", 2)).collect():
+        assert tuple(row)[1:] == tuple(f"{row[0]:.{d}f}" if row[0] or d is None else f"{0.0:.{d}f}" for d in (1, 0, 2)), row
+
+
+def test_start_end_label(spark):
+    df = spark.createDataFrame([(40.5, 37.5), (41.5, None)], "s double, e double")
+    assert [r[0] for r in df.select(X.start_end_label("s", "e", 3, 8)).collect()] == ["Gr3=40%  →  Gr8=38%", None]
+
+
 def test_subject_and_grade_label(spark):
     assert _one_col(spark, ["English Language Arts", "ELA", "Mathematics"], X.subject_id) == [1, 1, 2]
     assert _one_col(spark, [3, 11], X.grade_label, "int") == ["Grade 3", "Grade 11"]

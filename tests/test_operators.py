@@ -9,7 +9,7 @@ from scorecube.operators import cohort as CO
 from scorecube.operators import mix as M
 from scorecube.operators import series as SE
 from scorecube.operators.joins import top_k
-from scorecube.operators.select import select_by_label, tag_sides
+from scorecube.operators.select import label_pred, tag_sides
 
 
 def test_weighted_average(spark):
@@ -96,8 +96,7 @@ def test_tag_sides_overlap(spark):
 def test_label_with_two_parentheses(spark):
     df = spark.createDataFrame([(6, "A", "B) (C", "s"), (6, "A", "B", "s")],
                                "type_id int, district_name string, county_name string, school_name string")
-    labels = spark.createDataFrame([("A (B) (C)",)], "label string")
-    got = select_by_label(df, labels, "District").collect()
+    got = df.filter(label_pred("A (B) (C)", "District")).collect()
     # district = text before the first " (", county = the piece before the second " (" without trailing ")"
     assert [r["county_name"] for r in got] == ["B"]
 
@@ -118,9 +117,52 @@ def test_change_on_domain_equals_spine_change(spark):
     assert a == b == [("e", 2016, 2.0), ("e", 2019, 1.0), ("e", 2021, 4.0), ("f", 2021, 2.0)]
 
 
-def test_selection_status_and_distinct_union(spark):
+def test_selection_status(spark):
     df = spark.createDataFrame([("s", 2019), ("s", 2015), ("s", 2019), ("t", 2021)], "side string, year int")
     got = {r["side"]: (r["rows"], r["years"]) for r in A.selection_status(df, ["side"]).collect()}
     assert got == {"s": (3, [2015, 2019]), "t": (1, [2021])}
-    u = SE.distinct_union(df.select("year"), spark.createDataFrame([(2015,), (2023,)], "year int"))
-    assert sorted(r["year"] for r in u.collect()) == [2015, 2019, 2021, 2023]
+
+
+def test_gap_needs_both_sides(spark):
+    df = spark.createDataFrame([("f", 1, 5.0), ("b", 1, 3.0), ("f", 2, 4.0), ("b", 3, 1.0), ("f", 4, None), ("b", 4, 2.0), ("x", 5, 9.0)],
+                               "side string, year int, pct_met_and_above double")
+    f, b = F.col("side") == "f", F.col("side") == "b"
+    assert [tuple(r) for r in SE.gap(df, ["year"], f, b).collect()] == [(1, 5.0, 3.0, 2.0)]
+    # a null value counts as present: the key stays in the inner alignment
+    assert sorted(r["year"] for r in SE.pivot_sides(df, ["year"], {"f": f, "b": b}).collect()) == [1, 4]
+
+
+def test_cohorts_of_both_groups(spark):
+    df = spark.createDataFrame([("EL", 2015, 1), ("FL", 2015, 2), ("EL", 2016, 3), ("EL", 2016, 4), ("XX", 2015, 5), ("FL", 2017, 6)],
+                               "g string, cohort_year int, v int")
+    got = CO.common_cohorts(df.filter("g <> 'XX'"), "g", ("EL", "FL"))
+    assert sorted(r["v"] for r in got.collect()) == [1, 2]
+    recent, older = CO.recent_split(df, 2016)
+    assert sorted(r["v"] for r in recent.collect()) == [3, 4, 6] and sorted(r["v"] for r in older.collect()) == [1, 2, 5]
+
+
+def test_counterfactual_needs_its_base_year(spark):
+    df = spark.createDataFrame([("a", 2015, 20.0, 30.0, 70.0), ("a", 2016, 30.0, 30.0, 70.0), ("b", 2016, 10.0, 1.0, 2.0)],
+                               "entity string, year int, el_pct double, el_perf double, fluent_perf double")
+    got = {(r["entity"], r["year"]): r["simulated_perf"] for r in M.counterfactual(df, ["entity"], 2015).collect()}
+    assert got == {("a", 2015): pytest.approx(62.0), ("a", 2016): pytest.approx(62.0)}
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_ordinal_is_the_place_in_the_order(spark, partitions):
+    from scorecube.operators.ordinal import with_ordinal
+    values = [(i * 7919 % 1000, f"n{i % 13}") for i in range(1000)] + [(None, "x")]
+    df = spark.createDataFrame(values, "v int, n string").repartition(5)
+    got = {r["ordinal"]: r["v"] for r in with_ordinal(df, "v", partitions=partitions).collect()}
+    assert got == dict(enumerate([*range(1000), None], start=1))
+    down = with_ordinal(df.dropna(), F.col("n").desc(), F.col("v").asc(), name="place").orderBy("place").collect()
+    want = sorted((v for v in values if v[0] is not None), key=lambda x: x[0])
+    assert [(r["v"], r["n"]) for r in down] == sorted(want, key=lambda x: x[1], reverse=True)
+    assert with_ordinal(df.limit(0), "v").collect() == []
+
+
+def test_distinct_values_by_bitmaps(spark):
+    values = [-32768, -1, 0, 1, 2, 2, 2025, 32767, None, 1]
+    df = spark.createDataFrame([(v,) for v in values], "v short")
+    assert df.groupBy().agg(A.distinct_small("v", "n")).first()["n"] == 7
+    assert df.limit(0).groupBy().agg(A.distinct_small("v", "n")).first()["n"] == 0

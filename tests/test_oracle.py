@@ -8,10 +8,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from scorecube.plans import load_all
 
 TABLES = "region nation customer supplier part orders lineitem".split()
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES, ORACLES = load_all()
 
 
 @pytest.fixture(scope="module")

@@ -3,11 +3,13 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from scorecube import config as C
 from scorecube.sinks import documents as D
 from scorecube.sinks.fact import write_sorted_fact
+from scorecube.sources.cells import cells
 
 SCHEMA = ("year int, type_id int, county_code string, county_name string, district_code string, district_name string, "
           "school_code string, school_name string, test_id int, student_group_id int, student_group_name string, "
@@ -40,9 +42,9 @@ def test_documents_conflict_and_order(spark):
 
 def test_documents_written_and_read_back(spark, tmp_dir):
     path = os.path.join(tmp_dir, "docs")
-    D.write_documents(D.entity_documents(_fact(spark)), path)
+    D.write_documents(D.document_lines(_fact(spark)), path)
     assert os.path.isdir(os.path.join(path, "doc=county_01"))  # leading zeros kept in the name
-    back = spark.read.option("basePath", path).text(path).withColumn("doc", F.regexp_extract(F.input_file_name(), r"doc=([^/]+)", 1))
+    back = spark.read.option("basePath", path).text(path, wholetext=True).withColumn("doc", F.regexp_extract(F.input_file_name(), r"doc=([^/]+)", 1))
     got = {r["doc"]: json.loads(r["value"]) for r in back.collect()}
     assert got["county_01"][0]["pct_met_and_above"] == 40.0
 
@@ -140,7 +142,7 @@ def test_documents_reread_equal_filtered_fact(spark, tmp_dir):
     D.export_documents(fact, path)
     schema = "array<struct<" + ", ".join(
         f"{c}: {'double' if c == C.PCT else 'string' if c == 'student_group_name' else 'int'}" for c in C.DOC_COLS) + ">>"
-    back = (spark.read.text(path).withColumn("doc", F.regexp_extract(F.input_file_name(), r"doc=([^/]+)", 1))
+    back = (spark.read.text(path, wholetext=True).withColumn("doc", F.regexp_extract(F.input_file_name(), r"doc=([^/]+)", 1))
             .select("doc", F.explode(F.from_json("value", schema)).alias("r")).select("doc", "r.*"))
     rows = fact.filter(F.col("type_id").isin(4, 5, 6, 7, 9) & F.col(C.PCT).isNotNull()).withColumn("doc", D._doc_key())
     keep = rows.withColumn("_max", F.max("type_id").over(Window.partitionBy("doc"))).filter(F.col("type_id") == F.col("_max"))
@@ -149,3 +151,44 @@ def test_documents_reread_equal_filtered_fact(spark, tmp_dir):
     def norm(df):
         return sorted(tuple(str(x) for x in r) for r in df.select("doc", *C.DOC_COLS).collect())
     assert norm(back) == norm(expected)
+
+
+@pytest.mark.parametrize("conflict", ["last_type", "merge"])
+def test_streamed_documents_are_the_gathered_ones(spark, tmp_dir, conflict):
+    """On all cells: what the streaming export writes, line after line, is each document's array; nothing is gathered for it."""
+    fact = cells(spark, "/root/testdata/sf0.001")
+    lines = D.document_lines(fact, conflict)
+    assert "collect_list" not in lines._jdf.queryExecution().toString()
+    D.export_documents(fact, tmp_dir, conflict)
+    want = {r["doc"]: json.loads(r["json"]) for r in D.entity_documents(fact, conflict).collect()}
+    got = {}
+    for d in os.listdir(tmp_dir):
+        files = [f for f in os.listdir(os.path.join(tmp_dir, d)) if f.endswith(".txt")] if d.startswith("doc=") else []
+        for f in files:
+            with open(os.path.join(tmp_dir, d, f)) as text:
+                got[d.removeprefix("doc=")] = json.load(text)
+    assert len(want) > 20 and got == want
+
+
+def test_point_lookups_skip_row_groups_by_bloom_filter(spark, tmp_dir):
+    """Codes inside a row group's range that it doesn't hold are told by its Bloom filter: the scan reads no rows for them."""
+    from scorecube.sinks.fact import write_sorted_fact
+
+    rows = spark.range(40_000).selectExpr("2015 AS year", "3 AS grade", "1 AS student_group_id", "7 AS type_id",
+                                          "lpad(id * 2, 7, '0') AS district_code", "'0' AS school_code")
+    write_sorted_fact(rows, f"{tmp_dir}/f", partitions=1, row_group_rows=10_000)
+
+    def read(code):
+        df = spark.read.parquet(f"{tmp_dir}/f").filter(F.col("district_code") == code)
+        n = len(df.collect())
+        metrics, todo, total = {}, [df._jdf.queryExecution().executedPlan()], 0
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+                todo.append(node.executedPlan())
+            if node.getClass().getSimpleName() == "FileSourceScanExec":
+                total = node.metrics().apply("numOutputRows").value()
+        return n, total
+    assert read("0002000") == (1, 10_000)   # its row group only
+    assert read("0002001") == (0, 0)        # within a row group's range, but in none
