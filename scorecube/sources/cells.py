@@ -100,7 +100,7 @@ def derive_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.col("r_name").alias("county_name"),
                    F.lpad((F.col("n_nationkey") + 1).cast("string"), 5, "0").alias("district_code"),
                    F.col("n_name").alias("district_name"),
-                   F.lpad(F.col("s_suppkey").cast("string"), 7, "0").alias("school_code"),
+                   F.lpad((F.col("s_suppkey") + 1).cast("string"), 7, "0").alias("school_code"),
                    F.col("s_name").alias("school_name"),
                    # fixture rule (FIXTURES §3): every tenth school is type 9 from 2018 on – a label, no row dropped
                    (F.col("s_suppkey") % 10 == 9).alias("charter")))
@@ -207,7 +207,7 @@ cell_base AS (
          CASE WHEN l.l_linestatus = 'O' THEN 1 ELSE 2 END AS test_id,
          lpad(CAST(n.n_regionkey + 1 AS VARCHAR), 2, '0') AS county_code, r.r_name AS county_name,
          lpad(CAST(n.n_nationkey + 1 AS VARCHAR), 5, '0') AS district_code, n.n_name AS district_name,
-         lpad(CAST(s.s_suppkey AS VARCHAR), 7, '0') AS school_code, s.s_name AS school_name,
+         lpad(CAST(s.s_suppkey + 1 AS VARCHAR), 7, '0') AS school_code, s.s_name AS school_name,
          CASE WHEN s.s_suppkey % 10 = 9 AND y.year >= 2018 THEN 9 ELSE 7 END AS school_type,
          c.c_mktsegment AS seg, o.o_orderpriority < '4' AS prio_lt4,
          CASE WHEN l.l_quantity > {MET_QUANTITY} THEN 1 ELSE 0 END AS met
