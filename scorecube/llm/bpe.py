@@ -35,6 +35,7 @@ class Vocabulary:
         for t, r in self.ranks.items():
             self.tokens[r] = t
         self.pairs: dict[int, bool] = {}
+        self.usable: list[bool | None] = [None] * size
         self.split: dict[int, tuple[int, int] | None] = {}
         length = np.array([len(t) for t in self.tokens], np.int64)
         self.ends = np.cumsum(length)
@@ -106,43 +107,72 @@ class Vocabulary:
 
 
 class Transducer:
-    """State 0 has read nothing. A state is a tuple of branches (tokens not emitted yet, last token, trie node)."""
+    """State 0 has read nothing. A state is a tuple of branches (tokens not emitted yet, last token, trie node). A move is one entry
+    of a table by state and byte: the next state, or, where tokens are emitted, a pair of both.
+
+    When MOST_STATES are held, the older half stays: states that many words share are met early, those of rare words late."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.clear()
-
-    def clear(self) -> None:
         begin = (((), -1, 0),)
         self.states = [begin]
         self.numbers = {begin: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """(next state, emitted tokens), determinised now."""
-        v, branches = self.vocabulary, []
+        self.moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
+        self.ends: dict[int, tuple[int, ...]] = {}
+
+    def shrink(self) -> None:
+        keep = MOST_STATES // 2
+        for state in self.states[keep:]:
+            del self.numbers[state]
+        del self.states[keep:]
+        self.moves = {k: m for k, m in self.moves.items() if k >> 8 < keep and (m if m.__class__ is int else m[0]) < keep}
+        self.ends = {k: v for k, v in self.ends.items() if k < keep}
+
+    def move(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+        """The move, determinised now."""
+        v = self.vocabulary
+        down, ending, usable, pairs = v.moves, v.ending, v.usable, v.pairs
+        branches = []
         for pending, last, node in self.states[state]:
-            child = v.moves[node].get(byte)
+            child = down[node].get(byte)
             if child is None:
                 continue
-            if v.moves[child]:
+            if down[child]:
                 branches.append((pending, last, child))
-            token = v.ending[child]
-            if token >= 0 and v.halves(token) != NEVER and (last < 0 or v.follows(last, token)):
-                branches.append(((*pending, token), token, 0))
-        shared = 0
-        shortest = min(len(b[0]) for b in branches)
-        while shared < shortest and len({b[0][shared] for b in branches}) == 1:
-            shared += 1
-        emitted = branches[0][0][:shared]
-        target = tuple(sorted((p[shared:], last, node) for p, last, node in branches))
+            token = ending[child]
+            if token >= 0:
+                good = usable[token]
+                if good is None:
+                    good = usable[token] = v.halves(token) != NEVER
+                if good and last >= 0:
+                    good = pairs.get(last << 32 | token)
+                    if good is None:
+                        good = v.follows(last, token)
+                if good:
+                    branches.append(((*pending, token), token, 0))
+        emitted: tuple[int, ...]
+        if len(branches) == 1:
+            emitted, last, node = branches[0]
+            target = (((), last, node),)
+        else:
+            emitted = min([b[0] for b in branches], key=len)
+            for pending, _, _ in branches:
+                if pending[:len(emitted)] != emitted:
+                    k = 0
+                    while pending[k] == emitted[k]:
+                        k += 1
+                    emitted = emitted[:k]
+            if emitted:
+                k = len(emitted)
+                branches = [(p[k:], last, node) for p, last, node in branches]
+            branches.sort()
+            target = tuple(branches)
         number = self.numbers.get(target)
         if number is None:
             number = self.numbers[target] = len(self.states)
             self.states.append(target)
-            self.moves.append({})
-        self.moves[state][byte] = number, emitted
-        return number, emitted
+        got = self.moves[state << 8 | byte] = (number, emitted) if emitted else number
+        return got
 
     def encode(self, raw: bytes) -> list[int]:
         """Tokens of one match of the split pattern."""
@@ -150,14 +180,23 @@ class Transducer:
         if whole is not None:
             return [whole]
         if len(self.states) > MOST_STATES:
-            self.clear()
+            self.shrink()
         out: list[int] = []
-        state = 0
+        state, find = 0, self.moves.get
         for byte in raw:
-            state, emitted = self.moves[state].get(byte) or self.move(state, byte)
-            if emitted:
-                out += emitted
-        return out + next((list(p) for p, _, node in self.states[state] if node == 0), [])
+            got = find(state << 8 | byte)
+            if got is None:
+                got = self.move(state, byte)
+            if got.__class__ is int:
+                state = got
+            else:
+                state = got[0]
+                out += got[1]
+        rest = self.ends.get(state)
+        if rest is None:
+            rest = self.ends[state] = next((p for p, _, node in self.states[state] if node == 0), ())
+        out += rest
+        return out
 
 
 class Encoder(dict):
