@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import inspect
 import math
 from collections.abc import Callable, Iterator
 
@@ -78,6 +79,14 @@ def held(name, build: Callable):
     return _HELD[name]
 
 
+def _give_back() -> None:
+    """Freed memory returns to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def light(run):
     """A mapInArrow function that needs no ``held`` object. Spark uses a worker again for later stages, so what another
     operator's tasks have left there goes first; when the task ends, freed memory returns to the system."""
@@ -85,13 +94,24 @@ def light(run):
     def task(batches):
         _HELD.clear()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        _give_back()
     return task
 
 
+def light_group(run):
+    """The same for a function of whole groups (applyInArrow), after each group: one group's arrays needn't lie beside the
+    next one's."""
+    @functools.wraps(run)
+    def group(*tables):
+        _HELD.clear()
+        out = run(*tables)
+        _give_back()
+        return out
+    # Spark tells functions of a key and a table from those of a table by their parameters
+    group.__signature__ = inspect.signature(run)
+    return group
+
+
 # ---- text as arrays -------------------------------------------------------------------------------------------------
 def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, row offsets) of a string column; null is empty."""

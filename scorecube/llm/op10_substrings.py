@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .common import NOT_SPACE, join_words, pieces, ready, rolling, splits, window_starts, word_hashes, words
+from .common import NOT_SPACE, join_words, light_group, pieces, ready, rolling, splits, window_starts, word_hashes, words
 
 WINDOW = 35
 CHUNK_BYTES = 8 << 20
@@ -56,6 +56,7 @@ def _by_bucket(two: np.ndarray, buckets: int):
 
 
 def send(window: int, buckets: int):
+    @light_group
     def run(key, table):
         _, one, two = _windows(table, window)
         order, bounds = _by_bucket(two, buckets)
@@ -70,6 +71,7 @@ def send(window: int, buckets: int):
     return run
 
 
+@light_group
 def answer(key, table):
     """For each chunk's list of a bucket: which values another chunk has too (one bit each)."""
     blobs = table["hashes"].to_pylist()
@@ -114,6 +116,7 @@ def _resolve_piece(piece, again: np.ndarray, window: int):
 
 
 def resolve(window: int, buckets: int, rewrite: bool):
+    @light_group
     def run(docs, bits):
         parts, one, two = _windows(docs, window)
         order, bounds = _by_bucket(two, buckets)

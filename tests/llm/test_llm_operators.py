@@ -160,7 +160,7 @@ def test_main_text_of_pages(spark):
     want = "One & two\nBold line\nNext para <x>\nShared"
     assert all(got[i] == (want, len(want)) for i in range(4))
     assert [got[10 + i][0] for i in range(4)] == [f"Text {i}" for i in range(4)]
-    assert got[20] == ("no host", 7) and got[21] == ("", 0) == got[22] and got[None][0] == "a\nb" and got[23] == ("", 0)
+    assert got[20] == ("no host", 7) and got[21] == ("", 0) == got[22] and got[None][0] == "a\nb" and got[23] == ("deep", 4)
     assert op5_html_text.main_texts(df.where("false")).count() == 0
 
 
