@@ -547,8 +547,10 @@ def q40_mix_series(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------------------
 # Section 8 – heatmaps (grade × year, unweighted mean of non-suppressed cells, full domain)
 # ---------------------------------------------------------------------------------------------------------
-def _heat(r: Report, group: str, entity: str) -> DataFrame:
-    m = A.mean_by(r.by_grade(group, entity), ["grade", "year"])
+def _heat(r: Report, group: str, **sides: str) -> DataFrame:
+    """The grade × year grid with a column for each of ``sides`` (name = entity): one aggregate for all of them."""
+    m = r.by_grade(group).groupBy("grade", "year").agg(
+        *[F.avg(F.when(F.col("entity") == entity, F.col(PCT))).alias(name) for name, entity in sides.items()])
     grid = r.spark.range(1).select(F.explode(F.array(*[F.lit(g) for g in S.grades])).alias("grade"))
     grid = grid.select("grade", F.explode(F.array(*[F.lit(y) for y in S.years])).alias("year"))
     return grid.join(m, ["grade", "year"], "left")
@@ -564,7 +566,7 @@ def _register_heat(key: str, group: str, gsql: str, entity: str):
     @register(key, sql(_heat_sql("a", gsql, entity), "SELECT grade, year, v AS pct_met_and_above FROM h_a"),
               doubles=(PCT,))
     def heat(spark, sf_dir):
-        return _heat(_r(spark, sf_dir), group, entity).select("grade", "year", PCT)
+        return _heat(_r(spark, sf_dir), group, **{PCT: entity}).select("grade", "year", PCT)
 
 
 def _register_heat_gap(key: str, group: str, gsql: str):
@@ -572,10 +574,8 @@ def _register_heat_gap(key: str, group: str, gsql: str):
 SELECT f.grade, f.year, f.v - b.v AS gap FROM h_f f JOIN h_b b ON f.grade = b.grade AND f.year = b.year"""),
               doubles=("gap",))
     def heat_gap(spark, sf_dir):
-        r = _r(spark, sf_dir)
-        f = _heat(r, group, "focus").withColumnRenamed(PCT, "f")
-        b = _heat(r, group, "bench").withColumnRenamed(PCT, "b")
-        return f.join(b, ["grade", "year"]).select("grade", "year", (F.col("f") - F.col("b")).alias("gap"))
+        both = _heat(_r(spark, sf_dir), group, f="focus", b="bench")
+        return both.select("grade", "year", (F.col("f") - F.col("b")).alias("gap"))
 
 
 _register_heat("q45_heatmap_focus_all", C.SG_ALL, ALL, "focus")

@@ -8,8 +8,8 @@ Plan at scale:
   orders ⋈ customer            (orders-sized shuffle on custkey)
   lineitem ⋈ (orders+customer) (the one lineitem-sized shuffle, on orderkey)
   supplier ⋈ nation ⋈ region   (nation ⋈ region broadcast after a row-count check)
-  explode overlapping student groups (≤ 6 per row, no non-equi join)
-  aggregate at the finest level on narrow keys (supplier key) – partial aggregation before the shuffle
+  count by supplier key, segment and priority class – partial aggregation before the shuffle
+  explode the counts (not the line items) to overlapping student groups (≤ 6 each, no non-equi join), sum at the finest level
   ⋈ geography onto that aggregate, then GROUPING SETS over the school-level sums (district, county, state;
   the hot state keys combine map-side)
 The materialised table is written once per (session, sf_dir) under the shared checkpoint folder, range
@@ -113,9 +113,12 @@ def derive_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("year", "l_suppkey",
                     F.when(F.col("l_linenumber") <= 6, F.col("l_linenumber") + 2).otherwise(F.lit(11)).alias("grade"),
                     F.when(F.col("l_linestatus") == "O", F.lit(1)).otherwise(F.lit(2)).alias("test_id"),
-                    F.explode(_group_ids(F.col("seg"), F.col("prio_lt4"))).alias("student_group_id"),
-                    F.when(F.col("l_quantity") > MET_QUANTITY, 1).otherwise(0).alias("met")))
-    finest = rows.groupBy(*fixed, "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("met").alias("k"))
+                    "seg", "prio_lt4", F.when(F.col("l_quantity") > MET_QUANTITY, 1).otherwise(0).alias("met")))
+    # line items are counted by segment and priority class first; only these counts are dealt to the overlapping groups
+    counted = rows.groupBy("year", "grade", "test_id", "l_suppkey", "seg", "prio_lt4").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("met").alias("k"))
+    members = counted.withColumn("student_group_id", F.explode(_group_ids(F.col("seg"), F.col("prio_lt4"))))
+    finest = members.groupBy(*fixed, "l_suppkey").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     # 2) names and the school type attached to the (much smaller) aggregate
     finest = (finest.join(geo, F.col("l_suppkey") == F.col("s_suppkey"))
               .withColumn("school_type",
