@@ -213,15 +213,16 @@ def read_members(spark: SparkSession, archives: DataFrame) -> DataFrame:
 
 
 def records(blocks: DataFrame) -> DataFrame:
-    """The records of the blocks, and the error rows as they are. ``line_no`` rises through a member; its header has 0."""
+    """The records of the blocks, and the error rows as they are. ``line_no`` rises through a member; its header has 0. ``block`` stays,
+    so that a reader of headers scans first blocks only."""
     text = F.regexp_replace("content", "\r\n?", "\n")
     cut = blocks.where("block IS NOT NULL").select(
         "tag", "year", "kind", "member", "caret", "block", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     private = "".join(QUOTED_BREAKS.values())
-    lines = cut.select("tag", "year", "kind", "member", "caret",
+    lines = cut.select("tag", "year", "kind", "member", "caret", "block",
                        (F.shiftleft(F.col("block"), 32) + F.col("pos")).alias("line_no"),
                        F.translate("line", private, "".join(QUOTED_BREAKS)).alias("line"), F.lit(None).cast("string").alias("error"))
-    bad = blocks.where("block IS NULL").select("tag", "year", "kind", "member", "caret", F.lit(None).cast("long").alias("line_no"),
+    bad = blocks.where("block IS NULL").select("tag", "year", "kind", "member", "caret", "block", F.lit(None).cast("long").alias("line_no"),
                                                F.lit(None).cast("string").alias("line"), "error")
     return lines.unionByName(bad)
 

@@ -350,6 +350,13 @@ def test_members_are_read_by_tasks_of_their_own(spark, tmp_dir):
     assert len({r["p"] for r in got}) == 4
 
 
+def test_headers_read_first_blocks_only(spark, tmp_dir):
+    lines = _lines(spark, tmp_dir, {"d.txt": HDR.encode(), "x_entities.txt": ENTS.encode()})
+    assert {h["kind"] for h in headers(lines)} == {"data", "entities"}
+    assert "EqualTo(block,0)" in lines.filter("block = 0 AND line_no = 0")._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
 def _damage(path, member):
     """Flips a byte inside the member's deflate stream."""
     with zipfile.ZipFile(path) as zf:
