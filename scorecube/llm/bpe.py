@@ -15,6 +15,7 @@ from array import array
 
 import numpy as np
 
+from . import memo
 from .common import held
 
 MOST_STATES = 100_000
@@ -210,6 +211,8 @@ class Encoder(dict):
         self.vocabulary = Vocabulary(path)
         self.transducer = Transducer(self.vocabulary)
         self.pattern = regex.compile(pattern)
+        #: the same pattern by the plain module, for texts of the first 256 code points
+        self.narrow = memo.ByteBpe.SPLIT if pattern == memo.BYTE_PATTERN else None
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, match: str) -> bytes:
@@ -226,7 +229,7 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         """Token numbers as little-endian unsigned 32-bit integers."""
         if len(text) <= MATCHES:
-            return b"".join(map(self.__getitem__, self.pattern.findall(text)))
+            return b"".join(map(self.__getitem__, self._split(text)))
         out, part = bytearray(), []
         for m in self.pattern.finditer(text):  # a very long text: its matches are never held together
             part.append(m.group())
@@ -235,6 +238,16 @@ class Encoder(dict):
                 part.clear()
         return bytes(out) + b"".join(map(self.__getitem__, part))
 
+    def _split(self, text: str) -> list[str]:
+        if self.narrow:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return self.narrow.findall(text)
+        return self.pattern.findall(text)
+
     def raw(self, ids: np.ndarray) -> bytes:
         v = self.vocabulary
         start, length = v.starts[ids], v.ends[ids] - v.starts[ids]

@@ -15,6 +15,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
+BYTE_PATTERN = _SUFFIX + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LATIN_1 = "\u0100"  # words that lie below hold code points that every Unicode version classifies alike
 
 

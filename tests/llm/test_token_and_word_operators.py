@@ -118,6 +118,17 @@ def test_token_files_of_an_empty_table(spark, empty, tmp_dir):
     assert op11_token_files.read_tokens(index).collect() == []
 
 
+def test_the_narrow_pattern_splits_alike():
+    import public_tokenizers
+    import regex
+    assert public_tokenizers.PATTERN == memo.BYTE_PATTERN
+    wide, rng = regex.compile(memo.BYTE_PATTERN), random.Random(8)
+    for _ in range(20_000):
+        text = "".join(rng.choice(" \n\t'stLl1½ é!\x1c\x85\xa0ªµ×÷ßÿ²,\xad") if rng.random() < 0.7 else chr(rng.randrange(256))
+                       for _ in range(rng.randint(0, 12)))
+        assert memo.ByteBpe.SPLIT.findall(text) == wide.findall(text), repr(text)
+
+
 # ---- op12 -----------------------------------------------------------------------------------------------------------
 def test_gallop_is_a_search():
     rng = np.random.default_rng(0)
