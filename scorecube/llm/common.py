@@ -10,6 +10,7 @@ import ctypes
 import functools
 import inspect
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,6 +68,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same cut by a Parquet table in the shared folder. A checkpoint keeps the size that the planner guessed for it, and
+    guesses of joins multiply: in a loop of joins they outgrow the planner within some rounds. A table has its true size."""
+    from ..session import shared_dir
+    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # ---- what a worker process holds ------------------------------------------------------------------------------------
 _HELD: dict = {}
 

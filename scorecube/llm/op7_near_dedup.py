@@ -10,10 +10,12 @@
    are already joined needs no test, and a task gives back a spanning forest, never all pairs.
 4. Components of the confirmed links give the classes.
 
-A bucket or group of any size is cut into blocks of SKETCH_BLOCK or BLOCK nodes and compared as pairs of blocks, so no task
-holds more than two blocks of a group at once and nothing is capped; a group of m unequal near copies sends each node to its
-m / BLOCK block pairs. A bounded Bloom filter tells the second pass which texts are in question; what it passes in
-error is dropped by a join.
+A bucket or group of any size is cut into blocks of SKETCH_BLOCK or BLOCK nodes, so no task holds more than two blocks of a
+group at once and nothing is capped. Each block is first compared with itself and the group's leaders, a few members that go
+to every block: a node travels once, and most of a group of near copies is joined up by that. What the leaders leave apart
+is then compared with the whole group, a pair of blocks at a time; nodes that are joined already don't meet again. So a
+group of m near copies of which r stay apart takes m + m * r / BLOCK rows. A bounded Bloom filter tells the passes over the
+texts which are in question; what it passes in error is dropped by a join.
 
 Words: A-Z lower-cased, runs of bytes other than space and 09-0D; fewer than five words are one shingle. Defined results: null
 and wordless texts have n_shingles 0 and are their own component; rows with equal doc_id are documents of their own;
@@ -43,6 +45,10 @@ SKETCH_BITS = 512
 #: the probabilities, at most, that a pair just at the threshold shares no band and that its sketches differ too much
 BAND_MISS, SKETCH_MISS = 1e-6, 3e-6
 SKETCH_BLOCK, BLOCK = 512, 256
+#: about so many members of a group of several blocks are compared with all the others first
+LEADERS = 16
+#: the bands whose buckets are compared first
+FIRST_BANDS = 6
 
 _A = mix(np.arange(SAMPLES, dtype=np.uint64), 21).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(SAMPLES, dtype=np.uint64), 22).astype(np.uint32)
@@ -129,15 +135,36 @@ def signatures(how: Search):
     return run
 
 
-# ---- comparing the members of a group, a pair of blocks at a time -----------------------------------------------------
-def block_pairs(members: DataFrame, key: str, payload: list[str], block: int) -> DataFrame:
-    """A row for each pair of blocks (i <= j) of each group, with the structs of both blocks' members; ``members`` has node
-    and its group's size."""
-    dealt = (members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    return (dealt.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                         F.struct("own", "node", *payload).alias("m"))
+# ---- comparing the members of a group, a block or a pair of blocks at a time ----------------------------------------
+def first_blocks(members: DataFrame, key: str, payload: list[str], block: int) -> DataFrame:
+    """A row for each block of each group, with the structs of its members and of the group's leaders; ``members`` has node
+    and its group's size. About LEADERS members lead a group of several blocks: they go to every block and tie the blocks
+    together, so that a member travels once."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    leads = F.pmod(F.xxhash64(F.lit("leader"), "node"), F.col("size")) < LEADERS
+    return (members.select(key, F.explode(F.when(leads, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("i"),
+                           F.struct(F.lit(0).alias("own"), "node", F.col("node").alias("label"), *payload).alias("m"))
+            .groupBy(key, "i").agg(F.collect_list("m").alias("members")).select("members"))
+
+
+def rest_blocks(members: DataFrame, full: DataFrame, key: str, payload: list[str], block: int) -> DataFrame:
+    """A row for each pair of blocks that may still hold links between labels; ``members`` has node and label, ``full`` the
+    same rows with their payload. A group's most
+    frequent label is its main one: the rest are compared with each other and with the main ones, the main ones never with
+    each other. A group of one label gives nothing."""
+    count = members.groupBy(key, "label").agg(F.count("*").alias("n"))
+    group = (count.groupBy(key).agg(F.count("*").alias("labels"), F.sum("n").alias("size"),
+                                    F.max(F.struct("n", "label")).alias("main")).where("labels > 1")
+             .select(key, F.col("main.label").alias("main"), F.ceil(F.col("main.n") / block).cast("int").alias("mains"),
+                     F.ceil((F.col("size") - F.col("main.n")) / block).cast("int").alias("rests")))
+    is_main = F.col("label") == F.col("main")
+    hashed = F.xxhash64("node")
+    own = F.when(is_main, F.col("rests") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("rests"))).cast("int")
+    last = F.when(is_main, F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1
+    return (full.join(group, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+            .select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                    F.struct("own", "node", "label", *payload).alias("m"))
             .groupBy(key, "i", "j").agg(F.collect_list("m").alias("members")).select("members"))
 
 
@@ -149,7 +176,7 @@ def _root(parent, x):
 
 
 def forests(exact: bool, how: Search):
-    """mapInArrow: of rows of block pairs, the links found (a, b), as few as connect what the task's links connect."""
+    """mapInArrow: of rows of blocks, the links found between labels (a, b), as few as connect what the task's links connect."""
     @light
     def run(batches):
         joined: dict[bytes, bytes] = {}
@@ -158,37 +185,42 @@ def forests(exact: bool, how: Search):
             column = batch["members"]
             flat = column.flatten()
             bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))])
-            node = flat.field("node").to_pylist()
+            label = flat.field("label").to_pylist()
             n = flat.field("n").to_numpy(zero_copy_only=False)
             own = flat.field("own").to_numpy(zero_copy_only=False)
             sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
             sets = flat.field("shingles") if exact else None
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                for x, y in _links(n[lo:hi], own[lo:hi], sketch[lo:hi], node[lo:hi], joined,
+                for x, y in _links(n[lo:hi], own[lo:hi], sketch[lo:hi], label[lo:hi], joined,
                                    sets.slice(lo, hi - lo) if exact else None, how):
-                    a.append(node[lo + x])
-                    b.append(node[lo + y])
+                    a.append(label[lo + x])
+                    b.append(label[lo + y])
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
     return run
 
 
-def _links(n, block, sketch, node, joined, sets, how):
-    """Pairs (across the blocks, if there are two) whose ends ``joined`` doesn't connect yet, the most alike first."""
+def _links(n, block, sketch, label, joined, sets, how):
+    """Pairs (across the blocks, if there are two) whose labels differ and ``joined`` doesn't connect yet, the most alike first."""
     if len(n) < 2:
         return []
     x, y = (np.array([0]), np.array([1])) if len(n) == 2 else np.triu_indices(len(n), 1)
     fit = 100 * np.minimum(n[x], n[y]) >= how.threshold * np.maximum(n[x], n[y])
     if (block != block[0]).any():
         fit &= block[x] != block[y]
+    number: dict[bytes, int] = {}
+    for v in label:
+        number.setdefault(v, len(number))
+        joined.setdefault(v, v)
+    if len(number) < len(label):
+        of = np.array([number[v] for v in label])
+        fit &= of[x] != of[y]
     x, y = x[fit], y[fit]
     differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
     order = np.argsort(differ, kind="stable")
     order = order[differ[order] <= how.limit]
-    for v in node:
-        joined.setdefault(v, v)
     found, own_set = [], {}
     for p, q in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        s, t = _root(joined, node[p]), _root(joined, node[q])
+        s, t = _root(joined, label[p]), _root(joined, label[q])
         if s == t:
             continue
         if sets is not None:
@@ -203,9 +235,45 @@ def _links(n, block, sketch, node, joined, sets, how):
     return found
 
 
-def _grouped(members: DataFrame, key: str, payload: list[str], exact: bool, block: int, how: Search) -> DataFrame:
-    """(node, component) by the links inside the groups ``key``."""
-    return components(block_pairs(members, key, payload, block).mapInArrow(forests(exact, how), "a binary, b binary"))
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` beside their labels; a node that has none yet is its own."""
+    return (members.join(labels.withColumnRenamed("component", "label"), "node", "left")
+            .withColumn("label", F.coalesce("label", "node")))
+
+
+def _joined_up(blocks: DataFrame, labels: DataFrame | None, exact: bool, how: Search) -> DataFrame:
+    """(node, component) by the links found in ``blocks`` between labels and, if given, by ``labels``."""
+    links = blocks.mapInArrow(forests(exact, how), "a binary, b binary")
+    return components(links if labels is None else links.unionByName(
+        labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
+def coarse_groups(nodes: DataFrame, how: Search) -> DataFrame:
+    """(node, component) of the nodes that are linked by sketch within the buckets of their bands. The first bands join most of
+    a group; a bucket of the others matters only where labels still differ."""
+    members = (nodes.select("node", F.posexplode("bands").alias("band", "value"))
+               .select(F.xxhash64("band", "value").alias("bucket"), "node", (F.col("band") < FIRST_BANDS).alias("first")))
+    sizes = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    shared = members.join(sizes, "bucket")
+    sketched = nodes.select("node", "n", "sketch")
+    labels = _joined_up(first_blocks(shared.where("first").join(sketched, "node"), "bucket", ["n", "sketch"], SKETCH_BLOCK),
+                        None, False, how)
+    # a bucket of one block has been compared as a whole
+    open_ = cut_lineage(_labelled(shared.where(f"not first or size > {SKETCH_BLOCK}").select("bucket", "node"), labels))
+    return _joined_up(rest_blocks(open_, open_.join(sketched, "node"), "bucket", ["n", "sketch"], SKETCH_BLOCK), labels, False, how)
+
+
+def confirmed_groups(docs: DataFrame, members: DataFrame, how: Search) -> DataFrame:
+    """(node, component) by links confirmed on full shingle sets; ``members`` has node, n, sketch, k, group and its size."""
+    payload = ["n", "sketch", "shingles"]
+    labels = _joined_up(first_blocks(_sets_of(docs, members), "group", payload, BLOCK), None, True, how)
+    # a group of one block has been compared as a whole
+    several = _labelled(members.where(f"size > {BLOCK}"), labels)
+    split = several.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    open_ = cut_lineage(several.join(split.select("group"), "group"))
+    if open_.isEmpty():
+        return labels
+    return _joined_up(rest_blocks(open_, _sets_of(docs, open_), "group", payload, BLOCK), labels, True, how)
 
 
 # ---- the texts in question ----------------------------------------------------------------------------------------------
@@ -249,14 +317,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         signatures(how), f"doc_id {key_type}, k bigint, n bigint, node binary, bands array<bigint>, sketch binary"))
     nodes = cut_lineage(signed.where("n > 0").groupBy("node").agg(
         F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("k").alias("k")))
-    members = (nodes.select("node", F.posexplode("bands").alias("band", "value"))
-               .select(F.xxhash64("band", "value").alias("bucket"), "node"))
-    sizes = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    shared = members.join(sizes, "bucket").join(nodes.select("node", "n", "sketch"), "node")
-    coarse = _grouped(shared, "bucket", ["n", "sketch"], False, SKETCH_BLOCK, how).withColumnRenamed("component", "group")
+    coarse = coarse_groups(nodes, how).withColumnRenamed("component", "group")
     sizes = cut_lineage(coarse.groupBy("group").agg(F.count("*").alias("size")))
     asked = cut_lineage(coarse.join(nodes.select("node", "n", "sketch", "k"), "node").join(sizes, "group"))
-    linked = _grouped(_sets_of(docs, asked), "group", ["n", "sketch", "shingles"], True, BLOCK, how)
+    linked = confirmed_groups(docs, asked, how)
     named = cut_lineage(signed.where("n > 0").select("k", "doc_id", "n", "node").join(linked, "node", "left")
                         .select("k", "doc_id", "n", F.coalesce("component", "node").alias("component")))
     least = cut_lineage(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
