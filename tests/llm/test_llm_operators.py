@@ -252,6 +252,23 @@ def test_near_copies_beyond_a_block_are_joined_up(spark, monkeypatch):
     assert all(got[i] == 0 for i in range(60)) and all(got[100 + i] == 100 + i for i in range(20))
 
 
+def test_what_leaders_leave_apart_meets_the_whole_group(spark):
+    rows = [(g, f"{g}{i}".encode(), b"main" if i < 30 else f"{g}r{i}".encode()) for g in "ab" for i in range(41)]
+    rows += [("c", f"c{i}".encode(), b"one") for i in range(50)]  # joined up already: nothing to compare
+    df = spark.createDataFrame(rows, "g string, node binary, label binary")
+    got = op7_near_dedup.rest_blocks(df, df, "g", [], 8).collect()
+    label = {bytes(node): bytes(of) for _, node, of in rows}
+    met = Counter()
+    for r in got:
+        for i, x in enumerate(r["members"]):
+            for y in r["members"][:i]:
+                if len({m["own"] for m in r["members"]}) == 1 or x["own"] != y["own"]:
+                    met[frozenset((bytes(x["node"]), bytes(y["node"])))] += 1
+    want = {frozenset((x, y)) for x in label for y in label if x < y and x[:1] == y[:1] and label[x] != label[y]}
+    assert want <= set(met) and max(met.values()) == 1
+    assert not any(label[x] == label[y] == b"main" for x, y in map(tuple, met))
+
+
 def test_near_dedup_stage_links_from_80_per_cent(spark):
     assert op7_near_dedup.search(85) == (85, 30, 6, 88) and op7_near_dedup.search(80)[:3] == (80, 36, 5)
     docs = []
