@@ -16,6 +16,13 @@ def test_tasks_follow_from_rows():
     assert [task_count(n) for n in (0, 1, ROWS_PER_TASK, ROWS_PER_TASK + 1, 60 * ROWS_PER_TASK)] == [1, 1, 1, 2, 60]
 
 
+def test_map_sides_write_straight_while_rows_allow():
+    """Up to 200 tasks a map side keeps no rows; more tasks only when each would take over four times the rows."""
+    from scorecube.session import ROWS_PER_TASK as R, task_count
+
+    assert [task_count(n) for n in (200 * R, 200 * R + 1, 632 * R, 800 * R, 800 * R + 1, 8000 * R)] == [200, 200, 200, 200, 201, 2000]
+
+
 def test_cells_by_written_counts_equal_one_plan(spark):
     from scorecube.sources.cells import cells, derive_cells
 
