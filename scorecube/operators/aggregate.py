@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.exprs import finite
+from ..session import task_count
+
+
+def dealt(df: DataFrame, keys) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as its rows need, for groups of a few rows each (an entity's series): a map side that
+    combines them holds nearly every row of its split and saves nothing. Counts ``df`` first, so it should be cheap to count."""
+    return df.repartition(task_count(df.count()), *keys)
 
 
 def weighted_average(df: DataFrame, keys, value: str = C.PCT, weight: str = C.N,

@@ -32,7 +32,7 @@ SELECT {SER_SQL}, year, sum(pct_met_and_above * students_tested) / sum(students_
 FROM cells WHERE {OK_SQL} GROUP BY {SER_SQL}, year""", doubles=(PCT, N))
 def a01_weighted_average(spark, sf_dir):
     """A1 – weighted average across grades for every entity × subject × group × year."""
-    return A.weighted_average(cells(spark, sf_dir), SER + ["year"])
+    return A.weighted_average(A.dealt(cells(spark, sf_dir), SER + ["year"]), SER + ["year"])
 
 
 @register("a02_headcount", with_cells() + f"""
@@ -40,7 +40,7 @@ SELECT {SER_SQL}, year, CAST(coalesce(sum(students_tested), 0) AS BIGINT) AS stu
 FROM cells GROUP BY {SER_SQL}, year""")
 def a02_headcount(spark, sf_dir):
     """A2 – students tested (suppressed cells included) for every series and year."""
-    return A.headcount(cells(spark, sf_dir), SER + ["year"])
+    return A.headcount(A.dealt(cells(spark, sf_dir), SER + ["year"]), SER + ["year"])
 
 
 @register("a03_mean_by_year", with_cells() + f"""
@@ -48,7 +48,7 @@ SELECT {SER_SQL}, year, avg(pct_met_and_above) AS pct_met_and_above FROM cells G
           doubles=(PCT,))
 def a03_mean_by_year(spark, sf_dir):
     """A3 – unweighted mean over grades per year (null when every cell is suppressed)."""
-    return A.mean_by(cells(spark, sf_dir), SER + ["year"])
+    return A.mean_by(A.dealt(cells(spark, sf_dir), SER + ["year"]), SER + ["year"])
 
 
 @register("a04_mean_by_grade", with_cells() + f"""
@@ -56,7 +56,7 @@ SELECT {SER_SQL}, grade, avg(pct_met_and_above) AS pct_met_and_above FROM cells
           doubles=(PCT,))
 def a04_mean_by_grade(spark, sf_dir):
     """A4 – unweighted mean over years per grade."""
-    return A.mean_by(cells(spark, sf_dir), SER + ["grade"])
+    return A.mean_by(A.dealt(cells(spark, sf_dir), SER + ["grade"]), SER + ["grade"])
 
 
 @register("a05_years_per_cohort", with_cells() + f"""
@@ -64,8 +64,8 @@ SELECT {SER_SQL}, cohort_year, count(DISTINCT year) AS n_years FROM cells
 WHERE pct_met_and_above IS NOT NULL GROUP BY {SER_SQL}, cohort_year""")
 def a05_years_per_cohort(spark, sf_dir):
     """A5 – distinct scored years per cohort of every series."""
-    return A.distinct_count(cells(spark, sf_dir).filter(F.col(PCT).isNotNull()), SER + ["cohort_year"], "year",
-                            "n_years")
+    scored = cells(spark, sf_dir).filter(F.col(PCT).isNotNull())
+    return A.distinct_count(A.dealt(scored, SER + ["cohort_year"]), SER + ["cohort_year"], "year", "n_years")
 
 
 @register("a06_el_share", with_cells() + f"""

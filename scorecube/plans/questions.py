@@ -299,8 +299,9 @@ SELECT * , pct_met_and_above - hist_avg AS vs_history FROM (
   FROM cells WHERE pct_met_and_above IS NOT NULL) t""", doubles=(PCT, "hist_avg", "vs_history"))
 def n11_vs_own_history(spark, sf_dir):
     """Each cell against the mean of the same series' earlier years (window bounded by the year domain)."""
-    c = cells(spark, sf_dir).filter(F.col(PCT).isNotNull())
-    w = (Window.partitionBy(*ENT, "test_id", "student_group_id", "grade").orderBy("year")
+    series = [*ENT, "test_id", "student_group_id", "grade"]
+    c = A.dealt(cells(spark, sf_dir).filter(F.col(PCT).isNotNull()), series)
+    w = (Window.partitionBy(*series).orderBy("year")
          .rowsBetween(Window.unboundedPreceding, -1))
     out = c.select(*ENT, "test_id", "student_group_id", "grade", "year", PCT).withColumn("hist_avg", F.avg(PCT).over(w))
     return out.withColumn("vs_history", F.col(PCT) - F.col("hist_avg"))

@@ -23,6 +23,16 @@ def test_map_sides_write_straight_while_rows_allow():
     assert [task_count(n) for n in (200 * R, 200 * R + 1, 632 * R, 800 * R, 800 * R + 1, 8000 * R)] == [200, 200, 200, 200, 201, 2000]
 
 
+def test_series_are_dealt_not_combined_in_their_splits(spark):
+    """An entity's series has a few rows in a split: combining there would hold the split's rows in memory."""
+    import __spark_entry__ as entry
+
+    for name in ("a01_weighted_average", "a02_headcount", "a03_mean_by_year", "a04_mean_by_grade", "a05_years_per_cohort", "n11_vs_own_history"):
+        p = plan(entry.queries()[name](spark, SF_SMALL)).split("== Physical Plan ==")[1]
+        assert p.count("Exchange") == 1 and "REPARTITION_BY_NUM" in p, (name, p)
+        assert "Aggregate" not in p[p.index("Exchange"):], (name, p)
+
+
 def test_cells_by_written_counts_equal_one_plan(spark):
     from scorecube.sources.cells import cells, derive_cells
 
