@@ -55,6 +55,15 @@ def school_choices(df: DataFrame) -> DataFrame:
     return s.select(school_label().alias("label"))
 
 
+def group_choices(df: DataFrame) -> DataFrame:
+    """First row per group id (in the fact's year order), an aggregate (min_by). Its buffers hold strings, so it sorts its input: the
+    few distinct names of an id and year are told apart first, by hashing, and only they are sorted."""
+    named = df.select("student_group_id", "year", "student_group_name", "student_group_category").distinct()
+    first = F.min_by(F.struct("student_group_name", "student_group_category"), F.struct("year", "student_group_name"))
+    return (named.groupBy("student_group_id").agg(first.alias("f"))
+            .select("student_group_id", "f.student_group_name", "f.student_group_category").dropna(subset=["student_group_name"]))
+
+
 DISTRICT_LABEL_SQL = """CASE WHEN county_name IS NOT NULL AND trim(county_name) <> ''
   THEN district_name || ' (' || county_name || ')' ELSE district_name END"""
 SCHOOL_LABEL_SQL = """CASE WHEN district_name IS NOT NULL AND trim(district_name) <> ''
@@ -84,12 +93,7 @@ SELECT student_group_id, student_group_name, student_group_category,
        row_number() OVER (ORDER BY student_group_category NULLS LAST, student_group_name, student_group_id) AS ordinal FROM r
 WHERE rn = 1 AND student_group_name IS NOT NULL""")
 def q69_group_choices(spark, sf_dir):
-    """First row per group id (in the fact's year order) – an aggregate (min_by), so a hot id is combined
-    map-side instead of sorting a third of the table in one window task."""
-    first = F.min_by(F.struct("student_group_name", "student_group_category"), F.struct("year", "student_group_name"))
-    g = cells(spark, sf_dir).groupBy("student_group_id").agg(first.alias("f"))
-    return with_ordinal(g.select("student_group_id", "f.student_group_name", "f.student_group_category")
-                        .dropna(subset=["student_group_name"]), "student_group_category", "student_group_name", "student_group_id")
+    return with_ordinal(group_choices(cells(spark, sf_dir)), "student_group_category", "student_group_name", "student_group_id")
 
 
 @register("q70_test_choices", with_cells() + """

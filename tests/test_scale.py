@@ -33,6 +33,18 @@ def test_series_are_dealt_not_combined_in_their_splits(spark):
         assert "Aggregate" not in p[p.index("Exchange"):], (name, p)
 
 
+def test_first_group_names_without_sorting_the_table(spark):
+    from scorecube.plans.explorer import group_choices
+
+    rows = [(1, 2016, "b", "x"), (1, 2015, "c", "x"), (1, 2015, "a", "y"), (1, 2015, "a", "y"), (2, 2015, None, "z"), (2, 2016, "d", "z"),
+            (3, None, "e", None), (3, 2015, "f", "w"), (None, 2015, "g", "v")]
+    df = spark.createDataFrame(rows, "student_group_id int, year int, student_group_name string, student_group_category string")
+    assert sorted(map(tuple, group_choices(df).collect()), key=str) == [(1, "a", "y"), (3, "e", None), (None, "g", "v")]
+    p = plan(group_choices(df)).split("== Physical Plan ==")[1]
+    from_scan = p[p.rindex("Exchange"):]
+    assert "HashAggregate" in from_scan and "Sort" not in from_scan, p
+
+
 def test_cells_by_written_counts_equal_one_plan(spark):
     from scorecube.sources.cells import cells, derive_cells
 
