@@ -89,6 +89,38 @@ def test_many_entities_are_not_broadcast(spark, monkeypatch):
     assert _facts(_ingest(spark)) == FACTS and hints == ["shuffle_hash"]
 
 
+def test_entities_of_several_years_are_held_once(spark):
+    """An entity that is alike in several years is one row with these years; years with inline names and types ask for none."""
+    _ingest(spark)
+    made = []
+    real = conform.written
+    try:
+        conform.written = lambda df, name: made.append((name, real(df, name))) or made[-1][1]
+        ing = _ingest(spark)
+    finally:
+        conform.written = real
+    assert _facts(ing) == FACTS
+    held = dict(made)["entities"].select("district_code", "district_name", F.sort_array("years").alias("years")).collect()
+    assert sorted(tuple(r) for r in held) == [("00000", None, [2015, 2021]), ("00001", "Dist", [2015, 2021])]
+
+
+def test_files_are_bounded_by_rows(spark, tmp_path, monkeypatch):
+    """A reader's tasks take files by their bytes; rows compress to so few that a task would take tens of millions."""
+    from scorecube.plans import ingestion
+    from scorecube.sinks import fact
+
+    for module, rows in ((conform, "ROWS_PER_FILE"), (ingestion, "ROWS_PER_FILE"), (fact, "ROWS_PER_TASK")):
+        monkeypatch.setattr(module, rows, 2)
+
+    def most(df):
+        return df.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    ingestion.write_lines(_lines(spark).coalesce(1), f"{tmp_path}/lines")
+    lines = spark.read.parquet(f"{tmp_path}/lines")
+    ing = conform.ingest_lines(spark, lines, years=(2015, 2021, 2024), out_path=f"{tmp_path}/fact")
+    assert lines.count() == _lines(spark).count() and _facts(ing) == FACTS
+    assert [most(df) for df in (lines, ing.conformed, spark.read.parquet(f"{tmp_path}/fact"))] == [2, 2, 2]
+
+
 def test_numbers_read_as_by_the_pattern(spark):
     texts = ["7", "007", "-0", "0", "5.", ".5", "1.", " 7", "7 ", "7\t", "\x1f7", "7\x1f", " 7", "1e3", "1e", "+5", "-5", "1d", "0x1", "٣", "7٣",
              "1_0", "1 0", "", "9223372036854775807", "9223372036854775808", "12345678901234567890123", "NaN", "Infinity", "*", "9007199254740993", None]
